@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .binary_ids import op6_binary_ids
 from .fingerprint import op2_document_fingerprints
+from .mixing import op3_mixing
+from .packing import op4_packing
 from .quality import op5_quality_rules
 
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_binary_ids": op6_binary_ids,
 }
 
 ORACLES: dict[str, str] = {}
