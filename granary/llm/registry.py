@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .binary_ids import op6_binary_ids
 from .fingerprint import op2_document_fingerprints
+from .minhash import op10_near_duplicates
 from .mixing import op3_mixing
 from .packing import op4_packing
 from .quality import op5_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_binary_ids": op6_binary_ids,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,35 +1,16 @@
-"""Tables written once to the folder that all executors share."""
+"""Reading tables, and what the operators share of the library's staging."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from granary.sources.staging import shared_folder, staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="granary-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+__all__ = ["read_table", "shared_folder", "shuffle_width", "staged", "with_ids"]
 
-    The lineage ends there: a lost executor costs a reread, not a recomputation, and
-    a value drawn inside a task (a batch number) is fixed from here on.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Ids of this many rows (about 16 bytes each) may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +19,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is among the (staged, distinct) ``ids``."""
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, "left_semi")
