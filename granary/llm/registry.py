@@ -8,8 +8,10 @@ from .minhash import op10_near_duplicates
 from .mixing import op3_mixing
 from .packing import op4_packing
 from .quality import op5_quality_rules
+from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
