@@ -9,6 +9,7 @@ from .mixing import op3_mixing
 from .packing import op4_packing
 from .quality import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_binary_ids": op6_binary_ids,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
