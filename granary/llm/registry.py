@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .binary_ids import op6_binary_ids
 from .fingerprint import op2_document_fingerprints
+from .language_model import op7_language_model
 from .minhash import op10_near_duplicates
 from .mixing import op3_mixing
 from .packing import op4_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_binary_ids": op6_binary_ids,
+    "op7_language_model": op7_language_model,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
