@@ -73,10 +73,9 @@ def line_passes(line: Column) -> Column:
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words inside windows of ``width`` words that occur twice or more, the first included."""
-    hashes = F.when(
-        F.size(words) > width,
-        F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width))),
-    )
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(n > width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(w, i, width))))
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -95,7 +94,7 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
             bound(ordered, twins), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"]
         )
 
-    counted = bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)))
+    counted = bound(bound(words, windows), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)))
     return F.coalesce(counted, F.lit(0))
 
 
