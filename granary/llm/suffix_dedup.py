@@ -261,8 +261,13 @@ class Marks:
         self.open = np.flatnonzero(self.status == OPEN)
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_bytes, kept, spans``: remaining bytes, and the maximal removed runs as (start, length)."""
+def remove_repeated_bytes(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False
+) -> DataFrame:
+    """``doc_id, n_bytes, kept, spans``: remaining bytes, and the maximal removed runs as (start, length).
+
+    With ``whole_characters``, the remaining bytes of a character that lost some go as well.
+    """
     batches = text_batches(docs)
     bits = bucket_bits(batches)
 
@@ -291,7 +296,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow:
             for _, ids, block, (status, windows) in rows_of(part):
-                yield _kept(ids, block, Marks(block, status, length, gram), windows, length)
+                yield _kept(ids, block, Marks(block, status, length, gram), windows, length, whole_characters)
 
     status = gather(scatter(batches.select("batch", "content"), deal), decide_stretches, "suffix-status")
     windows = gather(scatter(with_answers(batches, status), send_open), sort_bucket(length), "suffix-windows")
@@ -300,14 +305,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     )
 
 
-def _kept(ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], length: int) -> pa.RecordBatch:
+def _kept(ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], length: int, whole: bool) -> pa.RecordBatch:
     found, kinds = marks.found, marks.distinct
     n = len(block.data)
     # all windows of a stretch that is not the first of its kind
     first = np.zeros(len(found.low), bool)
     first[kinds.first] = True
-    whole = ~first | (marks.status[kinds.group] == REPEAT) if len(found.low) else first
-    low, high = found.low[whole], found.high[whole]
+    again = ~first | (marks.status[kinds.group] == REPEAT) if len(found.low) else first
+    low, high = found.low[again], found.high[again]
     # single windows of open stretches
     flags = [np.unpackbits(p[1], count=int(p[0][0])).astype(bool) for p in map(unpack, windows)]
     at = kinds.first[marks.open]
@@ -326,6 +331,9 @@ def _kept(ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], len
     left = np.bincount(owner[~gone], minlength=len(block.lengths)) if n else np.zeros(len(block.lengths), np.int64)
     to = np.cumsum(left)
     data = block.data[~gone].tobytes()
+    texts = [data[b - k : b] for b, k in zip(to.tolist(), left.tolist(), strict=True)]
+    if whole:
+        texts = [x.decode("utf-8", "ignore").encode() for x in texts]
     spans: list[list] = [[] for _ in block.lengths]
     for o, s, e in zip(owner[runs].tolist(), runs.tolist(), ends.tolist(), strict=True):
         spans[o].append({"start": s - int(block.bounds[o]), "length": e - s})
@@ -333,7 +341,7 @@ def _kept(ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], len
         [
             pa.array(ids, pa.int64(), mask=ids == NO_ID),
             pa.array(block.lengths, pa.int64()),
-            pa.array([data[b - k : b] for b, k in zip(to.tolist(), left.tolist(), strict=True)], pa.binary()),
+            pa.array(texts, pa.binary()),
             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
         ],
         ["doc_id", "n_bytes", "kept", "spans"],
