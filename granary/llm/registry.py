@@ -5,6 +5,7 @@ from __future__ import annotations
 from .binary_ids import op6_binary_ids
 from .fingerprint import op2_document_fingerprints
 from .language_model import op7_language_model
+from .licences import op9_licence_scan
 from .minhash import op10_near_duplicates
 from .mixing import op3_mixing
 from .packing import op4_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_binary_ids": op6_binary_ids,
     "op7_language_model": op7_language_model,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_licence_scan": op9_licence_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
