@@ -85,10 +85,10 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return sequence, offset
 
 
-def _pieces(path: str, blank_belongs: bool, capacity: int):
+def _pieces(path: str, blank_belongs: bool, capacity: int, ranks: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, window = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-        for part, texts in encoded(batches, path, blank_belongs, END_ID):
+        for part, texts in encoded(batches, path, blank_belongs, END_ID, ranks):
             rows: list[tuple] = []
             for doc, ids in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts, strict=True):
                 for start in range(0, len(ids), capacity):
@@ -105,7 +105,12 @@ def _pieces(path: str, blank_belongs: bool, capacity: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, blank_belongs: bool = True, capacity: int = CAPACITY, group: int = GROUP
+    docs: DataFrame,
+    tokenizer: str,
+    ranks: str | None = None,
+    blank_belongs: bool = True,
+    capacity: int = CAPACITY,
+    group: int = GROUP,
 ) -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -113,7 +118,7 @@ def pack(
     """
     pieces = staged(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _pieces(tokenizer, blank_belongs, capacity), PIECES
+            _pieces(tokenizer, blank_belongs, capacity, ranks), PIECES
         ),
         "pack-pieces",
     )
@@ -146,4 +151,4 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, *map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")))

@@ -7,50 +7,83 @@ row, a blank beside other white space) goes to the tokenizer whole.
 
 from __future__ import annotations
 
-import re
+import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 MEMO_WORDS = 400_000
-#: White space of any kind beside a blank: such texts are not cut.
-UNSURE = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\ufeff] | [\\s\x1c-\x1f\x85\u180e\u200b\ufeff]|^ | $")
+#: Characters that some Unicode versions count as white space.
+ODD = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+
+
+def unsure(word: str) -> bool:
+    """Whether the text around such a part may not be cut at its blanks."""
+    return not word or word[0].isspace() or word[-1].isspace() or word[0] in ODD or word[-1] in ODD or "<|" in word
 
 
 class Words:
     """Ids of words, remembered."""
 
-    def __init__(self, path: str, blank_belongs: bool):
+    def __init__(self, path: str, blank_belongs: bool, ranks: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lead = " " if blank_belongs else ""
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding(
+                "words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
+            )
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # byte-level sign of a blank
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.unsure = np.zeros(0, bool)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in found]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        found = self.encode([self.lead + w for w in words])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        doubt = np.fromiter(map(unsure, words), bool, len(words))
+        lengths = np.zeros(len(words), np.int64)
+        sure = [w for w, d in zip(words, doubt.tolist(), strict=True) if not d]
+        if self.lead:  # one text: a word starts at each token with a blank
+            text = self.lead + self.lead.join(sure) if sure else ""
+            new = np.array(self.fast.encode_ordinary(text) if self.fast else self.encode([text])[0], np.uint32)
+            at = np.append(np.flatnonzero(self.begins[new]), len(new))
+            if len(at) != len(sure) + 1:
+                raise ValueError("a word holds a blank")
+            lengths[~doubt] = np.diff(at)
+        else:
+            found = self.encode(sure)
+            lengths[~doubt] = np.fromiter(map(len, found), np.int64, len(found))
+            new = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.unsure = np.concatenate((self.unsure, doubt))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-        new = np.concatenate(found) if found else np.zeros(0, np.uint32)
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(new)] = new
         self.used += len(new)
 
-    def of(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in turn, and how many each run of ``counts`` words has."""
+    def of(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in turn; for each run of ``counts`` words, how many ids, and whether one is unsure."""
         if len(self.place) > MEMO_WORDS:
             self.forget()
         get = self.place.get
@@ -61,52 +94,56 @@ class Words:
         first, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         flat = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + lengths, lengths)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.ids[flat], np.diff(bounds)
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        doubts = np.concatenate(([0], np.cumsum(self.unsure[at])))
+        return self.ids[flat], np.diff(np.concatenate(([0], ends))[cuts]), np.diff(doubts[cuts]) > 0
 
 
 @lru_cache(maxsize=4)
-def words_of(path: str, blank_belongs: bool) -> Words:
-    return Words(path, blank_belongs)
+def words_of(path: str, blank_belongs: bool, ranks: str | None = None) -> Words:
+    return Words(path, blank_belongs, ranks)
+
 
+def encode_texts(texts: list[str], path: str, blank_belongs: bool, ranks: str | None = None) -> list[np.ndarray]:
+    """Ids of each text; ``blank_belongs`` if a word's token carries the blank before it.
 
-def encode_texts(texts: list[str], path: str, blank_belongs: bool) -> list[np.ndarray]:
-    """Ids of each text; ``blank_belongs`` if a word's token carries the blank before it."""
-    memo = words_of(path, blank_belongs)
+    ``ranks`` may name the same vocabulary as byte-pair ranks: single words are then encoded by the
+    faster library for those. The ids are the same; tests compare them.
+    """
+    memo = words_of(path, blank_belongs, ranks)
     words: list[str] = []
-    counts: list[int] = []
-    cut: list[bool] = []
-    firsts: list[str] = []
-    wholes: list[str] = []
+    counts, firsts = [], []
     for text in texts:
-        sure = bool(text) and "  " not in text and UNSURE.search(text) is None and "<|" not in text
-        cut.append(sure)
-        if not sure:
-            wholes.append(text)
-            continue
         parts = text.split(" ")
         if blank_belongs:
             firsts.append(parts[0])
-            parts = parts[1:]
+            del parts[0]
         words.extend(parts)
         counts.append(len(parts))
-    flat, sizes = memo.of(words, np.array(counts, np.int64))
+    flat, sizes, doubts = memo.of(words, np.array(counts, np.int64))
+    if blank_belongs:
+        doubts = doubts | np.fromiter(map(unsure, firsts), bool, len(firsts))
+        heads = memo.encode(firsts)
+    rest = iter(memo.encode([t for t, d in zip(texts, doubts.tolist(), strict=True) if d]))
     ends = np.cumsum(sizes)
-    heads = iter(memo.encode(firsts))
-    rest = iter(memo.encode(wholes))
-    out, at = [], 0
-    for sure in cut:
-        if not sure:
-            out.append(next(rest))
-            continue
-        ids = flat[ends[at] - sizes[at] : ends[at]]
-        out.append(np.concatenate((next(heads), ids)) if blank_belongs else ids)
-        at += 1
+    out = []
+    for i, doubt in enumerate(doubts.tolist()):
+        if doubt:
+            out.append(np.array(next(rest), np.uint32))
+        elif blank_belongs:
+            out.append(np.concatenate((np.array(heads[i], np.uint32), flat[ends[i] - sizes[i] : ends[i]])))
+        else:
+            out.append(flat[ends[i] - sizes[i] : ends[i]])
     return out
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, blank_belongs: bool, end_id: int | None, limit: int = 1 << 20
+    batches: Iterator[pa.RecordBatch],
+    path: str,
+    blank_belongs: bool,
+    end_id: int | None,
+    ranks: str | None = None,
+    limit: int = 1 << 20,
 ) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches with the ids of their ``text`` (null: empty), ``end_id`` appended."""
     tail = np.array([] if end_id is None else [end_id], np.uint32)
@@ -117,5 +154,5 @@ def encoded(
         while at < len(batch):
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
             part = [x or "" for x in texts[at:to].to_pylist()]
-            yield batch.slice(at, to - at), [np.concatenate((x, tail)) for x in encode_texts(part, path, blank_belongs)]
+            yield batch.slice(at, to - at), [np.concatenate((x, tail)) for x in encode_texts(part, path, blank_belongs, ranks)]
             at = to
