@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .kernels import Block, pack, unpack
 from .staging import shuffle_width, staged
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 NO_ID = np.int64(-(1 << 63))
 
@@ -71,10 +71,10 @@ def opened(content: bytes) -> tuple[np.ndarray, Block]:
     return ids, Block(np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
 
 
-def bucket_bits(batches: DataFrame) -> int:
-    """Bits of a hash that number the buckets: each has the keys of about ``BUCKET_BYTES`` of text."""
+def bucket_bits(batches: DataFrame, size: int = BUCKET_BYTES) -> int:
+    """Bits of a hash that number the buckets: each has the keys of about ``size`` bytes of text."""
     total = batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    return max(3, int(np.ceil(np.log2(max(total / BUCKET_BYTES, shuffle_width(batches.sparkSession))))))
+    return max(3, int(np.ceil(np.log2(max(total / size, shuffle_width(batches.sparkSession))))))
 
 
 def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:

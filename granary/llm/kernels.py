@@ -64,8 +64,27 @@ class Block:
     def lengths(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def parts(self, limit: int = 1 << 20) -> Iterator[tuple[int, int, Block]]:
+        """Runs of whole texts of about ``limit`` bytes, so that working arrays stay small: first text, first byte, block."""
+        at = 0
+        while at < len(self.bounds) - 1:
+            to = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + limit, side="right")) - 1)
+            low, high = int(self.bounds[at]), int(self.bounds[to])
+            yield at, low, Block(self.data[low:high], self.bounds[at : to + 1] - low)
+            at = to
+
     def words(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end, text number and hash of each maximal run of non-space bytes."""
+        found = []
+        for text, byte, part in self.parts():
+            starts, ends, owner, hashes = part._words(lower)
+            found.append((starts + byte, ends + byte, owner + text, hashes))
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(U64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _words(self, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data = LOWER[self.data] if lower else self.data
         full = ~SPACE[data]
         n = len(data)

@@ -9,8 +9,8 @@ the next full one for the bands (short texts), never for the estimate.
 
 Components need a link between two groups, not all links inside one: a candidate pair is confirmed
 only while its ends are in different components, each class's likeliest partners first, until no
-untested pair between two components is left. Bands with many members are cut into chunks first;
-what the chunks leave apart is compared block by block.
+untested pair between two components is left. Groups of more than 16 members are cut into chunks
+first; what these leave apart is confirmed block by block of sets.
 
 Edge cases: a null, empty or blank text has an empty set and no links; a text with fewer words
 than a shingle is one shingle; rows that share a ``doc_id`` are one document, linked if any of
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators.components import connected_components
@@ -39,6 +39,7 @@ BANDS = M // ROWS
 EMPTY = np.uint16(0xFFFF)
 SMALL = 16
 CHUNK = 1024
+BLOCK_SETS = 512
 MARGIN = 4.5
 NEAR, OF = 85, 100
 
@@ -203,50 +204,121 @@ def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pair_batch(a, b)
 
 
-def _large_pairs(low: int, high: int, by: list[str]):
-    """Pairs of large groups: for each member outside the largest component its partners by estimate, ``low`` to ``high``."""
+def _mixed_groups(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple]:
+    """For each block of members outside a group's largest component: start of the group, block, components,
+    registers, plausible partners, and the estimates."""
+    n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        labels, at = np.unique(comp[start:end], return_inverse=True)
+        if len(labels) < 2:
+            continue
+        regs = _matrix(table.column("regs").slice(start, end - start))
+        own = n[start:end]
+        minor = np.flatnonzero(at != np.bincount(at).argmax())
+        step = max(1, (2 << 20) // ((end - start) * M))
+        for lo in range(0, len(minor), step):
+            x = minor[lo : lo + step]
+            guess, least = estimates(regs[x][:, None, :], regs[None, :, :], own[x][:, None], own[None, :])
+            good = (guess >= least) & similar_size(own[x][:, None], own[None, :]) & (at[None, :] != at[x][:, None])
+            yield start, x, minor, regs, good, guess
+
+
+def _first_shared(bands: np.ndarray, x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
+    """Whether ``key`` is the first band that members x and y share: each pair counts in one group only."""
+    one, two = bands[x], bands[y]
+    return one[np.arange(len(x)), (one == two).argmax(axis=1)] == key
+
+
+def _large_pairs(best: int, by: list[str]):
+    """Pairs of large groups: each member outside the largest component with its ``best`` partners by estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         table, bounds = _groups(held, [*by, "id"])
-        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        comp = table.column("comp").to_numpy()
-        a, b = [], []
-        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-            labels, at = np.unique(comp[start:end], return_inverse=True)
-            if len(labels) < 2:
-                continue
-            regs = _matrix(table.column("regs").slice(start, end - start))
-            own = n[start:end]
-            minor = np.flatnonzero(at != np.bincount(at).argmax())
-            step = max(1, (8 << 20) // max(1, (end - start) * M))
-            for lo in range(0, len(minor), step):
-                x = minor[lo : lo + step]
-                guess, least = estimates(regs[x][:, None, :], regs[None, :, :], own[x][:, None], own[None, :])
-                good = (guess >= least) & similar_size(own[x][:, None], own[None, :])
-                good[np.arange(len(x)), x] = False
-                guess = np.where(good, guess, -1.0)
-                order = np.argsort(-guess, axis=1, kind="stable")[:, low:high]
-                take = np.take_along_axis(good, order, axis=1) & (at[order] != at[x][:, None])
-                row, col = np.nonzero(take)
-                a.append(ids[start + x[row]])
-                b.append(ids[start + order[row, col]])
-        yield _pair_batch(a, b)
+        ids, key = table.column("id").to_numpy(), table.column("key").to_numpy()
+        last, bands = -1, None
+        for start, x, _, regs, good, guess in _mixed_groups(table, bounds):
+            if start != last:
+                last, bands = start, band_keys(regs).view(np.int64)
+            order = np.argsort(np.where(good, -guess, 1.0), axis=1, kind="stable")[:, :best]
+            row, col = np.nonzero(np.take_along_axis(good, order, axis=1))
+            one, two = x[row], order[row, col]
+            if len(by) == 1:
+                mine = _first_shared(bands, one, two, key[start])
+                row, one, two = row[mine], one[mine], two[mine]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[start + one]), pa.array(ids[start + two]), pa.array(guess[row, two])], ["x", "y", "guess"]
+            )
 
     return run
 
 
+def block_of(ids: np.ndarray, n: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64)) % U64(n)).astype(np.int64)
+
+
+def _open_lists(n_blocks: int):
+    """All partners between components of a mixed group, each pair in the first band it shares: ``block, id, partners``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table, bounds = _groups(held, ["key", "id"])
+        ids, key = table.column("id").to_numpy(), table.column("key").to_numpy()
+        last, bands = -1, None
+        for start, x, minor, regs, good, _ in _mixed_groups(table, bounds):
+            if start != last:
+                last, bands = start, band_keys(regs).view(np.int64)
+                outside = np.zeros(len(regs), bool)
+                outside[minor] = True
+            row, col = np.nonzero(good & ~(outside[None, :] & (np.arange(len(regs))[None, :] < x[:, None])))
+            for lo in range(0, len(row), 1 << 16):
+                r, c = row[lo : lo + (1 << 16)], col[lo : lo + (1 << 16)]
+                mine = _first_shared(bands, x[r], c, key[start])
+                r, c = ids[start + x[r[mine]]], ids[start + c[mine]]
+                block = block_of(c, n_blocks)
+                order = np.lexsort((c, r, block))
+                r, c, block = r[order], c[order], block[order]
+                cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (block[1:] != block[:-1]))) if len(r) else []
+                parts = np.split(c, cut[1:]) if len(r) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block[cut] if len(r) else [], pa.int64()),
+                        pa.array(r[cut] if len(r) else [], pa.int64()),
+                        pa.array([p.tobytes() for p in parts], pa.binary()),
+                    ],
+                    ["block", "id", "partners"],
+                )
+
+    return run
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return OF * inter >= NEAR * (len(both) - inter)
+
+
+def _confirm_block(asks: pa.Table, held: pa.Table) -> pa.Table:
+    sets = dict(zip(held.column("id").to_pylist(), held.column("hashes").to_pylist(), strict=True))
+    a, b = [], []
+    for one, partners, own in zip(*(asks.column(c).to_pylist() for c in ("id", "partners", "hashes")), strict=True):
+        own = np.frombuffer(own, U64)
+        for other in np.frombuffer(partners, np.int64).tolist():
+            if alike(own, np.frombuffer(sets[other], U64)):
+                a.append(min(one, other))
+                b.append(max(one, other))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = np.concatenate((x, y))
-            both.sort()
-            inter = int((both[1:] == both[:-1]).sum())
-            keep.append(OF * inter >= NEAR * (len(both) - inter))
+        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        keep = [alike(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in pairs]
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
@@ -276,7 +348,6 @@ class NearDuplicates:
         self.classes = linked.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("regs").alias("regs"))
         self.classes = staged(self.classes, "near-classes")
         self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -295,33 +366,35 @@ class NearDuplicates:
         y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
         found = staged(found.distinct(), "near-links")
+        self.linked(found)
+
+    def linked(self, found: DataFrame) -> None:
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         self.roots = staged(connected_components(self.links, "a", "b"), "near-roots")
 
     def settle(self, pairs: DataFrame) -> None:
-        """Confirm ``pairs`` (with ``guess``) until none is left that joins two components."""
-        best = 1
-        while True:
-            open_ = self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb")
-            if self.tested is not None:
-                open_ = open_.join(self.tested, ["a", "b"], "left_anti")
-            ends = open_.select("a", "b", F.col("a").alias("x"), "guess").unionByName(
-                open_.select("a", "b", F.col("b").alias("x"), "guess")
-            )
-            pick = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("guess"), "a", "b"))), 1, best)
-            if best == 1:
-                chosen = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p"))
-                chosen = chosen.select("p.a", "p.b")
-            elif best <= 64:
-                chosen = ends.groupBy("x").agg(pick.alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b")
-            else:
-                chosen = open_.select("a", "b")
-            chosen = staged(chosen.distinct(), "near-chosen")
-            if chosen.isEmpty():
-                return
-            self.confirm(chosen)
-            best *= 8
+        """Confirm ``pairs`` (with ``guess``): first each class's likeliest partner, then what still joins two components."""
+        ends = pairs.select("a", "b", F.col("a").alias("x"), "guess").unionByName(
+            pairs.select("a", "b", F.col("b").alias("x"), "guess")
+        )
+        first = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p"))
+        first = staged(first.select("p.a", "p.b").distinct(), "near-chosen")
+        self.confirm(first)
+        rest = self.apart(pairs.select("a", "b")).join(first, ["a", "b"], "left_anti")
+        rest = staged(rest, "near-chosen")
+        if not rest.isEmpty():
+            self.confirm(rest)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+
+    def members(self, large: DataFrame, by: list[str]) -> DataFrame:
+        """Rows of the groups that hold more than one component, with components and registers."""
+        rows = self.labelled(large, "id", "comp")
+        mixed = rows.groupBy(by).agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select(by)
+        rows = rows.join(mixed, by, "left_semi").join(self.classes.select("id", "regs"), "id")
+        return rows.select(*by, "id", "n", "comp", "regs")
 
     def run(self) -> DataFrame:
         width = shuffle_width(self.spark)
@@ -330,25 +403,26 @@ class NearDuplicates:
         shared = staged(keys.join(crowd, "key"), "near-bands")
         pairs = shared.where(F.col("m") <= SMALL).drop("m").repartition(width, "key")
         pairs = pairs.mapInArrow(_small_pairs, "a long, b long").distinct()
-        regs = self.classes.select("id", "n", "regs")
-        self.settle(staged(self.guessed(pairs, regs), "near-pairs"))
+        pairs = staged(self.guessed(pairs, self.classes.select("id", "n", "regs")), "near-pairs")
+        if not pairs.isEmpty():
+            self.settle(pairs)
         large = shared.where(F.col("m") > SMALL).withColumn(
             "salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / CHUNK).cast("long"))
         )
         large = staged(large, "near-large")
-        by = ["key", "salt"]
-        for low, high in ((0, 2), (0, 16), (16, 256), (256, 1 << 40)):
-            rows = self.labelled(large, "id", "comp")
-            apart = rows.groupBy(by).agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select(by)
-            rows = rows.join(apart, by, "left_semi").join(regs.select("id", "regs"), "id")
-            found = rows.select(*by, "id", "n", "comp", "regs").repartition(width, *by)
-            found = found.mapInArrow(_large_pairs(low, high, by), "a long, b long").distinct()
-            found = staged(self.guessed(found, regs), "near-pairs")
-            if not found.isEmpty():
-                self.settle(found)
-            by = ["key"]
-        members = self.all.join(self.classes.select("k1", "k2", "n", "id"), ["k1", "k2", "n"], "left")
-        found = self.labelled(members, "id", "component_id")
+        if not large.isEmpty():
+            for by, best in ((["key", "salt"], 1), (["key"], 4)):
+                rows = self.members(large, by).repartition(width, *by)
+                found = rows.mapInArrow(_large_pairs(best, by), "x long, y long, guess double")
+                likely = Window.partitionBy("x").orderBy(F.desc("guess"), "y")
+                found = found.withColumn("r", F.row_number().over(likely)).where(F.col("r") <= best)
+                found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                found = staged(found, "near-chosen")
+                if not found.isEmpty():
+                    self.confirm(found)
+            self.exhaust(large)
+        every = self.all.join(self.classes.select("k1", "k2", "n", "id"), ["k1", "k2", "n"], "left")
+        found = self.labelled(every, "id", "component_id")
         shown = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
         return found.select(
             "doc_id",
@@ -357,6 +431,36 @@ class NearDuplicates:
             F.coalesce(shown == F.col("doc_id"), F.lit(True)).alias("kept"),
         )
 
+    def exhaust(self, large: DataFrame) -> None:
+        """Confirm every pair that large groups still leave between components, block against block.
+
+        A class outside its group's largest component lists its remaining partners; the lists travel by
+        block of partners with one copy of the set for each block, never as one row a pair.
+        """
+        rows = staged(self.members(large, ["key"]), "near-open")
+        ids = staged(rows.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+        count = ids.count()
+        if not count:
+            return
+        blocks_ = -(-count // BLOCK_SETS)
+        lists = rows.repartition(shuffle_width(self.spark), "key").mapInArrow(
+            _open_lists(blocks_), "block long, id long, partners binary"
+        )
+        lists = staged(lists, "near-lists")
+        sets = with_ids(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+        sets = staged(sets.mapInArrow(_sets(self.width), "id long, hashes binary"), "near-sets")
+        asks = lists.join(sets, "id").groupBy("block")
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = block_of(batch.column(0).to_numpy(), blocks_)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["block", "id", "hashes"])
+
+        held = sets.mapInArrow(numbered, "block long, id long, hashes binary").groupBy("block")
+        found = staged(asks.cogroup(held).applyInArrow(_confirm_block, "a long, b long").distinct(), "near-links")
+        if not found.isEmpty():
+            self.linked(found)
+
     def guessed(self, pairs: DataFrame, regs: DataFrame) -> DataFrame:
         """Adds the estimate ``guess`` and drops pairs far below the limit."""
         x = regs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))

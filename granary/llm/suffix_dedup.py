@@ -14,6 +14,10 @@ goes to the anchor's bucket as text, and there its suffixes are sorted:
 
 Of the suffixes that share ``LENGTH`` bytes, all but the first in (``doc_id``, start) order repeat.
 
+An anchor with more than ``CROWD`` different stretches (a line that a third of all documents hold, each
+time between other lines) is not sorted in one task: its windows are dealt singly by their 64-bit
+hash, each distinct one of a batch once, and settled by it alone.
+
 Edge cases: a null text is empty; a text shorter than ``LENGTH`` bytes keeps all; a null ``doc_id``
 comes before all others; rows that share a ``doc_id`` are separate, the earlier staged one first;
 removal may cut a multi-byte character, so kept texts are binary; an empty table gives an empty
@@ -30,15 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exchange import (
-    NO_ID, bucket_bits, gather, rows_of, scatter, slices, text_batches, with_answers,
+    NO_ID, FirstOccurrence, bits_of, bucket_bits, decide_first, gather, rows_of, scatter, slices, text_batches, with_answers,
+)
+from .kernels import (
+    BASE, BASE_INVERSE, U64, Block, mix, pack, powers, prefix_hashes, runs_to_mask, span_hashes, unpack,
 )
-from .kernels import U64, Block, mix, pack, prefix_hashes, runs_to_mask, span_hashes, unpack
 from .staging import read_table
 
 LENGTH = 100
 GRAM = 24
 PLACE_BITS = 28
-SINGLE, REPEAT, OPEN = 0, 1, 2
+BATCH, BUCKET = 4 << 20, 4 << 20
+SORT_AT_ONCE = 1 << 17
+SINGLE, REPEAT, OPEN, CROWDED = 0, 1, 2, 3
+#: An anchor with more different stretches than this is settled by single windows.
+CROWD = 1024
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -57,35 +67,42 @@ class Stretches:
     """Runs of windows with the same anchor: ``low .. high`` are their first and last window starts."""
 
     def __init__(self, block: Block, length: int, gram: int):
-        data, bounds = block.data, block.bounds
+        found = []
+        for text, byte, part in block.parts():
+            low, high, anchor, owner, key, whole = _stretches(part, length, gram)
+            found.append((low + byte, high + byte, anchor + byte, owner + text, key, whole))
         none = np.zeros(0, np.int64)
-        self.low = self.high = self.anchor = self.owner = none
-        self.key = self.whole = none.astype(U64)
-        n = len(data) - length + 1
-        if n <= 0:
-            return
-        prefix = prefix_hashes(data)
-        at = np.arange(len(data) - gram + 1)
-        grams = mix(span_hashes(prefix, at, at + gram))
-        # the same number of hash bits in every batch, so that equal windows choose alike
-        place_bits = U64(max(PLACE_BITS, len(grams).bit_length()))
-        marked = (grams >> place_bits << place_bits) | at.astype(U64)
-        least = sliding_least(marked, length - gram + 1)
-        anchor = (least & ((U64(1) << place_bits) - U64(1))).astype(np.int64)
-        owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
-        inside = owner[:n] == owner[length - 1 :]
-        cut = np.ones(n, bool)
-        cut[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:n] != owner[: n - 1])
-        cut &= inside
-        low = np.flatnonzero(cut)
-        # the last window of a run: the next run's first less one, but never past the text's last window
-        last = bounds[owner[low] + 1] - length
-        self.low = low
-        self.high = np.minimum(np.append(low[1:], n) - 1, last)
-        self.anchor, self.owner = anchor[low], owner[low]
-        self.key = grams[self.anchor]
-        span = span_hashes(prefix, low, self.high + length)
-        self.whole = mix(span ^ mix((self.anchor - low).astype(U64) << U64(32) | (self.high - low).astype(U64)) ^ self.key)
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [none] * 4 + [none.astype(U64)] * 2
+        self.low, self.high, self.anchor, self.owner, self.key, self.whole = columns
+
+
+def _stretches(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    data, bounds = block.data, block.bounds
+    n = len(data) - length + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(U64), none.astype(U64)
+    prefix = prefix_hashes(data)
+    at = np.arange(len(data) - gram + 1)
+    grams = mix(span_hashes(prefix, at, at + gram))
+    # the same number of hash bits in every batch, so that equal windows choose alike
+    place_bits = U64(max(PLACE_BITS, len(grams).bit_length()))
+    marked = (grams >> place_bits << place_bits) | at.astype(U64)
+    least = sliding_least(marked, length - gram + 1)
+    anchor = (least & ((U64(1) << place_bits) - U64(1))).astype(np.int64)
+    owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
+    inside = owner[:n] == owner[length - 1 :]
+    cut = np.ones(n, bool)
+    cut[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:n] != owner[: n - 1])
+    cut &= inside
+    low = np.flatnonzero(cut)
+    # the last window of a run: the next run's first less one, but never past the text's last window
+    high = np.minimum(np.append(low[1:], n) - 1, bounds[owner[low] + 1] - length)
+    anchor, owner = anchor[low], owner[low]
+    key = mix(grams[anchor])  # the smallest hashes of windows are all small: spread them again
+    shape = (anchor - low).astype(U64) << U64(32) | (high - low).astype(U64)
+    whole = mix(span_hashes(prefix, low, high + length) ^ mix(shape) ^ key)
+    return low, high, anchor, owner, key, whole
 
 
 class Distinct:
@@ -114,26 +131,34 @@ def decide_stretches(numbers: np.ndarray, payloads: list[bytes]) -> list[bytes]:
     group = np.cumsum(~same_key) - 1
     kinds = np.bincount(group, weights=~same_all) if len(k) else np.zeros(0)
     status = np.empty(len(k), np.uint8)
-    status[order] = np.where(same_all, REPEAT, np.where(kinds[group] > 1, OPEN, SINGLE)) if len(k) else []
+    fresh = np.where(kinds > CROWD, CROWDED, np.where(kinds > 1, OPEN, SINGLE))
+    status[order] = np.where(same_all, REPEAT, fresh[group]) if len(k) else []
     return [pack(x) for x in np.split(status, np.cumsum(sizes)[:-1])]
 
 
 class Suffixes:
-    """Suffixes of one text, each taken for at most ``length`` bytes."""
+    """Suffixes of a text made of stretches, each suffix taken for ``length`` bytes inside its stretch.
+
+    ``local`` is each byte's place in its stretch: hashes restart there, so few powers are needed.
+    """
 
-    def __init__(self, text: np.ndarray, length: int):
-        self.text, self.length = np.concatenate((text, np.zeros(length, np.uint8))), length
-        self.prefix = prefix_hashes(self.text)
+    def __init__(self, text: np.ndarray, local: np.ndarray, length: int):
+        self.text, self.length, self.local = np.append(text, np.uint8(0)), length, local
+        most = int(local.max(initial=0)) + 1
+        self.inverse = powers(BASE_INVERSE, most)
+        self.prefix = np.zeros(len(text) + 1, U64)
+        np.cumsum((text.astype(U64) + U64(1)) * powers(BASE, most)[local], out=self.prefix[1:])
         self.steps = [1 << i for i in range(int(length).bit_length() - 1, -1, -1)]
 
+    def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return (self.prefix[starts + size] - self.prefix[starts]) * self.inverse[self.local[starts]]
+
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Longest common extension of the suffixes at x and y, by binary search over prefix hashes."""
         done = np.zeros(len(x), np.int64)
         for step in self.steps:
-            a, b = x + done, y + done
             fits = np.flatnonzero(done + step <= self.length)
-            a, b = a[fits], b[fits]
-            equal = span_hashes(self.prefix, a, a + step) == span_hashes(self.prefix, b, b + step)
+            equal = self.hashes(x[fits] + done[fits], step) == self.hashes(y[fits] + done[fits], step)
             done[fits[equal]] += step
         return done
 
@@ -193,32 +218,47 @@ class Suffixes:
         return out
 
 
-def repeats_of(text: np.ndarray, starts: np.ndarray, key: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+def repeats_of(
+    text: np.ndarray, local: np.ndarray, starts: np.ndarray, key: np.ndarray, rank: np.ndarray, length: int
+) -> np.ndarray:
     """True for each suffix that equals, for ``length`` bytes, one of its ``key`` with a smaller ``rank``."""
     repeated = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return repeated
-    suffixes = Suffixes(text, length)
+    suffixes = Suffixes(text, local, length)
     begin = suffixes.eights(starts)
     order = np.lexsort((rank, begin, key))
-    same = (key[order][1:] == key[order][:-1]) & (begin[order][1:] == begin[order][:-1])
-    group = np.concatenate(([0], np.cumsum(~same)))
+    same = (key[order[1:]] == key[order[:-1]]) & (begin[order[1:]] == begin[order[:-1]])
+    # suffixes alone with their key and first bytes repeat nothing
+    with_twin = np.append(same, False) | np.concatenate(([False], same))
+    group = np.concatenate(([0], np.cumsum(~same)))[with_twin]
+    order = order[with_twin]
+    del begin, same, with_twin
+    at = 0
+    while at < len(order):  # whole groups, about SORT_AT_ONCE suffixes at a time
+        to = int(np.searchsorted(group, group[min(at + SORT_AT_ONCE, len(order)) - 1], side="right"))
+        _mark_repeats(suffixes, starts, order[at:to], group[at:to], rank, repeated)
+        at = to
+    return repeated
+
+
+def _mark_repeats(
+    suffixes: Suffixes, starts: np.ndarray, order: np.ndarray, group: np.ndarray, rank: np.ndarray, repeated: np.ndarray
+) -> None:
     order = order[suffixes.sorted(starts[order], group)]
-    # Stable sort of rank-ordered suffixes: within a run of equals the first is the earliest.
-    at = np.flatnonzero(same)
+    # The sort is stable and began by rank: within a run of equals the first is the earliest.
+    at = np.flatnonzero(group[1:] == group[:-1])
     x, y = starts[order[at]], starts[order[at + 1]]
-    equal = suffixes.common(x, y) >= length
+    equal = suffixes.common(x, y) >= suffixes.length
     at, x, y = at[equal], x[equal], y[equal]
     true = suffixes.equal_bytes(x, y)
     repeated[order[at[true] + 1]] = True
-    for i in at[~true].tolist():  # two strings with one hash: compare this group by its bytes
-        lo, hi = np.searchsorted(group, group[i], side="left"), np.searchsorted(group, group[i], side="right")
+    for g in np.unique(group[at[~true]]).tolist():  # two strings with one hash: compare this group by its bytes
+        members = order[np.searchsorted(group, g, side="left") : np.searchsorted(group, g, side="right")]
         seen: dict[bytes, int] = {}
-        members = sorted(order[lo:hi].tolist(), key=lambda j: int(rank[j]))
-        for j in members:
-            string = text[starts[j] : starts[j] + length].tobytes()
+        for j in sorted(members.tolist(), key=lambda j: int(rank[j])):
+            string = suffixes.text[starts[j] : starts[j] + suffixes.length].tobytes()
             repeated[j] = seen.setdefault(string, j) != j
-    return repeated
 
 
 def sort_bucket(length: int):
@@ -239,15 +279,26 @@ def sort_bucket(length: int):
         total = int(count.sum())
         stretch = np.repeat(np.arange(len(count)), count)
         inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        local = np.arange(len(text)) - np.repeat(base, span)
         # windows that meet in one suffix group hold the anchor at the same place
         kind = mix(key[stretch] ^ mix(offset[stretch].astype(U64) - inside.astype(U64)))
-        found = repeats_of(text, base[stretch] + inside, kind, rank[stretch] << np.int64(16) | inside, length)
+        found = repeats_of(text, local, base[stretch] + inside, kind, rank[stretch] << np.int64(16) | inside, length)
         cuts = np.cumsum([int(p[3].sum()) for p in parts])[:-1]
         return [pack(np.array([len(f)], np.int64), np.packbits(f)) for f in np.split(found, cuts)]
 
     return step
 
 
+def window_hashes(block: Block, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes at each of the ascending ``starts``."""
+    found = [np.zeros(0, U64)]
+    for _, byte, part in block.parts():
+        lo, hi = np.searchsorted(starts, [byte, byte + len(part.data)])
+        at = starts[lo:hi] - byte
+        found.append(mix(span_hashes(prefix_hashes(part.data), at, at + length)))
+    return np.concatenate(found)
+
+
 class Marks:
     """The stretches of a batch and what the first step said of each distinct one."""
 
@@ -259,6 +310,12 @@ class Marks:
         if len(self.status) != len(self.distinct.first):
             raise ValueError("answers do not fit the batch")
         self.open = np.flatnonzero(self.status == OPEN)
+        # windows of crowded anchors, ascending, and what is known of their hashes
+        at = self.distinct.first[self.status == CROWDED]
+        count = self.found.high[at] - self.found.low[at] + 1
+        low = self.found.low[at] - (np.cumsum(count) - count)
+        self.crowded = np.sort(np.arange(int(count.sum())) + np.repeat(low, count))
+        self.windows = FirstOccurrence(window_hashes(block, self.crowded, length))
 
 
 def remove_repeated_bytes(
@@ -268,8 +325,8 @@ def remove_repeated_bytes(
 
     With ``whole_characters``, the remaining bytes of a character that lost some go as well.
     """
-    batches = text_batches(docs)
-    bits = bucket_bits(batches)
+    batches = text_batches(docs, BATCH)
+    bits = bucket_bits(batches, BUCKET)
 
     def deal(ids: np.ndarray, block: Block) -> Iterator[tuple[int, bytes]]:
         found = Stretches(block, length, gram)
@@ -293,19 +350,29 @@ def remove_repeated_bytes(
                 count.astype(np.uint16), (found.anchor[at] - low).astype(np.uint16), block.data[flat],
             )
 
+    def send_crowded(ids: np.ndarray, block: Block, status: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        marks = Marks(block, status, length, gram)
+        owner = np.searchsorted(block.bounds, marks.crowded, side="right") - 1
+        yield from marks.windows.payloads(ids[owner], marks.crowded - block.bounds[owner], bits)
+
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow:
-            for _, ids, block, (status, windows) in rows_of(part):
-                yield _kept(ids, block, Marks(block, status, length, gram), windows, length, whole_characters)
+            for _, ids, block, (status, windows, crowded) in rows_of(part):
+                marks = Marks(block, status, length, gram)
+                yield _kept(ids, block, marks, windows, crowded, length, whole_characters)
 
     status = gather(scatter(batches.select("batch", "content"), deal), decide_stretches, "suffix-status")
-    windows = gather(scatter(with_answers(batches, status), send_open), sort_bucket(length), "suffix-windows")
-    return with_answers(batches, status, windows).mapInArrow(
+    sent = with_answers(batches, status)
+    windows = gather(scatter(sent, send_open), sort_bucket(length), "suffix-windows")
+    crowded = gather(scatter(sent, send_crowded), decide_first, "suffix-crowded")
+    return with_answers(batches, status, windows, crowded).mapInArrow(
         keep, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,length:long>>"
     )
 
 
-def _kept(ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], length: int, whole: bool) -> pa.RecordBatch:
+def _kept(
+    ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], crowded: list[bytes], length: int, whole: bool
+) -> pa.RecordBatch:
     found, kinds = marks.found, marks.distinct
     n = len(block.data)
     # all windows of a stretch that is not the first of its kind
@@ -321,6 +388,9 @@ def _kept(ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], len
     if flags:
         starts = np.arange(int(count.sum())) + np.repeat(found.low[at] - (np.cumsum(count) - count), count)
         single = starts[np.concatenate(flags)]
+    if crowded:
+        again = marks.windows.repeats(bits_of(crowded, 1, len(marks.windows.keys)))
+        single = np.concatenate((single, marks.crowded[again]))
     gone = runs_to_mask(np.concatenate((low, single)), np.concatenate((high, single)) + length, n)
     owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
     begin = gone.copy()
