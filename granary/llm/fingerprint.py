@@ -106,12 +106,13 @@ def with_next(docs: DataFrame, key: str, carried: list[str], parts: int) -> Data
     before it as well, so one exchange suffices and no task sees more than one range.
     """
     points = split_points(docs, key, parts)
-    if not points:
-        points = [0]
+    if not points or not docs.where(F.col(key).isNull()).isEmpty():
+        points = [(points[0] if points else 1) - 1, *points]  # a null key is a range before all others
+    own = F.coalesce(F.col(key), F.lit(int(points[0])))
     starts = F.array(*[F.lit(int(p)) for p in points])
-    at = F.greatest(F.lit(1), F.size(F.filter(starts, lambda p: p <= F.coalesce(F.col(key), F.lit(points[0])))))
+    at = F.greatest(F.lit(1), F.size(F.filter(starts, lambda p: p <= own)))
     with_nulls = docs.withColumn("_part", at).withColumn("_echo", F.lit(False))
-    first = F.col(key).isin([int(p) for p in points])
+    first = own.isin([int(p) for p in points])
     before = F.when(F.col("_part") == 1, F.lit(len(points))).otherwise(F.col("_part") - 1)
     dealt = with_nulls.withColumn(
         "_copies",
