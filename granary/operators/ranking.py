@@ -33,7 +33,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     distinct = sorted(set(terms))
     if not distinct:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
-    counts = [F.size(F.filter("tokens", lambda t, w=w: _same(t, w))) for w in distinct]
+    counts = [F.size(F.filter("tokens", _is(w))) for w in distinct]
     rows = token_stats(docs, key, text).select(key, "dl", *[c.alias(f"_tf{i}") for i, c in enumerate(counts)])
     stats = rows.agg(
         F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(distinct))]
@@ -48,8 +48,8 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return both.select(key, score.alias("score"))
 
 
-def _same(t: Column, w: str) -> Column:
-    return t == F.lit(w)
+def _is(word: str):
+    return lambda t: t == F.lit(word)
 
 
 def field_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
