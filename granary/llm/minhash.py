@@ -41,6 +41,8 @@ SMALL = 16
 CHUNK = 1024
 BLOCK_SETS = 512
 MARGIN = 4.5
+#: Sets, and band keys, that one task handles with ease; fewer tasks than shuffle partitions suffice for few.
+SETS_A_TASK, KEYS_A_TASK = 1_000, 200_000
 NEAR, OF = 85, 100
 
 
@@ -347,6 +349,7 @@ class NearDuplicates:
         linked = self.all.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = linked.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("regs").alias("regs"))
         self.classes = staged(self.classes, "near-classes")
+        self.tasks = max(16, -(-self.classes.count() * BANDS // KEYS_A_TASK))
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -359,18 +362,20 @@ class NearDuplicates:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Check ``pairs`` (staged) on the full sets and renew the components."""
-        ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        ids = staged(ids.coalesce(self.tasks), "near-ids")
         sets = with_ids(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
         sets = staged(sets.mapInArrow(_sets(self.width), "id long, hashes binary"), "near-sets")
         x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-        found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
-        found = staged(found.distinct(), "near-links")
+        tasks = max(16, -(-ids.count() // SETS_A_TASK))
+        found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").coalesce(tasks)
+        found = staged(found.mapInArrow(_confirm, "a long, b long").distinct().coalesce(tasks), "near-links")
         self.linked(found)
 
     def linked(self, found: DataFrame) -> None:
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.roots = staged(connected_components(self.links, "a", "b"), "near-roots")
+        self.roots = staged(connected_components(self.links, "a", "b", self.tasks).coalesce(self.tasks), "near-roots")
 
     def settle(self, pairs: DataFrame) -> None:
         """Confirm ``pairs`` (with ``guess``): first each class's likeliest partner, then what still joins two components."""
@@ -378,7 +383,7 @@ class NearDuplicates:
             pairs.select("a", "b", F.col("b").alias("x"), "guess")
         )
         first = ends.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p"))
-        first = staged(first.select("p.a", "p.b").distinct(), "near-chosen")
+        first = staged(first.select("p.a", "p.b").distinct().coalesce(self.tasks), "near-chosen")
         self.confirm(first)
         rest = self.apart(pairs.select("a", "b")).join(first, ["a", "b"], "left_anti")
         rest = staged(rest, "near-chosen")
@@ -400,7 +405,7 @@ class NearDuplicates:
         width = shuffle_width(self.spark)
         keys = self.classes.select("id", "n", "regs").mapInArrow(_bands, "key long, id long, n long")
         crowd = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        shared = staged(keys.join(crowd, "key"), "near-bands")
+        shared = staged(keys.join(crowd, "key").coalesce(self.tasks), "near-bands")
         pairs = shared.where(F.col("m") <= SMALL).drop("m").repartition(width, "key")
         pairs = pairs.mapInArrow(_small_pairs, "a long, b long").distinct()
         pairs = staged(self.guessed(pairs, self.classes.select("id", "n", "regs")), "near-pairs")
@@ -438,7 +443,7 @@ class NearDuplicates:
         block of partners with one copy of the set for each block, never as one row a pair.
         """
         rows = staged(self.members(large, ["key"]), "near-open")
-        ids = staged(rows.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+        ids = staged(rows.select(F.col("id").alias("doc_id")).distinct().coalesce(self.tasks), "near-ids")
         count = ids.count()
         if not count:
             return
@@ -457,7 +462,8 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["block", "id", "hashes"])
 
         held = sets.mapInArrow(numbered, "block long, id long, hashes binary").groupBy("block")
-        found = staged(asks.cogroup(held).applyInArrow(_confirm_block, "a long, b long").distinct(), "near-links")
+        found = asks.cogroup(held).applyInArrow(_confirm_block, "a long, b long").distinct()
+        found = staged(found.coalesce(self.tasks), "near-links")
         if not found.isEmpty():
             self.linked(found)
 
@@ -475,7 +481,7 @@ class NearDuplicates:
                     out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(guess)], ["a", "b", "guess"])
                     yield out.filter(keep)
 
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb")
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").coalesce(self.tasks)
         return both.mapInArrow(run, "a long, b long, guess double")
 
 
