@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", t
     """``id, component`` for every node with an edge to another; ``component`` is the smallest id reached.
 
     Each pass joins the edges with one minimum a node, so a hub's neighbours are never gathered in
-    one place. The passes needed grow with the logarithm of the longest path. Null ends are ignored. ``tasks``: as many suffice for the first, unknown number of edges.
+    one place. The passes needed grow with the logarithm of the longest path. Null ends are ignored.
+    ``tasks``: as many suffice for the first, unknown number of edges.
     """
     now = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
