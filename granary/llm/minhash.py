@@ -10,7 +10,8 @@ the next full one for the bands (short texts), never for the estimate.
 Components need a link between two groups, not all links inside one: a candidate pair is confirmed
 only while its ends are in different components, each class's likeliest partners first, until no
 untested pair between two components is left. Groups of more than 16 members are cut into chunks
-first; what these leave apart is confirmed block by block of sets.
+first, and of these every fourth band is looked at first; what this leaves apart is confirmed over all
+bands, block by block of sets.
 
 Edge cases: a null, empty or blank text has an empty set and no links; a text with fewer words
 than a shingle is one shingle; rows that share a ``doc_id`` are one document, linked if any of
@@ -40,6 +41,7 @@ EMPTY = np.uint16(0xFFFF)
 SMALL = 16
 CHUNK = 1024
 BLOCK_SETS = 512
+FIRST_BANDS = 4
 MARGIN = 4.5
 #: Sets, and band keys, that one task handles with ease; fewer tasks than shuffle partitions suffice for few.
 SETS_A_TASK, KEYS_A_TASK = 1_000, 200_000
@@ -310,7 +312,7 @@ def _confirm_block(asks: pa.Table, held: pa.Table) -> pa.Table:
     a, b = [], []
     for one, partners, own in zip(*(asks.column(c).to_pylist() for c in ("id", "partners", "hashes")), strict=True):
         own = np.frombuffer(own, U64)
-        for other in np.frombuffer(partners, np.int64).tolist():
+        for other in np.frombuffer(b"".join(partners), np.int64).tolist():
             if alike(own, np.frombuffer(sets[other], U64)):
                 a.append(min(one, other))
                 b.append(max(one, other))
@@ -416,8 +418,10 @@ class NearDuplicates:
         )
         large = staged(large, "near-large")
         if not large.isEmpty():
+            # near copies share many bands: a few join most components, and exhaust() takes all that are left
+            few = large.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_BANDS)) == 0)
             for by, best in ((["key", "salt"], 1), (["key"], 4)):
-                rows = self.members(large, by).repartition(width, *by)
+                rows = self.members(few, by).repartition(width, *by)
                 found = rows.mapInArrow(_large_pairs(best, by), "x long, y long, guess double")
                 likely = Window.partitionBy("x").orderBy(F.desc("guess"), "y")
                 found = found.withColumn("r", F.row_number().over(likely)).where(F.col("r") <= best)
@@ -454,6 +458,7 @@ class NearDuplicates:
         lists = staged(lists, "near-lists")
         sets = with_ids(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
         sets = staged(sets.mapInArrow(_sets(self.width), "id long, hashes binary"), "near-sets")
+        lists = lists.groupBy("block", "id").agg(F.collect_list("partners").alias("partners"))  # at most one a band
         asks = lists.join(sets, "id").groupBy("block")
 
         def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
