@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
-columns of ``documents``. What a stage drops or cuts, the next one never sees.
+columns of ``documents``. What a stage drops or cuts, the next one never sees. Rows are told apart by row, not by
+``doc_id``: a null id passes through all stages, and rows that share an id stay separate rows (only ``near_dedup``
+takes them for one document, which goes or stays as a whole).
 
 1. ``quality``: documents that the line rules reject go; surviving documents lose their failed lines.
 2. ``near_dedup``: one document of each near-duplicate group (five-word shingles, Jaccard 0.85) stays.
@@ -43,14 +45,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.remove_repeated_bytes(docs, whole_characters=True)
-    left = left.select("doc_id", F.col("kept").cast("string").alias("text")).where(F.length("text") > 0)
-    return _columns(left.join(docs.select("doc_id", "lang", "source"), "doc_id"))
+    left = suffix_dedup.remove_repeated_bytes(docs, whole_characters=True, carry=("lang", "source"))
+    return _columns(left.withColumn("text", F.col("kept").cast("string")).where(F.length("text") > 0))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "taken")
-    both = docs.join(taken, "doc_id")
+    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mixing.mix(docs, row_id="_row").where("taken > 0").select(F.col("row_id").alias("_row"), "size", "taken")
+    both = docs.join(taken, "_row")
     words = quality.word_array(quality.text_of())
     rest = F.col("taken") % F.col("size")
     last = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " ")

@@ -27,8 +27,11 @@ NO_ID = np.int64(-(1 << 63))
 Step = Callable[[np.ndarray, Block, list[bytes]], Iterator[tuple[int, bytes]]]
 
 
-def text_batches(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
-    """Staged ``batch, n_bytes, content``; documents ascend by ``doc_id`` in a batch, a null id comes first."""
+def text_batches(docs: DataFrame, limit: int = BATCH_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Staged ``batch, n_bytes, content``; documents ascend by ``doc_id`` in a batch, a null id comes first.
+
+    With ``carry``, ``carried`` holds those columns of the batch's documents, in the same order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -41,25 +44,47 @@ def text_batches(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
             raw = len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
             head = pack(ids, sizes)
             content = len(head).to_bytes(8, "little") + head + raw
-            return pa.RecordBatch.from_arrays(
-                [pa.array([task << 32 | number]), pa.array([size], pa.int64()), pa.array([content], pa.binary())],
-                ["batch", "n_bytes", "content"],
-            )
+            row = {"batch": [task << 32 | number], "n_bytes": [size], "content": [content]}
+            if carry:
+                row["carried"] = [carried_bytes([x[2] for x in held], fields)]
+            return pa.RecordBatch.from_pydict(row, schema)
 
         for batch in batches:
             ids = batch.column(0).fill_null(int(NO_ID)).to_pylist()
-            for doc, text in zip(ids, batch.column(1), strict=True):
+            fields = [batch.schema.field(c) for c in carry]
+            others = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True) if carry else [()] * len(ids)
+            for doc, text, other in zip(ids, batch.column(1), others, strict=True):
                 text = text.as_buffer().to_pybytes() if text.is_valid else b""
                 if held and size + len(text) > limit:
                     yield done()
                     number, held, size = number + 1, [], 0
-                held.append((doc, text))
+                held.append((doc, text, other))
                 size += len(text)
         if held:
             yield done()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(run, "batch long, n_bytes long, content binary"), "text-batches")
+    names = ["batch", "n_bytes", "content", *(["carried"] if carry else [])]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=False)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    columns = "batch long, n_bytes long, content binary" + (", carried binary" if carry else "")
+    return staged(rows.mapInArrow(run, columns), "text-batches")
+
+
+def carried_bytes(rows: list[tuple], fields: list[pa.Field]) -> bytes:
+    """Rows of further columns as one Arrow stream."""
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, pa.schema(fields), options=options) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)))
+    return sink.getvalue().to_pybytes()
+
+
+def carried_columns(content: bytes) -> dict[str, pa.Array]:
+    """The columns of ``carried_bytes``."""
+    with pa.ipc.open_stream(content) as rows:
+        batch = rows.read_next_batch()
+    return dict(zip(batch.schema.names, batch.columns, strict=True))
 
 
 def opened(content: bytes) -> tuple[np.ndarray, Block]:
@@ -77,12 +102,17 @@ def bucket_bits(batches: DataFrame, size: int = BUCKET_BYTES) -> int:
     return max(3, int(np.ceil(np.log2(max(total / size, shuffle_width(batches.sparkSession))))))
 
 
-def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:
-    """``batch, content, a0, a1, ...``: each batch with its answers of every step, ordered by bucket."""
-    out = batches.select("batch", "content")
+def with_answers(batches: DataFrame, *answers: DataFrame, carry: bool = False) -> DataFrame:
+    """``batch, content, a0, a1, ...``: each batch with its answers of every step, ordered by bucket.
+
+    With ``carry``, what the batches carry comes last.
+    """
+    out = batches.select("batch", "content", *(["carried"] if carry else []))
     for i, found in enumerate(answers):
         by_batch = found.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias(f"_{i}"))
         out = out.join(by_batch, "batch", "left").withColumn(f"a{i}", F.col(f"_{i}.answer")).drop(f"_{i}")
+    if carry:
+        out = out.withColumn("carry", F.col("carried")).drop("carried")
     return out
 
 

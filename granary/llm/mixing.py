@@ -107,14 +107,21 @@ def _shard_quotas(table: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    seed: int = SEED,
+    row_id: str | None = None,
 ) -> DataFrame:
-    """One row a document: ``doc_id, source, size, source_size, target, taken`` (words, repeats counted)."""
+    """One row a document: ``row_id, doc_id, source, size, source_size, target, taken`` (words, repeats counted).
+
+    ``row_id`` names a column of distinct row numbers (long); without it the rows are numbered here.
+    """
     sized = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.size(word_array(text_of())).cast("long").alias("size"),
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
     )
     sized = staged(sized, "mix-sizes")
     shards = max(1, -(-sized.count() // SHARD_DOCS))
@@ -158,6 +165,7 @@ def mix(
     cells = cells.withColumn("_got", F.greatest(F.lit(0).cast("long"), F.least(F.col("b.len"), F.col("rest") - before)))
     picked = cells.where(F.col("_got") > 0).groupBy("row_id").agg(F.sum("_got").alias("picked"))
     return both.join(picked, "row_id", "left").select(
+        "row_id",
         "doc_id",
         "source",
         "size",

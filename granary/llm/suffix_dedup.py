@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exchange import (
-    NO_ID, FirstOccurrence, bits_of, bucket_bits, decide_first, gather, rows_of, scatter, slices, text_batches, with_answers,
+    NO_ID, FirstOccurrence, bits_of, bucket_bits, carried_columns, decide_first, gather, rows_of, scatter, slices,
+    text_batches, with_answers,
 )
 from .kernels import (
     BASE, BASE_INVERSE, U64, Block, mix, pack, powers, prefix_hashes, runs_to_mask, span_hashes, unpack,
@@ -319,13 +320,18 @@ class Marks:
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_characters: bool = False
+    docs: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    whole_characters: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, n_bytes, kept, spans``: remaining bytes, and the maximal removed runs as (start, length).
 
-    With ``whole_characters``, the remaining bytes of a character that lost some go as well.
+    With ``whole_characters``, the remaining bytes of a character that lost some go as well. ``carry`` names
+    columns of ``docs`` that each row keeps.
     """
-    batches = text_batches(docs, BATCH)
+    batches = text_batches(docs, BATCH, carry)
     bits = bucket_bits(batches, BUCKET)
 
     def deal(ids: np.ndarray, block: Block) -> Iterator[tuple[int, bytes]]:
@@ -357,16 +363,20 @@ def remove_repeated_bytes(
 
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow:
-            for _, ids, block, (status, windows, crowded) in rows_of(part):
+            for _, ids, block, (status, windows, crowded, *carried) in rows_of(part):
                 marks = Marks(block, status, length, gram)
-                yield _kept(ids, block, marks, windows, crowded, length, whole_characters)
+                out = _kept(ids, block, marks, windows, crowded, length, whole_characters)
+                for name, column in (carried_columns(carried[0]) if carry else {}).items():
+                    out = out.append_column(name, column)
+                yield out
 
     status = gather(scatter(batches.select("batch", "content"), deal), decide_stretches, "suffix-status")
     sent = with_answers(batches, status)
     windows = gather(scatter(sent, send_open), sort_bucket(length), "suffix-windows")
     crowded = gather(scatter(sent, send_crowded), decide_first, "suffix-crowded")
-    return with_answers(batches, status, windows, crowded).mapInArrow(
-        keep, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,length:long>>"
+    further = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return with_answers(batches, status, windows, crowded, carry=bool(carry)).mapInArrow(
+        keep, f"doc_id long, n_bytes long, kept binary, spans array<struct<start:long,length:long>>{further}"
     )
 
 

@@ -124,3 +124,28 @@ def test_run_equals_the_stages(spark, prose, after, tmp_path):
 def test_no_documents(spark, prose, tmp_path):
     prose.where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    """A row is neither lost for a null id nor multiplied by rows that share its id."""
+    draw = random.Random(5)
+    text = lambda n: "\n".join(" ".join(f"w{draw.randrange(10**6)}" for _ in range(10)) for _ in range(n))
+    rows = [(i, text(9), "en", f"s{i % 2}") for i in range(12)]
+    rows += [(None, text(9), "de", "s0"), (None, text(5), "fr", "s1"), (3, text(7), "it", "s2"), (3, text(20), "nl", None)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.suffix_dedup_stage(spark, df, "").cache()
+    assert Counter(tuple(r)[:4] for r in left.collect()) == Counter(rows)
+    sizes, taken, copies = Counter(), Counter(), Counter()
+    for _, t, _, source in rows:
+        sizes[source] += len(words_of(t))
+    for r in cp.mix_stage(spark, left, "").collect():
+        n = len(words_of(r["text"]))
+        taken[r["source"]] += n
+        copies[r["lang"], r["doc_id"]] += n
+    for source, target in targets(sizes).items():
+        assert abs(taken[source] - target) <= 1
+    per = Counter()
+    for d, t, lang, _ in rows:
+        per[lang, d] += len(words_of(t))
+    assert all(n <= 2 * per[key] for key, n in copies.items())
+    assert {("de", None), ("fr", None), ("it", 3), ("nl", 3)} & copies.keys()
