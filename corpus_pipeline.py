@@ -6,7 +6,7 @@ columns of ``documents``. What a stage drops or cuts, the next one never sees. R
 takes them for one document, which goes or stays as a whole).
 
 1. ``quality``: documents that the line rules reject go; surviving documents lose their failed lines.
-2. ``near_dedup``: one document of each near-duplicate group (five-word shingles, Jaccard 0.85) stays.
+2. ``near_dedup``: one document of each near-duplicate group (five-word shingles, Jaccard 0.80) stays.
 3. ``suffix_dedup``: bytes covered by a 100-byte string that stood earlier go; a character that loses
    a byte goes whole; a document that loses all its text goes.
 4. ``mix``: sources are weighted; a document appears once for each whole pass of its shard, and once
@@ -24,6 +24,7 @@ from granary.llm.staging import read_table, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE = 5
+NEAR = 80
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, SHINGLE).where("NOT kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, SHINGLE, NEAR).where("NOT kept").select("doc_id").distinct()
     gone = staged(gone, "near-gone")
     small = gone.count() <= 1_000_000
     return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -1,6 +1,7 @@
 """Near-duplicates by HyperMinHash registers, banding and exact confirmation (operator 10).
 
-A text's set is its distinct three-word shingles (``width`` sets another number). 128 registers
+A text's set is its distinct three-word shingles (``width`` sets another number). Links need a Jaccard
+similarity of 85 percent (``near`` sets another). 128 registers
 hold, for each bucket of the hash space, the leading zeros and ten further bits of the smallest
 hash. Texts with equal sets are one class; classes that share a band of four registers are
 candidates; a collision-corrected estimate of Jaccard similarity discards the hopeless ones by a
@@ -22,6 +23,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -111,17 +113,19 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 0.169919487159739 * 2.0 ** (P - MANTISSA) * phi
 
 
-def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimates(
+    a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, near: int = NEAR
+) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates, and the least estimate with which a pair stays a candidate."""
     used = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(-1), 1)
     same = ((a == b) & (a != EMPTY)).sum(-1)
     by_chance = np.minimum(expected_collisions(np.maximum(na, nb), np.minimum(na, nb)), same)
-    share = NEAR / OF
+    share = near / OF
     return (same - by_chance) / used, share - MARGIN * np.sqrt(share * (1 - share) / used)
 
 
-def similar_size(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return OF * np.minimum(na, nb) >= NEAR * np.maximum(na, nb)
+def similar_size(na: np.ndarray, nb: np.ndarray, near: int = NEAR) -> np.ndarray:
+    return OF * np.minimum(na, nb) >= near * np.maximum(na, nb)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -189,7 +193,7 @@ def _pair_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small_pairs(batches: Iterator[pa.RecordBatch], near: int = NEAR) -> Iterator[pa.RecordBatch]:
     """All pairs of groups of at most SMALL members, once a partition."""
     held = [b for b in batches if len(b)]
     if not held:
@@ -202,13 +206,13 @@ def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(size):
             for j in range(i + 1, size):
                 x, y = starts + i, starts + j
-                fit = similar_size(n[x], n[y]) & (ids[x] != ids[y])
+                fit = similar_size(n[x], n[y], near) & (ids[x] != ids[y])
                 a.append(ids[x][fit])
                 b.append(ids[y][fit])
     yield _pair_batch(a, b)
 
 
-def _mixed_groups(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple]:
+def _mixed_groups(table: pa.Table, bounds: np.ndarray, near: int) -> Iterator[tuple]:
     """For each block of members outside a group's largest component: start of the group, block, components,
     registers, plausible partners, and the estimates."""
     n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
@@ -222,8 +226,8 @@ def _mixed_groups(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple]:
         step = max(1, (2 << 20) // ((end - start) * M))
         for lo in range(0, len(minor), step):
             x = minor[lo : lo + step]
-            guess, least = estimates(regs[x][:, None, :], regs[None, :, :], own[x][:, None], own[None, :])
-            good = (guess >= least) & similar_size(own[x][:, None], own[None, :]) & (at[None, :] != at[x][:, None])
+            guess, least = estimates(regs[x][:, None, :], regs[None, :, :], own[x][:, None], own[None, :], near)
+            good = (guess >= least) & similar_size(own[x][:, None], own[None, :], near) & (at[None, :] != at[x][:, None])
             yield start, x, minor, regs, good, guess
 
 
@@ -233,7 +237,7 @@ def _first_shared(bands: np.ndarray, x: np.ndarray, y: np.ndarray, key: int) ->
     return one[np.arange(len(x)), (one == two).argmax(axis=1)] == key
 
 
-def _large_pairs(best: int, by: list[str]):
+def _large_pairs(best: int, by: list[str], near: int):
     """Pairs of large groups: each member outside the largest component with its ``best`` partners by estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +247,7 @@ def _large_pairs(best: int, by: list[str]):
         table, bounds = _groups(held, [*by, "id"])
         ids, key = table.column("id").to_numpy(), table.column("key").to_numpy()
         last, bands = -1, None
-        for start, x, _, regs, good, guess in _mixed_groups(table, bounds):
+        for start, x, _, regs, good, guess in _mixed_groups(table, bounds, near):
             if start != last:
                 last, bands = start, band_keys(regs).view(np.int64)
             order = np.argsort(np.where(good, -guess, 1.0), axis=1, kind="stable")[:, :best]
@@ -263,7 +267,7 @@ def block_of(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64)) % U64(n)).astype(np.int64)
 
 
-def _open_lists(n_blocks: int):
+def _open_lists(n_blocks: int, near: int):
     """All partners between components of a mixed group, each pair in the first band it shares: ``block, id, partners``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +277,7 @@ def _open_lists(n_blocks: int):
         table, bounds = _groups(held, ["key", "id"])
         ids, key = table.column("id").to_numpy(), table.column("key").to_numpy()
         last, bands = -1, None
-        for start, x, minor, regs, good, _ in _mixed_groups(table, bounds):
+        for start, x, minor, regs, good, _ in _mixed_groups(table, bounds, near):
             if start != last:
                 last, bands = start, band_keys(regs).view(np.int64)
                 outside = np.zeros(len(regs), bool)
@@ -300,29 +304,29 @@ def _open_lists(n_blocks: int):
     return run
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
+def alike(x: np.ndarray, y: np.ndarray, near: int = NEAR) -> bool:
     both = np.concatenate((x, y))
     both.sort()
     inter = int((both[1:] == both[:-1]).sum())
-    return OF * inter >= NEAR * (len(both) - inter)
+    return OF * inter >= near * (len(both) - inter)
 
 
-def _confirm_block(asks: pa.Table, held: pa.Table) -> pa.Table:
+def _confirm_block(asks: pa.Table, held: pa.Table, near: int = NEAR) -> pa.Table:
     sets = dict(zip(held.column("id").to_pylist(), held.column("hashes").to_pylist(), strict=True))
     a, b = [], []
     for one, partners, own in zip(*(asks.column(c).to_pylist() for c in ("id", "partners", "hashes")), strict=True):
         own = np.frombuffer(own, U64)
         for other in np.frombuffer(b"".join(partners), np.int64).tolist():
-            if alike(own, np.frombuffer(sets[other], U64)):
+            if alike(own, np.frombuffer(sets[other], U64), near):
                 a.append(min(one, other))
                 b.append(max(one, other))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], near: int = NEAR) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        keep = [alike(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in pairs]
+        keep = [alike(np.frombuffer(x, U64), np.frombuffer(y, U64), near) for x, y in pairs]
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
@@ -344,8 +348,8 @@ def _sets(width: int):
 class NearDuplicates:
     """One run: the classes, their candidates, and the links confirmed so far."""
 
-    def __init__(self, docs: DataFrame, width: int = 3):
-        self.docs, self.width = docs, width
+    def __init__(self, docs: DataFrame, width: int = 3, near: int = NEAR):
+        self.docs, self.width, self.near = docs, width, near
         self.spark = docs.sparkSession
         self.all = staged(sketches(docs, width), "near-sketches")
         linked = self.all.where("n > 0 AND doc_id IS NOT NULL")
@@ -372,7 +376,7 @@ class NearDuplicates:
         y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
         tasks = max(16, -(-ids.count() // SETS_A_TASK))
         found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").coalesce(tasks)
-        found = staged(found.mapInArrow(_confirm, "a long, b long").distinct().coalesce(tasks), "near-links")
+        found = staged(found.mapInArrow(partial(_confirm, near=self.near), "a long, b long").distinct().coalesce(tasks), "near-links")
         self.linked(found)
 
     def linked(self, found: DataFrame) -> None:
@@ -409,7 +413,7 @@ class NearDuplicates:
         crowd = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
         shared = staged(keys.join(crowd, "key").coalesce(self.tasks), "near-bands")
         pairs = shared.where(F.col("m") <= SMALL).drop("m").repartition(width, "key")
-        pairs = pairs.mapInArrow(_small_pairs, "a long, b long").distinct()
+        pairs = pairs.mapInArrow(partial(_small_pairs, near=self.near), "a long, b long").distinct()
         pairs = staged(self.guessed(pairs, self.classes.select("id", "n", "regs")), "near-pairs")
         if not pairs.isEmpty():
             self.settle(pairs)
@@ -422,7 +426,7 @@ class NearDuplicates:
             few = large.where(F.pmod(F.xxhash64("key"), F.lit(FIRST_BANDS)) == 0)
             for by, best in ((["key", "salt"], 1), (["key"], 4)):
                 rows = self.members(few, by).repartition(width, *by)
-                found = rows.mapInArrow(_large_pairs(best, by), "x long, y long, guess double")
+                found = rows.mapInArrow(_large_pairs(best, by, self.near), "x long, y long, guess double")
                 likely = Window.partitionBy("x").orderBy(F.desc("guess"), "y")
                 found = found.withColumn("r", F.row_number().over(likely)).where(F.col("r") <= best)
                 found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -453,7 +457,7 @@ class NearDuplicates:
             return
         blocks_ = -(-count // BLOCK_SETS)
         lists = rows.repartition(shuffle_width(self.spark), "key").mapInArrow(
-            _open_lists(blocks_), "block long, id long, partners binary"
+            _open_lists(blocks_, self.near), "block long, id long, partners binary"
         )
         lists = staged(lists, "near-lists")
         sets = with_ids(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
@@ -467,13 +471,19 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["block", "id", "hashes"])
 
         held = sets.mapInArrow(numbered, "block long, id long, hashes binary").groupBy("block")
-        found = asks.cogroup(held).applyInArrow(_confirm_block, "a long, b long").distinct()
+        near = self.near
+
+        def confirmed(asks: pa.Table, held: pa.Table) -> pa.Table:
+            return _confirm_block(asks, held, near)
+
+        found = asks.cogroup(held).applyInArrow(confirmed, "a long, b long").distinct()
         found = staged(found.coalesce(self.tasks), "near-links")
         if not found.isEmpty():
             self.linked(found)
 
     def guessed(self, pairs: DataFrame, regs: DataFrame) -> DataFrame:
         """Adds the estimate ``guess`` and drops pairs far below the limit."""
+        near = self.near
         x = regs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
         y = regs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
 
@@ -481,8 +491,8 @@ class NearDuplicates:
             for batch in batches:
                 if len(batch):
                     na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                    guess, least = estimates(_matrix(batch.column(4)), _matrix(batch.column(5)), na, nb)
-                    keep = pa.array((guess >= least) & similar_size(na, nb))
+                    guess, least = estimates(_matrix(batch.column(4)), _matrix(batch.column(5)), na, nb, near)
+                    keep = pa.array((guess >= least) & similar_size(na, nb, near))
                     out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(guess)], ["a", "b", "guess"])
                     yield out.filter(keep)
 
@@ -490,9 +500,9 @@ class NearDuplicates:
         return both.mapInArrow(run, "a long, b long, guess double")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id, kept``."""
-    return NearDuplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).run()
+def near_duplicates(docs: DataFrame, width: int = 3, near: int = NEAR) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, component_id, kept``; links from ``near`` percent similarity on."""
+    return NearDuplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, near).run()
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

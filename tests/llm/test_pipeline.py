@@ -149,3 +149,15 @@ def test_null_and_repeated_ids(spark):
         per[lang, d] += len(words_of(t))
     assert all(n <= 2 * per[key] for key, n in copies.items())
     assert {("de", None), ("fr", None), ("it", 3), ("nl", 3)} & copies.keys()
+
+
+def test_near_dedup_links_from_80_percent(spark):
+    """One changed word in 50 to 62 leaves a five-word Jaccard of 0.80 to 0.85; in 40 it leaves less."""
+    rows = []
+    for i, n in enumerate([40, 45, 50, 54, 58, 62, 80]):
+        words = [f"w{i}x{k}" for k in range(n)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[: n // 2], "changed", *words[n // 2 + 1 :]]))]
+    df = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    root = components(rows, 5, 80)
+    assert root != components(rows, 5)
+    assert texts(cp.near_dedup_stage(spark, df, "")) == {d: t for d, t in rows if root[d] == d}
