@@ -25,6 +25,7 @@ from granary.llm.staging import read_table, staged
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE = 5
 NEAR = 80
+WORD_ENDS = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -54,9 +55,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     taken = mixing.mix(docs, row_id="_row").where("taken > 0").select(F.col("row_id").alias("_row"), "size", "taken")
     both = docs.join(taken, "_row")
-    words = quality.word_array(quality.text_of())
+    words = F.split("text", WORD_ENDS)  # each with the blanks before it: line breaks stay
     rest = F.col("taken") % F.col("size")
-    last = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " ")
+    last = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), "")
     copies = F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     copies = F.when(rest > 0, F.concat(copies, F.array(last))).otherwise(copies)
     return _columns(both.select("doc_id", F.explode(copies).alias("text"), "lang", "source"))

@@ -113,8 +113,10 @@ def mix(
     seed: int = SEED,
     row_id: str | None = None,
 ) -> DataFrame:
-    """One row a document: ``row_id, doc_id, source, size, source_size, target, taken`` (words, repeats counted).
+    """One row a document: ``row_id, doc_id, source, size, source_size, target, taken, passes, spans``.
 
+    ``taken`` counts words, repeats included: ``passes`` times the whole document, and once more the words of
+    ``spans`` (``start``, ``length``, ascending), the blocks that the seeded order picked.
     ``row_id`` names a column of distinct row numbers (long); without it the rows are numbered here.
     """
     sized = docs.select(
@@ -163,7 +165,9 @@ def mix(
     )
     before = F.coalesce(F.sum("b.len").over(order), F.lit(0))
     cells = cells.withColumn("_got", F.greatest(F.lit(0).cast("long"), F.least(F.col("b.len"), F.col("rest") - before)))
-    picked = cells.where(F.col("_got") > 0).groupBy("row_id").agg(F.sum("_got").alias("picked"))
+    span = F.struct((F.col("b.at") * BLOCK).cast("long").alias("start"), F.col("_got").cast("long").alias("length"))
+    picked = cells.where(F.col("_got") > 0).groupBy("row_id")
+    picked = picked.agg(F.sum("_got").alias("picked"), F.sort_array(F.collect_list(span)).alias("spans"))
     return both.join(picked, "row_id", "left").select(
         "row_id",
         "doc_id",
@@ -172,9 +176,11 @@ def mix(
         "source_size",
         "target",
         (F.col("passes") * F.col("size") + F.coalesce("picked", F.lit(0))).cast("long").alias("taken"),
+        "passes",
+        F.coalesce("spans", F.array().cast("array<struct<start:long,length:long>>")).alias("spans"),
     )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "spans")

@@ -28,7 +28,7 @@ from .tokens import encoded
 CAPACITY = 2048
 GROUP = 4096
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, ids array<int>"
 
 
 def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -90,15 +90,20 @@ def _pieces(path: str, blank_belongs: bool, capacity: int, ranks: str | None):
         task, window = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         for part, texts in encoded(batches, path, blank_belongs, END_ID, ranks):
             rows: list[tuple] = []
+            ids_of: list[np.ndarray] = []
             for doc, ids in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts, strict=True):
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     full = len(piece) == capacity
                     rows.append((doc, start, len(piece), crc32(piece), len(ids), (task << 32 | window) if full else None))
+                    ids_of.append(piece)
                     window += full
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window"]
+            ends = np.cumsum([0, *map(len, ids_of)]).astype(np.int32)
+            flat = np.concatenate(ids_of).astype(np.int32) if ids_of else np.zeros(0, np.int32)
+            pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "ids"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)], names
+                [*(pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)), pieces], names
             )
 
     return run
@@ -112,9 +117,9 @@ def pack(
     capacity: int = CAPACITY,
     group: int = GROUP,
 ) -> DataFrame:
-    """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+    """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
-    Full windows have odd sequence ids, packed ones even ids.
+    ``ids`` are the piece's tokens, at ``offset`` of its sequence; ``ids_crc32`` is their checksum. Full windows have odd sequence ids, packed ones even ids.
     """
     pieces = staged(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -124,7 +129,7 @@ def pack(
     )
     base = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     full = pieces.where("window IS NOT NULL").select(
-        *base, (F.col("window") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *base, (F.col("window") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids"
     )
     rests = pieces.where("window IS NULL")
     groups = max(1, -(-rests.count() // group))
@@ -134,14 +139,14 @@ def pack(
         sequence, offset = pack_lengths(table["length"].to_numpy(np.int64), capacity)
         table["sequence_id"] = ((table["bucket"].to_numpy(np.int64) << 32) + sequence) * 2
         table["offset"] = offset
-        return table[[*base, "sequence_id", "offset"]]
+        return table[[*base, "sequence_id", "offset", "ids"]]
 
     packed = (
-        rests.select(*base, F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("bucket"))
+        rests.select(*base, "ids", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("bucket"))
         .groupBy("bucket")
         .applyInPandas(
             place,
-            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
         )
     )
     return full.unionByName(packed)

@@ -161,3 +161,11 @@ def test_near_dedup_links_from_80_percent(spark):
     root = components(rows, 5, 80)
     assert root != components(rows, 5)
     assert texts(cp.near_dedup_stage(spark, df, "")) == {d: t for d, t in rows if root[d] == d}
+
+
+def test_mix_keeps_line_breaks(spark):
+    rows = [(i, "\n".join(f" a{i} b\tc{k} d" for k in range(40)) + "\n", "en", f"s{i % 3}") for i in range(9)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.mix_stage(spark, df, "").collect()
+    assert any(r["text"] != rows[r["doc_id"]][1] for r in got)
+    assert all(rows[r["doc_id"]][1].startswith(r["text"]) for r in got)

@@ -350,3 +350,25 @@ def test_op9_edge_cases(spark, rows, docs, no_docs, twice, model, table_of):
     assert op9_licence_scan(spark, table_of(docs)).count() == len(rows)
     assert by_document(no_docs, scan(no_docs)).collect() == []
     assert by_document(twice, scan(twice, model)).count() == twice.count()
+
+
+# ── what the mix and the packing give ────────────────────────────────────────
+
+
+def test_mix_names_its_blocks(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(700))) for i in range(9)]
+    got = mix(frame(spark, rows)).collect()
+    for r in got:
+        assert r["taken"] == r["passes"] * r["size"] + sum(s["length"] for s in r["spans"])
+        ends = [(s["start"], s["start"] + s["length"]) for s in r["spans"]]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False)) and all(0 <= a < b <= r["size"] for a, b in ends)
+    assert any(s["start"] + s["length"] == r["size"] for r in got for s in r["spans"])
+
+
+def test_pack_returns_the_ids(spark):
+    texts = {i: " ".join(f"word{i * k}" for k in range(n)) for i, n in enumerate([0, 3, 50, 900, 3000])}
+    tokenizer, found = Tokenizer.from_file(BYTES), defaultdict(list)
+    for r in pack(frame(spark, list(texts.items())), BYTES, RANKS).orderBy("start").collect():
+        assert len(r["ids"]) == r["length"] and crc(r["ids"]) == r["ids_crc32"]
+        found[r["doc_id"]] += r["ids"]
+    assert found == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items()}
