@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.staging import staged
+
 
 def exact_dedup(df: DataFrame, name: str, ord_: str, mentions: str) -> DataFrame:
     """Group by normalised name: first spelling, number of spellings, summed mentions."""
@@ -38,21 +40,29 @@ def most_common(df: DataFrame, keys: list[str], value: str, ord_: str) -> DataFr
     return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(value))
 
 
+def classes_of(df: DataFrame, key: str, things: str) -> DataFrame:
+    """``key, class_id``: rows with equal sets share the smallest key; rows with an empty set are left out."""
+    sets = df.where(F.size(things) > 0).select(key, F.sort_array(things).alias("s"))
+    least = sets.groupBy("s").agg(F.min(key).alias("class_id"))
+    return sets.join(least, "s").select(key, "class_id")
+
+
 def near_text_pairs(df: DataFrame, key: str, shingles: str, share: float) -> DataFrame:
     """Pairs ``a < b, similarity`` of rows whose distinct shingles have Jaccard similarity of at least ``share``.
 
     Prefix filter: such a pair shares one of its rarest ``n - ceil(share * n) + 1`` shingles, so only those are
-    joined, rarest first by document frequency; every candidate is then compared in full. Rows with
-    equal sets are one class: ``a`` and ``b`` are class ids (their smallest keys).
+    joined, rarest first by document frequency; every candidate is then compared in full, on 64-bit hashes of its
+    shingles. Rows with equal sets are one class: ``a`` and ``b`` are class ids (their smallest keys), see
+    ``classes_of``.
     """
-    from pyspark.sql import Window
-
-    sets = df.where(F.size(shingles) > 0).select(key, F.sort_array(shingles).alias("s"))
-    classes = sets.groupBy(F.xxhash64("s").alias("h"), "s").agg(F.min(key).alias("id")).select("id", "s")
-    each = classes.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    sets = df.where(F.size(shingles) > 0).select(key, F.sort_array(F.transform(shingles, lambda g: F.xxhash64(g))).alias("s"))
+    classes = staged(sets.groupBy("s").agg(F.min(key).alias("id")).select("id", "s"), "near-classes")
+    each = classes.select("id", F.explode("s").alias("g"))
     counts = each.groupBy("g").agg(F.count("*").alias("df"))
-    rare = each.join(counts, "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "g")))
-    rare = rare.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * share) + 1) & (F.col("df") > 1)).select("id", "n", "g")
+    ranked = each.join(counts, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
+    n = F.size("r")
+    rare = ranked.select("id", n.alias("n"), F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))).alias("x"))
+    rare = staged(rare.where("x.df > 1").select("id", "n", "x.g"), "near-rare")
     a, b = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * share)
     pairs = a.join(b, "g").where(fits).select("a", "b").distinct()

@@ -80,3 +80,8 @@ def row_documents(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One text a row: ``column: value`` lines, a null value empty."""
     lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     return df.select(F.col(key).alias("doc_key"), F.concat_ws("\n", *lines).alias("content"))
+
+
+def guarded_sql(spark, statement: str, rows: DataFrame, kb_ids: list[str]) -> DataFrame:
+    """Run a statement over ``{chunks}``, the rows of the given knowledge bases only; no ids, no rows."""
+    return spark.sql(statement, chunks=rows.where(F.col("kb_id").isin(*kb_ids) if kb_ids else F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relations, scans, search  # noqa: F401
+from . import canvas, chunking, clusters, incremental, parsing, relations, retrieval, scalars, scans, search  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -63,13 +63,16 @@ def entity_pairs(spark, d):
  c AS (SELECT min(doc_id) AS id, s FROM s GROUP BY s),
  e AS (SELECT id, unnest(s) AS g FROM c),
  p AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY ALL)
- SELECT a, b, n / (len(ca.s) + len(cb.s) - n) AS similarity FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b
- WHERE n / (len(ca.s) + len(cb.s) - n) >= 0.8""",
+ SELECT 'pair' AS kind, a, b, n / (len(ca.s) + len(cb.s) - n) AS similarity FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b
+ WHERE n / (len(ca.s) + len(cb.s) - n) >= 0.8 UNION ALL SELECT 'member', c.id, s.doc_id, 1.0 FROM s JOIN c USING (s) WHERE c.id <> s.doc_id""",
 )
 def near_dup_pairs(spark, d):
+    """Pairs of classes of equal texts, and the further members of each class."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     docs = table(spark, d, "documents").select("doc_id", T.shingles(words, 5).alias("s"))
-    return G.near_text_pairs(docs, "doc_id", "s", 0.8)
+    pairs = G.near_text_pairs(docs, "doc_id", "s", 0.8).select(F.lit("pair").alias("kind"), "a", "b", "similarity")
+    of = G.classes_of(docs, "doc_id", "s").where("class_id <> doc_id")
+    return pairs.unionByName(of.select(F.lit("member").alias("kind"), F.col("class_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 @query(
@@ -343,7 +346,7 @@ def adjacent_clusters(spark, d):
  SELECT doc_id, CAST(pos AS INT) AS pos, s AS sentence FROM m WHERE near""",
 )
 def sentence_window(spark, d):
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-2, 2)
     return rows.withColumn("near", F.max(F.col("sentence").contains("oring")).over(w)).where("near").drop("near")

@@ -45,8 +45,8 @@ SQL_TEXT = "SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FR
 
 @query("sql_passthrough", f"SELECT o_orderpriority, n, total FROM ({SQL_TEXT}) ORDER BY o_orderpriority LIMIT 3")
 def sql_passthrough(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(SQL_TEXT).orderBy("o_orderpriority").limit(3)
+    found = spark.sql(SQL_TEXT.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
+    return found.orderBy("o_orderpriority").limit(3)
 
 
 @query(
@@ -95,8 +95,9 @@ def conditional_update(spark, d):
 @query("conditional_delete", "SELECT count(*) AS kept, (SELECT count(*) FROM orders) - count(*) AS deleted FROM orders WHERE NOT coalesce(o_orderstatus = 'F', false)")
 def conditional_delete(spark, d):
     rows = table(spark, d, "orders")
-    gone = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
-    return rows.agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("deleted"))
+    kept = O.conditional_delete(rows, F.col("o_orderstatus") == "F").agg(F.count("*").alias("kept"))
+    every = rows.agg(F.count("*").alias("n"))
+    return kept.crossJoin(F.broadcast(every)).select("kept", (F.col("n") - F.col("kept")).alias("deleted"))
 
 
 @query(
@@ -378,10 +379,10 @@ def fact_dense(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.is_fact_dense(F.col("line"))).alias("dense"))
 
 
-@query("sql_kb_guard", f"WITH {CHUNKS} SELECT * FROM (SELECT kb_id, lang, count(*) AS n FROM chunks GROUP BY kb_id, lang) WHERE kb_id IN ('src1','src3')")
+@query("sql_kb_guard", f"WITH {CHUNKS} SELECT lang, count(*) AS n FROM chunks WHERE kb_id IN ('src1','src3') GROUP BY lang")
 def sql_kb_guard(spark, d):
-    chunks(spark, d).createOrReplaceTempView("chunks")
-    return spark.sql("SELECT kb_id, lang, count(*) AS n FROM chunks GROUP BY kb_id, lang").where(F.col("kb_id").isin("src1", "src3"))
+    """A user's statement sees only the rows of the knowledge bases it may read, whatever it selects."""
+    return O.guarded_sql(spark, "SELECT lang, count(*) AS n FROM {chunks} GROUP BY lang", chunks(spark, d), ["src1", "src3"])
 
 
 @query(

@@ -54,9 +54,28 @@ def bm25_blend(spark, d):
     return s.select("doc_id", F.round(F.col("score") / (F.col("score") + 5), 9).alias("score"))
 
 
-@query("field_bm25", f"WITH {BM25} SELECT doc_id, round(score / (SELECT max(score) FROM bm), 9) AS score FROM bm")
+FIELDS = (("text", "text", 1), ("title", "source", 2), ("keywords", "lang", 5), ("question", "split_part(text, chr(10), 1)", 6))
+
+
+def sql_field(name: str, text: str) -> str:
+    """Score of one field, as a common table expression ``name``."""
+    score = " + ".join(f"greatest(0, ln((n - d{i} + 0.5) / (d{i} + 0.5) + 1)) * (f{i} / greatest(dl, 1)) * 2.2 / ((f{i} / greatest(dl, 1)) + 1.2 * (0.25 + 0.75 * dl / CASE WHEN a > 0 THEN a ELSE 100 END))" for i in range(3))
+    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(("src3", "oring", "theand")))
+    held = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(3))
+    return f"""{name} AS (WITH tok AS (SELECT doc_id, {sql_tokens(text)} AS t FROM documents), tf AS (SELECT doc_id, len(t) AS dl, {counts} FROM tok),
+ st AS (SELECT count(*) AS n, avg(dl) AS a, {held} FROM tf) SELECT doc_id, f0 + f1 + f2 AS f, {score} AS score FROM tf, st)"""
+
+
+@query(
+    "field_bm25",
+    f"""WITH {", ".join(sql_field(name, text) for name, text, _ in FIELDS)}, s AS (SELECT doc_id, {" + ".join(f"{w} * {name}.score" for name, _, w in FIELDS)} AS score FROM text
+ {" ".join(f"JOIN {name} USING (doc_id)" for name, _, _ in FIELDS[1:])} WHERE {" + ".join(f"{name}.f" for name, _, _ in FIELDS)} > 0)
+ SELECT doc_id, round(score / (SELECT max(score) FROM s), 9) AS score FROM s""",
+)
 def field_bm25(spark, d):
-    s = R.field_bm25(table(spark, d, "documents").withColumn("title", F.lit("")), "doc_id", {"text": 1.0, "title": 2.0}, list(TERMS))
+    """Text, source, language and first line with weights 1, 2, 5 and 6."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("title"), F.col("lang").alias("keywords"), F.split("text", "\n")[0].alias("question"))
+    s = R.field_bm25(docs, "doc_id", {name: float(w) for name, _, w in FIELDS}, ["src3", "oring", "theand"])
     return s.select("doc_id", F.round("score", 9).alias("score"))
 
 
@@ -83,23 +102,21 @@ def vector_topk(spark, d):
 def hybrid_search(spark, d):
     docs = table(spark, d, "documents")
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    lexical = R.field_bm25(docs, "doc_id", {"text": 1.0}, list(TERMS))
-    found = R.fuse(lexical, R.vector_scores(e, "doc_id", "embedding", query_vector(spark, d)), "doc_id", 0.3)
-    return R.top(found.select("doc_id", F.round("score", 6).alias("score")).where("score > 0"), 20)
+    return R.hybrid_search(docs, e, QUESTION, query_vector(spark, d), 0.3, 20).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "fuse_knn_text",
-    f"""WITH {COS}, t AS (SELECT doc_id, (CAST(contains(lower(text), 'oring') AS INT) + CAST(contains(lower(text), 'erand') AS INT)) / 2 AS cov FROM documents)
- SELECT coalesce(c.doc_id, t.doc_id) AS doc_id, round(0.6 * coalesce(score, 0) + 0.4 * coalesce(cov, 0), 6) AS score FROM cos c FULL JOIN t ON c.doc_id = t.doc_id""",
+    f"""WITH {COS}, t AS (SELECT doc_id, (CAST(contains(lower(text), 'oring') AS INT) + CAST(contains(lower(text), 'erand') AS INT)) / 2 AS cov FROM documents),
+ b AS (SELECT coalesce(c.doc_id, t.doc_id) AS doc_id, round(0.6 * coalesce(score, 0) + 0.4 * coalesce(cov, 0), 6) AS score FROM cos c FULL JOIN t ON c.doc_id = t.doc_id)
+ SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b WHERE score > 0 QUALIFY rank < 50""",
 )
 def fuse_knn_text(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    knn = R.vector_scores(e, "doc_id", "embedding", query_vector(spark, d)).withColumnRenamed("score", "v")
+    knn = R.vector_scores(e, "doc_id", "embedding", query_vector(spark, d))
     hit = lambda t: F.lower("text").contains(t).cast("int")
-    text = table(spark, d, "documents").select("doc_id", ((hit("oring") + hit("erand")) / 2).alias("t"))
-    both = knn.join(text, "doc_id", "full_outer").fillna(0.0)
-    return both.select("doc_id", F.round(0.6 * F.col("v") + 0.4 * F.col("t"), 6).alias("score"))
+    text = table(spark, d, "documents").select("doc_id", ((hit("oring") + hit("erand")) / 2).alias("score"))
+    return R.fuse_named(knn, text, "doc_id", 0.6, 50)
 
 
 @query("coverage", "SELECT doc_id, (CAST(contains(lower(text), 'oring') AS INT) + CAST(contains(lower(text), 'erand') AS INT) + CAST(contains(lower(text), 'the') AS INT)) / 3 AS share FROM documents")
@@ -119,12 +136,22 @@ def rank_feature(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(score, 6).alias("score"))
 
 
-WEIGHTS = {"oring": 0.5, "theand": 0.3, "anthat": 0.2}
-SIM = f"sim AS (SELECT doc_id, (CASE WHEN list_contains(t, 'oring') THEN 0.5 ELSE 0 END + CASE WHEN list_contains(t, 'theand') THEN 0.3 ELSE 0 END + CASE WHEN list_contains(t, 'anthat') THEN 0.2 ELSE 0 END)::DOUBLE AS sim FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents))"
+KEYS = {"theand": 0.4, "oring": 0.4, "anthat": 0.4, "theandoring": 0.6, "oringanthat": 0.6}
+
+
+def sql_similarity(bag: str, keys: dict[str, float] = KEYS) -> str:
+    """Similarity of a bag of tokens to terms of equal weight: terms count 0.4, adjacent pairs 0.6."""
+    pairs = f"list_transform(range(1, len({bag})), lambda i: {bag}[i] || {bag}[i + 1])"
+    hits = " + ".join(f"CASE WHEN list_contains({bag}, '{k}') OR list_contains({pairs}, '{k}') THEN {w} ELSE 0 END" for k, w in keys.items())
+    return f"(({hits}) / {sum(keys.values())})::DOUBLE"
+
+
+SIM = f"sim AS (SELECT doc_id, {sql_similarity('t')} AS sim FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents))"
 
 
 def token_sims(spark, d):
-    return table(spark, d, "documents").select("doc_id", R.token_similarity(T.tokens(F.col("text")), WEIGHTS).alias("sim"))
+    wanted = R.query_weights(spark, list(TERMS))
+    return table(spark, d, "documents").select("doc_id", R.token_similarity(T.tokens(F.col("text")), wanted).alias("sim"))
 
 
 @query("token_sim", f"WITH {SIM} SELECT doc_id, round(sim, 6) AS sim FROM sim")
@@ -143,18 +170,25 @@ def hybrid_sim(spark, d):
     return rows.select("doc_id", F.round(blend, 6).alias("score"))
 
 
-@query("rerank_lexical", f"""WITH b AS (SELECT doc_id, list_concat({sql_tokens('text')}, {sql_tokens('source')}, {sql_tokens('source')}) AS t FROM documents)
- SELECT doc_id, round((CASE WHEN list_contains(t, 'oring') THEN 0.6 ELSE 0 END + CASE WHEN list_contains(t, 'src3') THEN 0.4 ELSE 0 END)::DOUBLE, 6) AS score FROM b""")
+BAG = f"""list_concat({sql_tokens('text')}, {', '.join([sql_tokens('source')] * 2 + [sql_tokens('lang')] * 5 + [sql_tokens('split_part(text, chr(10), 1)')] * 6)})"""
+
+
+@query("rerank_lexical", f"""WITH b AS (SELECT doc_id, {BAG} AS t FROM documents)
+ SELECT doc_id, round({sql_similarity('t', {"oring": 0.4, "en": 0.4, "oringen": 0.6})}, 6) AS score FROM b""")
 def rerank_lexical(spark, d):
-    bag = F.concat(T.tokens(F.col("text")), F.flatten(F.array_repeat(T.tokens(F.col("source")), 2)))
-    return table(spark, d, "documents").select("doc_id", F.round(R.token_similarity(bag, {"oring": 0.6, "src3": 0.4}), 6).alias("score"))
+    """Content once, source twice, language five times and the first line six times in the bag."""
+    bag = R.weighted_bag(F.col("text"), F.col("source"), F.col("lang"), F.split("text", "\n")[0])
+    wanted = {"oring": 0.4, "en": 0.4, "oringen": 0.6}
+    return table(spark, d, "documents").select("doc_id", F.round(R.token_similarity(bag, wanted), 6).alias("score"))
 
 
-@query("rerank_blend", f"WITH {SIM} SELECT doc_id, round(0.3 * sim + 0.7 * coalesce(quality, 0) + 0.1, 6) AS score FROM sim LEFT JOIN labels USING (doc_id)")
+@query("rerank_blend", f"WITH {SIM} SELECT doc_id, round(0.3 * sim + 0.7 * coalesce(quality, 0) + n_chars / 100000 + 10 * 2 / sqrt(5) / sqrt(2), 6) AS score FROM sim JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
 def rerank_blend(spark, d):
-    """Token similarity, an external model's score (here the label) and a constant feature."""
-    rows = token_sims(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.round(0.3 * F.col("sim") + 0.7 * F.coalesce("quality", F.lit(0)) + 0.1, 6).alias("score"))
+    """Token similarity, an external model's score (here the label) and the rank feature."""
+    rows = token_sims(spark, d).join(table(spark, d, "labels"), "doc_id", "left").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    tags = F.create_map(F.lit("a"), F.lit(1.0), F.lit("c"), F.lit(1.0))
+    feature = R.rank_feature(F.col("n_chars") / 100000, tags, {"a": 2.0, "b": 1.0})
+    return rows.select("doc_id", F.round(0.3 * F.col("sim") + 0.7 * F.coalesce("quality", F.lit(0)) + feature, 6).alias("score"))
 
 
 @query("rerank_cli", f"WITH {COS} SELECT doc_id, round(0.3 * score + 0.7 * coalesce(quality, 0), 6) AS score FROM cos LEFT JOIN labels USING (doc_id)")
@@ -312,12 +346,11 @@ def column_types(spark, d):
 
 # ── graphs ───────────────────────────────────────────────────────────────────
 
-EDGES = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst, 1.0 AS weight FROM lineitem WHERE l_quantity > 49)"
+EDGES = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst, 1.0 AS weight FROM lineitem)"
 
 
 def edges(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity > 49")
-    return rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.lit(1.0).alias("weight")).distinct()
 
 
 UND = "und AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst)"
@@ -352,35 +385,72 @@ def graph_khop(spark, d):
     return Gr.within_hops(edges(spark, d), seeds, 2)
 
 
-@query("graph_paths", f"WITH {EDGES}, {UND} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM und x JOIN und y ON x.dst = y.src WHERE x.src IN (1, 2) AND x.src <> y.dst")
+@query("graph_paths", f"WITH {EDGES}, {UND} SELECT x.src AS n0, x.dst AS n1, y.dst AS n2 FROM und x JOIN und y ON x.dst = y.src WHERE x.src IN (1, 2) AND x.src <> y.dst")
 def graph_paths(spark, d):
-    return Gr.two_hop_paths(edges(spark, d), spark.createDataFrame([(1,), (2,)], "node long"))
+    return Gr.simple_paths(edges(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 2)
+
+
+def sql_rounds(first: str, step: str, rounds: int) -> str:
+    """Tables ``r0 .. rN``: each made from the one before (``prev``)."""
+    parts = [f"r0 AS MATERIALIZED ({first})"]
+    parts += [f"r{i} AS MATERIALIZED ({step.replace('prev', f'r{i - 1}')})" for i in range(1, rounds + 1)]
+    return ", ".join(parts)
 
 
-@query("graph_components", f"""WITH RECURSIVE {EDGES}, {UND}, r AS (SELECT src AS id, src AS c FROM und UNION SELECT und.dst, r.c FROM r JOIN und ON und.src = r.id AND r.c < und.dst)
- SELECT id, min(c) AS component FROM r GROUP BY id""")
+LABELS = sql_rounds("SELECT DISTINCT src AS id, src AS c FROM und", "SELECT p.id, least(p.c, min(q.c)) AS c FROM prev p JOIN und ON und.src = p.id JOIN prev q ON q.id = und.dst GROUP BY p.id, p.c", 8)
+
+
+@query("graph_components", f"WITH {EDGES}, {UND}, {LABELS} SELECT id, c AS component FROM r8")
 def graph_components(spark, d):
     return connected_components(edges(spark, d))
 
 
-@query("graph_pagerank")
+RANKS = sql_rounds(
+    "SELECT node, 1 / (SELECT count(*) FROM nodes) AS rank FROM nodes",
+    """SELECT node, raw / (sum(raw) OVER ()) AS rank FROM (SELECT node, (1 - 0.85) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(got, 0) AS raw FROM nodes
+ LEFT JOIN (SELECT s.dst AS node, sum(p.rank * s.share) AS got FROM shares s JOIN prev p ON p.node = s.src GROUP BY s.dst) USING (node))""",
+    10,
+)
+
+
+@query(
+    "graph_pagerank",
+    f"""WITH {EDGES}, b AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), nodes AS MATERIALIZED (SELECT DISTINCT src AS node FROM b),
+ shares AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM b GROUP BY src, dst), {RANKS} SELECT node, round(rank, 9) AS rank FROM r10""",
+)
 def graph_pagerank(spark, d):
     e = edges(spark, d)
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return Gr.pagerank(both, steps=5).select("node", F.round("rank", 9).alias("rank"))
+    return Gr.pagerank(both, steps=10, tolerance=0.0).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("chain_issues", """WITH e AS (SELECT DISTINCT n_regionkey AS src, n_nationkey AS dst FROM nation), p AS (SELECT * FROM e WHERE src <> dst)
+NEXT = "e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation)"
+REACH = "r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)"
+
+
+def chain(spark, d):
+    n = table(spark, d, "nation")
+    ring = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst"))
+    return ring.union(n.select("n_nationkey", "n_regionkey")).distinct()
+
+
+@query("chain_issues", f"""WITH RECURSIVE {NEXT}, {REACH}, p AS (SELECT * FROM e WHERE src <> dst)
  SELECT src AS node, 'self_loop' AS issue FROM e WHERE src = dst UNION ALL SELECT dst, 'fan_in' FROM p GROUP BY dst HAVING count(*) > 1
- UNION ALL SELECT src, 'fan_out' FROM p GROUP BY src HAVING count(*) > 1""")
+ UNION ALL SELECT src, 'fan_out' FROM p GROUP BY src HAVING count(*) > 1 UNION ALL SELECT DISTINCT src, 'cycle' FROM r WHERE src = dst""")
 def chain_issues(spark, d):
-    return Gr.chain_issues(table(spark, d, "nation").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst")))
+    return Gr.chain_issues(chain(spark, d))
+
+
+@query("strong_components", f"""WITH RECURSIVE {NEXT}, {REACH} SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src
+ UNION ALL SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT src FROM r WHERE src = dst)""")
+def strong_components(spark, d):
+    return Gr.strong_components(chain(spark, d))
 
 
 TREE = "tree AS (SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 
 
-@query("tree_levels", f"WITH {TREE} SELECT node, CASE substr(node, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS level FROM tree")
+@query("tree_levels", f"WITH RECURSIVE {TREE}, l AS (SELECT node, 0 AS level FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, l.level + 1 FROM tree t JOIN l ON t.parent = l.node) SELECT node, level FROM l")
 def tree_levels(spark, d):
     def named(df, node, parent):
         return df.select(node.alias("node"), parent.cast("string").alias("parent"))
@@ -388,10 +458,10 @@ def tree_levels(spark, d):
     r = named(table(spark, d, "region"), F.concat(F.lit("r"), "r_regionkey"), F.lit(None))
     n = named(table(spark, d, "nation"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))
     s = named(table(spark, d, "supplier"), F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"))
-    return Gr.tree_levels(r.unionByName(n).unionByName(s), 2)
+    return Gr.tree_levels(r.unionByName(n).unionByName(s))
 
 
-@query("topo_levels", f"WITH {TREE} SELECT node, CASE substr(node, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS level FROM tree WHERE node IN (SELECT parent FROM tree) OR parent IS NOT NULL")
+@query("topo_levels", f"WITH RECURSIVE {TREE}, l AS (SELECT node, 0 AS level FROM tree WHERE parent IS NULL AND node IN (SELECT parent FROM tree) UNION ALL SELECT t.node, l.level + 1 FROM tree t JOIN l ON t.parent = l.node) SELECT node, max(level) AS level FROM l GROUP BY node")
 def topo_levels(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"))
@@ -404,14 +474,14 @@ def kg_hits(spark, d):
     return table(spark, d, "part").select("p_partkey", (hits / 2).alias("score")).where("score > 0")
 
 
-@query("kg_retrieval", f"""WITH {EDGES}, {UND}, deg AS (SELECT src AS node, count(*) AS n FROM und GROUP BY src), s AS (SELECT node, 1.0 * n / (SELECT max(n) FROM deg) AS sim FROM deg WHERE node < 1000000),
+@query("kg_retrieval", f"""WITH {EDGES}, {UND}, deg AS (SELECT src AS node, count(*) AS n FROM und GROUP BY src), s AS (SELECT node, 1.0 * n / (SELECT max(n) FROM deg) AS sim FROM deg),
  h AS (SELECT node, sim AS score FROM s UNION ALL SELECT und.dst, s.sim / 3 FROM s JOIN und ON und.src = s.node) SELECT node, round(sum(score), 6) AS score FROM h GROUP BY node""")
 def kg_retrieval(spark, d):
     """Similarity of an entity by degree, and a third of it for its neighbours."""
     links = Gr.undirected(edges(spark, d))
     deg = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
     most = deg.agg(F.max("n").alias("most"))
-    s = deg.where("node < 1000000").crossJoin(F.broadcast(most)).select("node", (F.col("n") / F.col("most")).alias("score"))
+    s = deg.crossJoin(F.broadcast(most)).select("node", (F.col("n") / F.col("most")).alias("score"))
     near = s.join(links, s["node"] == links["src"]).select(F.col("dst").alias("node"), (F.col("score") / 3).alias("score"))
     return s.unionByName(near).groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"))
 

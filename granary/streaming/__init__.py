@@ -1 +1 @@
-"""Incremental jobs and Structured Streaming."""
+"""Incremental work as Structured Streaming queries, with the same rules as batch functions."""
