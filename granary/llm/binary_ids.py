@@ -6,10 +6,11 @@ each rank: its number of bytes less one) apart from the *data* bytes. Decoding l
 byte up in a table of four lengths, so it is numpy from end to end.
 
 Blocks are written in ascending ``doc_id`` order as the one binary column of a Parquet table, which
-gives them Spark's committers: a lost executor leaves no half-written block.
+gives them Spark's committers: a lost executor leaves no half-written block. That table is the file format.
 
-Edge cases: a null or empty text is its end id alone; a null ``doc_id`` comes first; rows that share
-a ``doc_id`` are documents of their own, in the order of their text; an empty table gives no blocks.
+Edge cases: a null or empty text is its end id alone; null ids come first, spread over parts by their content; rows
+that share a ``doc_id`` are documents of their own, in the order of their ids; a text of any length stays in one block;
+an empty table gives no blocks; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fingerprint import split_points
-from .kernels import crc32
+from .kernels import crc32, pack, unpack
 from .staging import read_table, shuffle_width, staged
-from .tokens import encoded
+from .tokens import encoded, words_of
 
 MAGIC = b"GVB1"
 END_ID = 1
 BLOCK_IDS = 1 << 18
+#: Text of a part, so that parts grow in number and not in size.
+PART_BYTES = 16 << 20
 NO_ID = np.int64(-(1 << 63))
 #: Bytes of each of the four ranks that a control byte speaks for.
 LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.uint8)
@@ -75,22 +78,23 @@ def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def id_counts(docs: DataFrame, tokenizer: str, blank_belongs: bool, end_id: int) -> DataFrame:
+def id_counts(runs: DataFrame) -> DataFrame:
     """``id, n`` over all documents: no more rows than the vocabulary has entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for _, texts in encoded(batches, tokenizer, blank_belongs, end_id):
-            counts = np.bincount(np.concatenate(texts))
-            if len(counts) > len(total):
-                counts[: len(total)] += total
-                total = counts
-            else:
-                total[: len(counts)] += counts
+        for batch in batches:
+            for raw in batch.column(0):
+                counts = np.bincount(unpack(raw.as_py())[2])
+                if len(counts) > len(total):
+                    counts[: len(total)] += total
+                    total = counts
+                else:
+                    total[: len(counts)] += counts
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    return docs.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return runs.select("run").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def rank_table(counts: DataFrame) -> np.ndarray:
@@ -99,48 +103,92 @@ def rank_table(counts: DataFrame) -> np.ndarray:
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
-def write_ids(
-    docs: DataFrame, tokenizer: str, blank_belongs: bool = False, end_id: int = END_ID, block_ids: int = BLOCK_IDS
-) -> tuple[DataFrame, np.ndarray]:
-    """Write the blocks; returns the table of blocks (``part, block, n_ids, blob``) and the rank table."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = rank_table(id_counts(docs, tokenizer, blank_belongs, end_id))
-    rank_of = np.zeros(int(table.max()) + 1 if len(table) else 1, np.uint32)
-    rank_of[table] = np.arange(len(table), dtype=np.uint32)
-    points = split_points(docs, "doc_id", 4 * shuffle_width(spark)) or [0]
-    starts = F.array(*[F.lit(int(p)) for p in points])
-    part = F.size(F.filter(starts, lambda p: p <= F.coalesce(F.col("doc_id"), F.lit(points[0]))))
-    dealt = docs.withColumn("part", F.greatest(F.lit(1), part)).repartition(len(points), "part")
-    dealt = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+def id_type(tokenizer: str) -> np.dtype:
+    """Two bytes an id where the whole vocabulary fits them, else four."""
+    return np.dtype("<u2" if len(words_of(tokenizer, False).begins) <= 1 << 16 else "<u4")
+
+
+def encoded_rows(docs: DataFrame, tokenizer: str, blank_belongs: bool, end_id: int) -> tuple[DataFrame, int]:
+    """``doc_id, part, ids`` (little-endian) and the number of parts, which ascend with ``doc_id``.
+
+    Null ids come first, dealt to parts by their ids' checksum.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    parts = max(1, min(size["rows"], max(shuffle_width(docs.sparkSession), -(-(size["n"] or 0) // PART_BYTES))))
+    points = np.array(split_points(docs, "doc_id", parts) or [0], np.int64)
+    kind = id_type(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in encoded(batches, tokenizer, blank_belongs, end_id):
+            doc = rows.column(rows.schema.get_field_index("doc_id"))
+            none = doc.is_null().to_numpy(zero_copy_only=False)
+            part = np.searchsorted(points, doc.fill_null(0).to_numpy(), side="right") - 1 + parts
+            part[none] = [crc32(texts[i]) % parts for i in np.flatnonzero(none).tolist()]
+            sizes = np.cumsum([0, *(kind.itemsize * len(t) for t in texts)]).astype(np.int64)
+            flat = pa.py_buffer(np.concatenate(texts).astype(kind))
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(sizes), flat])
+            yield pa.RecordBatch.from_arrays(
+                [doc, pa.array(part, pa.int32()), ids.cast(pa.binary())], ["doc_id", "part", "ids"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, part int, ids binary"), parts + len(points)
+
+
+def raw_runs(dealt: DataFrame, block_ids: int, kind: np.dtype) -> DataFrame:
+    """``part, block, n_ids, run``: documents in order, about ``block_ids`` ids to a row, their ids as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, block, ids, sizes, ranks, held = None, 0, [], [], [], 0
+        here, block, docs, texts, held = None, 0, [], [], 0
 
         def done() -> pa.RecordBatch:
-            blob = write_block(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate(ranks))
-            columns = [pa.array([x], pa.int64()) for x in (here, block, held)] + [pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "block", "n_ids", "blob"])
+            sizes = np.array([len(t) // kind.itemsize for t in texts], np.int64)
+            body = pack(np.array(docs, np.int64), sizes, np.frombuffer(b"".join(texts), kind))
+            columns = [pa.array([x], pa.int64()) for x in (here, block, held)] + [pa.array([body], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "block", "n_ids", "run"])
 
-        for rows, texts in encoded(batches, tokenizer, blank_belongs, end_id):
-            names = rows.schema.get_field_index
-            for doc, at, text in zip(
-                rows.column(names("doc_id")).to_pylist(), rows.column(names("part")).to_pylist(), texts, strict=True
-            ):
-                if held and (at != here or held + len(text) > block_ids):
+        for batch in batches:
+            ids, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, at, text in zip(ids, parts, batch.column(2), strict=True):
+                text = text.as_buffer().to_pybytes()
+                if held and (at != here or held + len(text) // kind.itemsize > block_ids):
                     yield done()
-                    block, ids, sizes, ranks, held = (block + 1 if at == here else 0), [], [], [], 0
+                    block, docs, texts, held = (block + 1 if at == here else 0), [], [], 0
                 elif at != here:
                     block = 0
                 here = at
-                ids.append(NO_ID if doc is None else doc)
-                sizes.append(len(text))
-                ranks.append(rank_of[text])
-                held += len(text)
+                docs.append(NO_ID if doc is None else doc)
+                texts.append(text)
+                held += len(text) // kind.itemsize
         if held:
             yield done()
 
-    return staged(dealt.mapInArrow(run, "part long, block long, n_ids long, blob binary"), "token-ids"), table
+    return dealt.mapInArrow(run, "part long, block long, n_ids long, run binary")
+
+
+def write_ids(
+    docs: DataFrame, tokenizer: str, blank_belongs: bool = False, end_id: int = END_ID, block_ids: int = BLOCK_IDS
+) -> tuple[DataFrame, np.ndarray]:
+    """Write the blocks; returns the table of blocks (``part, block, n_ids, blob``) and the rank table.
+
+    Each text is encoded once. Its ids are dealt to ranges of ``doc_id``, staged in order, counted, and written by rank.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, parts = encoded_rows(docs, tokenizer, blank_belongs, end_id)
+    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    runs = staged(raw_runs(dealt, block_ids, id_type(tokenizer)), "token-runs")
+    table = rank_table(id_counts(runs))
+    rank_of = np.zeros(int(table.max()) + 1 if len(table) else 1, np.uint32)
+    rank_of[table] = np.arange(len(table), dtype=np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for raw in batch.column(3):
+                ids, sizes, tokens = unpack(raw.as_py())
+                blobs.append(write_block(ids, sizes, rank_of[tokens]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], ["part", "block", "n_ids", "blob"])
+
+    return staged(runs.mapInArrow(run, "part long, block long, n_ids long, blob binary"), "token-ids"), table
 
 
 def read_ids(blocks: DataFrame, table: np.ndarray) -> DataFrame:

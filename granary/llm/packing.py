@@ -1,13 +1,14 @@
 """Packing documents into sequences by minimum bin slack (operator 4).
 
-A document gives full windows of ``CAPACITY`` ids and one rest. Rests are dealt to groups of about
-``GROUP`` documents by hash. In a group, each sequence starts with the longest rest that is left; a
+A document gives full windows of ``CAPACITY`` ids and one rest. A task packs the rests of its documents in groups of
+``GROUP`` as they come. In a group, each sequence starts with the longest rest that is left; a
 bitset subset-sum over the remaining lengths then finds the multiset that fills it closest to
-capacity, and the counts are traced back. Only a group's last sequence has more than a few ids of
-padding.
+capacity, and the counts are traced back. Rests in sequences that stay less than ``WELL_FILLED`` wait for the next
+group; the few that a task has left in the end are packed with those of other tasks, and only they are shuffled.
 
-Edge cases: a null or empty text is its end id alone; rows that share a ``doc_id`` are packed each
-for itself; an empty table gives no pieces; further columns are ignored.
+Edge cases: a null or empty text is its end id alone; a very long text is cut into windows in one pass; rows with a null
+``doc_id`` and rows that share one are packed each for itself, wherever they stand; an empty table gives no pieces;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .tokens import encoded
 CAPACITY = 2048
 GROUP = 4096
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, ids array<int>"
+WELL_FILLED = 0.98
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
 
 
 def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -85,75 +87,109 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return sequence, offset
 
 
-def _pieces(path: str, blank_belongs: bool, capacity: int, ranks: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, window = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-        for part, texts in encoded(batches, path, blank_belongs, END_ID, ranks):
-            rows: list[tuple] = []
-            ids_of: list[np.ndarray] = []
-            for doc, ids in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts, strict=True):
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    full = len(piece) == capacity
-                    rows.append((doc, start, len(piece), crc32(piece), len(ids), (task << 32 | window) if full else None))
+class Task:
+    """The pieces of one task, and the numbers of its sequences: odd ones, as even ones are for rests of several tasks."""
+
+    def __init__(self, task: int, capacity: int, with_ids: bool):
+        self.first, self.sequences, self.rows = task << 32, 0, 0
+        self.capacity, self.with_ids = capacity, with_ids
+        self.rests: list[tuple] = []
+
+    def sequence_id(self, number: int) -> int:
+        return (self.first + number) * 2 + 1
+
+    def batch(self, rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+        names = [c.split(" ")[0] for c in PIECES.split(", ")]
+        columns = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * (len(names) - 1))]
+        columns.append(pa.array(np.arange(self.rows, self.rows + len(rows)) + self.first))
+        self.rows += len(rows)
+        if self.with_ids:
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def cut(self, docs: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+        """Full windows at once; rests wait for their group."""
+        rows, ids_of = [], []
+        for doc, ids in zip(docs, texts, strict=True):
+            for start in range(0, len(ids), self.capacity):
+                piece = ids[start : start + self.capacity]
+                row = (doc, start, len(piece), crc32(piece), len(ids))
+                if len(piece) == self.capacity:
+                    rows.append((*row, self.sequence_id(self.sequences), 0))
                     ids_of.append(piece)
-                    window += full
-            ends = np.cumsum([0, *map(len, ids_of)]).astype(np.int32)
-            flat = np.concatenate(ids_of).astype(np.int32) if ids_of else np.zeros(0, np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "ids"]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 6)), pieces], names
-            )
-
-    return run
+                    self.sequences += 1
+                else:
+                    self.rests.append((row, piece.copy() if self.with_ids else None))
+        return self.batch(rows, ids_of)
+
+    def place(self, last: bool) -> pa.RecordBatch:
+        """Pack all rests at hand. Those of sequences that are not well filled wait or, in the end, go without a sequence."""
+        lengths = np.array([row[2] for row, _ in self.rests], np.int64)
+        sequence, offset = pack_lengths(lengths, self.capacity)
+        filled = np.bincount(sequence, weights=lengths) >= WELL_FILLED * self.capacity
+        number = np.cumsum(filled) - 1 + self.sequences
+        self.sequences += int(filled.sum())
+        rows, ids, waiting = [], [], []
+        for rest, s, o in zip(self.rests, sequence.tolist(), offset.tolist(), strict=True):
+            if filled[s]:
+                rows.append((*rest[0], self.sequence_id(int(number[s])), o))
+                ids.append(rest[1])
+            elif last:
+                rows.append((*rest[0], None, None))
+                ids.append(rest[1])
+            else:
+                waiting.append(rest)
+        self.rests = waiting
+        return self.batch(rows, ids)
 
 
 def pack(
     docs: DataFrame,
     tokenizer: str,
-    ranks: str | None = None,
     blank_belongs: bool = True,
     capacity: int = CAPACITY,
     group: int = GROUP,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
-    ``ids`` are the piece's tokens, at ``offset`` of its sequence; ``ids_crc32`` is their checksum. Full windows have odd sequence ids, packed ones even ids.
+    ``ids`` are the piece's tokens, at ``offset`` of its sequence; ``ids_crc32`` is their checksum. Without
+    ``with_ids``, the checksum alone leaves the task.
     """
-    pieces = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _pieces(tokenizer, blank_belongs, capacity, ranks), PIECES
-        ),
-        "pack-pieces",
-    )
-    base = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    full = pieces.where("window IS NOT NULL").select(
-        *base, (F.col("window") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids"
-    )
-    rests = pieces.where("window IS NULL")
-    groups = max(1, -(-rests.count() // group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = Task(TaskContext.get().partitionId(), capacity, with_ids)
+        enough = group
+        for part, texts in encoded(batches, tokenizer, blank_belongs, END_ID):
+            yield task.cut(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts)
+            if len(task.rests) >= enough:
+                yield task.place(False)
+                enough = group + len(task.rests)
+        if task.rests:
+            yield task.place(True)
+
+    columns = PIECES + (", ids array<int>" if with_ids else "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pieces = staged(rows.mapInArrow(run, columns), "pack-pieces")
+    left = pieces.where("sequence_id IS NULL")
+    groups = max(1, -(-left.count() // group))
 
     def place(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable", na_position="first")
+        table = table.sort_values("row", kind="stable")
         sequence, offset = pack_lengths(table["length"].to_numpy(np.int64), capacity)
         table["sequence_id"] = ((table["bucket"].to_numpy(np.int64) << 32) + sequence) * 2
         table["offset"] = offset
-        return table[[*base, "sequence_id", "offset", "ids"]]
+        return table.drop(columns="bucket")
 
-    packed = (
-        rests.select(*base, "ids", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("bucket"))
-        .groupBy("bucket")
-        .applyInPandas(
-            place,
-            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
-        )
-    )
-    return full.unionByName(packed)
+    packed = left.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(groups))).groupBy("bucket").applyInPandas(place, columns)
+    return pieces.where("sequence_id IS NOT NULL").unionByName(packed).drop("row")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, *map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
