@@ -123,7 +123,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|title|ul|ol|table)>", "\n")
     out = entities(F.regexp_replace(out, r"<[^>]*>", ""))
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def half_width(text: Column) -> Column:
