@@ -181,22 +181,26 @@ def flag_answer(*flags: np.ndarray) -> bytes:
 class FirstOccurrence:
     """For windows of a batch: which of them started earlier, in the batch or anywhere else.
 
-    ``hashes`` are 64-bit keys of windows in ascending (document, start) order.
+    ``hashes`` are 64-bit keys of windows in ascending (document, start) order, ``checks`` 64 further bits.
     """
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
+        ordered, further = hashes[order], checks[order]
         new = np.ones(len(order), bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        self.keys, self.first = ordered[new], order[new]
+        if np.any(~new[1:] & (further[1:] != further[:-1])):
+            order = np.lexsort((checks, hashes))
+            ordered, further = hashes[order], checks[order]
+            new[1:] = (ordered[1:] != ordered[:-1]) | (further[1:] != further[:-1])
+        self.keys, self.checks, self.first = ordered[new], further[new], order[new]
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
 
     def payloads(self, docs: np.ndarray, starts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
         for bucket, part in slices(self.keys, bits):
             at = self.first[part]
-            yield bucket, pack(self.keys[part], docs[at], starts[at].astype(np.uint32))
+            yield bucket, pack(self.keys[part], self.checks[part], docs[at], starts[at].astype(np.uint32))
 
     def repeats(self, lost: np.ndarray) -> np.ndarray:
         """``lost[key]``: the batch's first window of the key isn't the first of all."""
@@ -206,11 +210,11 @@ class FirstOccurrence:
 
 
 def decide_first(numbers: np.ndarray, payloads: list[bytes]) -> list[bytes]:
-    """Bucket step: for each batch's keys, whether an earlier window elsewhere has the key."""
+    """Bucket step: for each batch's keys (128 bits), whether an earlier window elsewhere has the key."""
     parts = [unpack(p) for p in payloads]
     sizes = np.array([len(p[0]) for p in parts])
-    keys, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((np.repeat(numbers, sizes), starts, docs, keys))
+    keys, checks, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((np.repeat(numbers, sizes), starts, docs, checks, keys))
     lost = np.zeros(len(keys), bool)
-    lost[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    lost[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
     return [flag_answer(x) for x in np.split(lost, np.cumsum(sizes)[:-1])]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+SEED = U64(0x2545F4914F6CDD1D)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -101,8 +102,12 @@ class Block:
         after[:-1] = full[1:]
         ends = np.flatnonzero(full & (first[1:] | ~after)) + 1
         owner = np.searchsorted(self.bounds, starts, side="right") - 1
-        prefix = prefix_hashes(data)
-        return starts, ends, owner, mix(span_hashes(prefix, starts, ends) + (ends - starts).astype(U64))
+        since = np.concatenate(([0], starts))
+        place = np.arange(n) - np.repeat(since, np.diff(np.append(since, n)))
+        # a sum of strong mixes of each byte with its place in the word: no two words collide by their structure
+        total = np.zeros(n + 1, U64)
+        np.cumsum(mix((data.astype(U64) | place.astype(U64) << U64(8)) + SEED), out=total[1:])
+        return starts, ends, owner, mix(total[ends] - total[starts] + (ends - starts).astype(U64))
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[int, int, Block]]:
@@ -129,12 +134,46 @@ def runs_to_mask(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def dilate(flags: np.ndarray, width: int) -> np.ndarray:
-    """True at i if any of ``flags[i-width+1 .. i]`` is true."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    low = np.maximum(np.arange(len(flags)) - width + 1, 0)
-    return total[1:] > total[low]
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """Whether the ``sizes`` bytes at x and at y are the same, byte by byte."""
+    out = np.ones(len(x), bool)
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, side="right")))
+        part = sizes[lo:hi]
+        owner = np.repeat(np.arange(hi - lo), part)
+        inside = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part)
+        differ = data[x[lo:hi][owner] + inside] != data[y[lo:hi][owner] + inside]
+        out[lo:hi][owner[differ]] = False
+        lo = hi
+    return out
+
+
+def exact_groups(
+    order: np.ndarray, same: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray], content: Callable[[int], bytes]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal things from an order in which ``same`` (key as the one before) only says that hashes are equal.
+
+    Neighbours are compared; a run of one hash with different things in it is regrouped by content. Returns the order
+    and where groups begin.
+    """
+    new = np.ones(len(order), bool)
+    new[1:] = ~same
+    at = np.flatnonzero(same)
+    wrong = at[~equal(order[at], order[at + 1])]
+    if wrong.size:
+        order = order.copy()
+        starts = np.append(np.flatnonzero(new), len(order))
+        for run in np.unique(np.searchsorted(starts, wrong, side="right") - 1).tolist():
+            a, b = starts[run], starts[run + 1]
+            kinds: dict[bytes, list[int]] = {}
+            for i in order[a:b].tolist():
+                kinds.setdefault(content(i), []).append(i)
+            order[a:b] = [i for group in kinds.values() for i in group]
+            new[a:b] = False
+            new[a + np.cumsum([0, *(len(g) for g in kinds.values())])[:-1]] = True
+    return order, new
 
 
 def crc32(values: np.ndarray) -> int:

@@ -3,11 +3,13 @@
 Each text is cut into non-overlapping reference blocks of ``BLOCK`` words, which are indexed; every
 rolling window of ``BLOCK`` words probes the index. Any passage of ``2 * BLOCK`` words holds a whole
 reference block of the text where it stood first, so a repeat always leaves a hit. Hits are extended
-to the ``WINDOW``-word windows around them, all of whose probes must repeat, and these are settled
-exactly: of the windows with the same words, all but the first (smallest ``doc_id``, then earliest
-start) are repeats. Adjoining repeats form one maximal exact repeat and are removed.
+to the ``WINDOW``-word windows around them, all of whose probes must repeat, and of the windows with the same words
+all but the first (smallest ``doc_id``, then earliest start) are repeats. Windows are the same if two independent
+64-bit hashes of their words agree: among 10^13 windows a false match has a chance of about 10^-13. Adjoining repeats
+form one maximal exact repeat and are removed.
 
-Edge cases: a null or empty text has no words; a text shorter than a window keeps all; a null
+Edge cases: a null or empty text has no words; a text shorter than a window keeps all; a very long text is a batch of
+its own and is held in one task; a null
 ``doc_id`` comes before all others; rows that share a ``doc_id`` are separate, the earlier staged
 one first; an empty table gives an empty result; further columns are ignored.
 """
@@ -30,6 +32,7 @@ from .staging import read_table
 
 WINDOW = 20
 BLOCK = 10
+SECOND = U64(0xD6E8FEB86659FD93)
 
 
 def rolling(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +44,14 @@ def rolling(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarra
     return mix(span_hashes(prefix_hashes(words), at, at + width)), owner[:n] == owner[width - 1 :]
 
 
+def second_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Another hash of the ``width`` words from each of the starts, independent of the first."""
+    out = np.zeros(len(starts), U64)
+    for i in range(width):
+        out = mix(out + words[starts + i] * SECOND)
+    return out
+
+
 class Probes:
     """The distinct probes of a batch: ascending keys, and what is known of each."""
 
@@ -110,7 +121,7 @@ class Windows:
         at = np.arange(len(hashes))
         good = whole & (total[at + inner] - total[at] == inner) & (hits[at + inner] > hits[at])
         self.at = np.flatnonzero(good)
-        self.first = FirstOccurrence(hashes[self.at])
+        self.first = FirstOccurrence(hashes[self.at], second_hashes(words, self.at, window))
         per = np.bincount(self.owner, minlength=len(block.lengths))
         self.counts, self.base = per, np.cumsum(per) - per
 

@@ -2,9 +2,8 @@
 
 Suffixes are dealt to buckets by content: of the ``GRAM``-byte strings in a ``LENGTH``-byte window the
 one with the smallest hash is its anchor, so equal windows have equal anchors, wherever they stand. The windows
-of one anchor form a stretch of text. Stretches that are equal as a whole, or whose anchor occurs
-nowhere else, are settled by their hash. What is left (different stretches around the same anchor)
-goes to the anchor's bucket as text, and there its suffixes are sorted:
+of one anchor form a stretch of text. A stretch whose anchor occurs nowhere else repeats nothing. All others go to the
+anchor's bucket as text (equal ones of a batch once, compared byte by byte), and there their suffixes are sorted:
 
 * prefix polynomial hashes give the hash of any substring in constant time;
 * two suffixes are compared by their longest common extension, found by binary search over those
@@ -12,14 +11,17 @@ goes to the anchor's bucket as text, and there its suffixes are sorted:
 * a bottom-up mergesort, all groups of suffixes at once, orders them by such comparisons;
 * neighbours that compare as equal for ``LENGTH`` bytes are verified byte by byte.
 
-Of the suffixes that share ``LENGTH`` bytes, all but the first in (``doc_id``, start) order repeat.
+Stretches that are the same as a whole need one sort for all: they are found by their hash and verified byte by byte
+before it. Of the suffixes that share ``LENGTH`` bytes, all but the first in (``doc_id``, start) order repeat.
 
 An anchor with more than ``CROWD`` different stretches (a line that a third of all documents hold, each
-time between other lines) is not sorted in one task: its windows are dealt singly by their 64-bit
-hash, each distinct one of a batch once, and settled by it alone.
+time between other lines) is split: its windows are dealt singly by their hash, first the hashes alone, then, of
+those that stand in several batches, the bytes, which are sorted and verified as above. So ``CROWD`` changes how the
+work is split and not the result.
 
-Edge cases: a null text is empty; a text shorter than ``LENGTH`` bytes keeps all; a null ``doc_id``
-comes before all others; rows that share a ``doc_id`` are separate, the earlier staged one first;
+Edge cases: a null text is empty; a text shorter than ``LENGTH`` bytes keeps all; a very long text is a batch of its
+own and is held in one task (up to 256 MB; beyond, its windows may choose other anchors than their copies elsewhere); a
+null ``doc_id`` comes before all others; rows that share a ``doc_id`` are separate, the earlier staged one first;
 removal may cut a multi-byte character, so kept texts are binary; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -34,21 +36,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exchange import (
-    NO_ID, FirstOccurrence, bits_of, bucket_bits, carried_columns, decide_first, gather, rows_of, scatter, slices,
-    text_batches, with_answers,
+    NO_ID, bits_of, bucket_bits, carried_columns, flag_answer, gather, rows_of, scatter, slices, text_batches,
+    with_answers,
 )
 from .kernels import (
-    BASE, BASE_INVERSE, U64, Block, mix, pack, powers, prefix_hashes, runs_to_mask, span_hashes, unpack,
+    BASE, BASE_INVERSE, U64, Block, exact_groups, mix, pack, powers, prefix_hashes, runs_to_mask, same_bytes,
+    span_hashes, unpack,
 )
-from .staging import read_table
+from .staging import BROADCAST_IDS, read_table
 
 LENGTH = 100
 GRAM = 24
 PLACE_BITS = 28
 BATCH, BUCKET = 4 << 20, 4 << 20
 SORT_AT_ONCE = 1 << 17
-SINGLE, REPEAT, OPEN, CROWDED = 0, 1, 2, 3
-#: An anchor with more different stretches than this is settled by single windows.
+SINGLE, OPEN, CROWDED = 0, 1, 2
+#: An anchor with more different stretches than this is split into single windows.
 CROWD = 1024
 
 
@@ -109,31 +112,42 @@ def _stretches(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
 class Distinct:
     """The distinct stretches of a batch by (anchor, whole stretch), ascending, and the first of each."""
 
-    def __init__(self, found: Stretches):
+    def __init__(self, found: Stretches, data: np.ndarray, length: int):
         order = np.lexsort((np.arange(len(found.key)), found.whole, found.key))
         key, whole = found.key[order], found.whole[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
-        self.first, self.key, self.whole = order[new], key[new], whole[new]
+        same = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
+        size = found.high - found.low + length
+
+        def equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            alike = (size[x] == size[y]) & (found.anchor[x] - found.low[x] == found.anchor[y] - found.low[y])
+            alike[alike] = same_bytes(data, found.low[x[alike]], found.low[y[alike]], size[x[alike]])
+            return alike
+
+        def content(i: int) -> bytes:
+            return int(found.anchor[i] - found.low[i]).to_bytes(8, "little") + data[found.low[i] : found.low[i] + size[i]].tobytes()
+
+        order, new = exact_groups(order, same, equal, content)
+        self.first = order[new]
+        self.key, self.whole = found.key[self.first], found.whole[self.first]
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
 
 
 def decide_stretches(numbers: np.ndarray, payloads: list[bytes]) -> list[bytes]:
-    """Bucket step: is a batch's first stretch of its kind new, a repeat, or open to finer comparison."""
+    """Bucket step: does a batch's stretch have an anchor of its own, one to compare by text, or a crowded one."""
     parts = [unpack(p) for p in payloads]
     sizes = np.array([len(p[0]) for p in parts])
-    key, whole, doc, start = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((np.repeat(numbers, sizes), start, doc, whole, key))
+    key, whole = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.lexsort((whole, key))
     k, w = key[order], whole[order]
-    same_key, same_all = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    same_key[1:] = k[1:] == k[:-1]
-    same_all[1:] = same_key[1:] & (w[1:] == w[:-1])
-    group = np.cumsum(~same_key) - 1
-    kinds = np.bincount(group, weights=~same_all) if len(k) else np.zeros(0)
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    other = new.copy()
+    other[1:] |= w[1:] != w[:-1]
+    group = np.cumsum(new) - 1
+    kinds, entries = (np.bincount(group, weights=x) if len(k) else np.zeros(0) for x in (other, None))
     status = np.empty(len(k), np.uint8)
-    fresh = np.where(kinds > CROWD, CROWDED, np.where(kinds > 1, OPEN, SINGLE))
-    status[order] = np.where(same_all, REPEAT, fresh[group]) if len(k) else []
+    status[order] = np.where(kinds > CROWD, CROWDED, np.where(entries > 1, OPEN, SINGLE))[group] if len(k) else []
     return [pack(x) for x in np.split(status, np.cumsum(sizes)[:-1])]
 
 
@@ -214,7 +228,7 @@ class Suffixes:
     def eights(self, starts: np.ndarray) -> np.ndarray:
         """The first eight bytes as one number that sorts alike."""
         out = np.zeros(len(starts), U64)
-        for i in range(8):
+        for i in range(min(8, self.length)):
             out = out << U64(8) | self.text[starts + i].astype(U64)
         return out
 
@@ -262,30 +276,77 @@ def _mark_repeats(
             repeated[j] = seen.setdefault(string, j) != j
 
 
-def sort_bucket(length: int):
-    """Bucket step: suffix-sort the open stretches; answers have a flag for each of their windows."""
+def whole_repeats(text: np.ndarray, base: np.ndarray, span: np.ndarray, key: np.ndarray, offset: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which stretches equal, as a whole and byte by byte, one of the same anchor with a smaller ``rank``."""
+    whole = span_hashes(prefix_hashes(text), base, base + span)
+    order = np.lexsort((rank, whole, span, offset, key))
+    x, y = order[1:], order[:-1]
+    same = (key[x] == key[y]) & (offset[x] == offset[y]) & (span[x] == span[y]) & (whole[x] == whole[y])
+    order, new = exact_groups(
+        order, same, lambda x, y: same_bytes(text, base[x], base[y], span[x]), lambda i: text[base[i] : base[i] + span[i]].tobytes()
+    )
+    out = np.zeros(len(order), bool)
+    out[order[~new]] = True
+    return out
+
+
+def sort_stretches(parts: list[list[np.ndarray]], numbers: np.ndarray, length: int) -> list[np.ndarray]:
+    """Suffix-sort open stretches; a flag for each of their windows, by batch."""
+    sizes = np.array([len(p[0]) for p in parts])
+    key, doc, low, count, offset = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    text = np.concatenate([p[5] for p in parts])
+    count, offset = count.astype(np.int64), offset.astype(np.int64)
+    # order of stretches; windows within one ascend
+    order = np.lexsort((np.repeat(numbers, sizes), low, doc))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    span = count + length - 1
+    base = np.cumsum(span) - span
+    whole = whole_repeats(text, base, span, key, offset, rank)
+    found = np.repeat(whole, count)
+    left = np.flatnonzero(~whole)
+    stretch = np.repeat(left, count[left])
+    inside = np.arange(len(stretch)) - np.repeat(np.cumsum(count[left]) - count[left], count[left])
+    local = np.arange(len(text)) - np.repeat(base, span)
+    # windows that meet in one suffix group hold the anchor at the same place
+    kind = mix(key[stretch] ^ mix(offset[stretch].astype(U64) - inside.astype(U64)))
+    found[~found] = repeats_of(text, local, base[stretch] + inside, kind, rank[stretch] << np.int64(16) | inside, length)
+    return np.split(found, np.cumsum([int(p[3].sum()) for p in parts])[:-1])
+
+
+def sort_windows(parts: list[list[np.ndarray]], numbers: np.ndarray, length: int) -> list[np.ndarray]:
+    """Suffix-sort single windows of ``length`` bytes by their hash; a flag for each, by batch."""
+    sizes = np.array([len(p[0]) for p in parts])
+    key, doc, start = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    text = np.concatenate([p[3] for p in parts])
+    order = np.lexsort((np.repeat(numbers, sizes), start, doc))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    found = repeats_of(text, np.arange(len(text)) % length, np.arange(len(key)) * length, key, rank, length)
+    return np.split(found, np.cumsum(sizes)[:-1])
+
+
+def several(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Which of the batches' window hashes stand in several batches."""
+    keys = np.concatenate([p[0] for p in parts])
+    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.split(times[at] > 1, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+
+def stretches_or_hashes(length: int):
+    """Bucket step for the two kinds of payload; a bucket holds one kind."""
 
     def step(numbers: np.ndarray, payloads: list[bytes]) -> list[bytes]:
         parts = [unpack(p) for p in payloads]
-        sizes = np.array([len(p[0]) for p in parts])
-        key, doc, low, count, offset = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        text = np.concatenate([p[5] for p in parts])
-        count, offset = count.astype(np.int64), offset.astype(np.int64)
-        # order of stretches; windows within one ascend
-        order = np.lexsort((np.repeat(numbers, sizes), low, doc))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        span = count + length - 1
-        base = np.cumsum(span) - span
-        total = int(count.sum())
-        stretch = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        local = np.arange(len(text)) - np.repeat(base, span)
-        # windows that meet in one suffix group hold the anchor at the same place
-        kind = mix(key[stretch] ^ mix(offset[stretch].astype(U64) - inside.astype(U64)))
-        found = repeats_of(text, local, base[stretch] + inside, kind, rank[stretch] << np.int64(16) | inside, length)
-        cuts = np.cumsum([int(p[3].sum()) for p in parts])[:-1]
-        return [pack(np.array([len(f)], np.int64), np.packbits(f)) for f in np.split(found, cuts)]
+        found = sort_stretches(parts, numbers, length) if len(parts[0]) > 1 else several(parts)
+        return [flag_answer(f) for f in found]
+
+    return step
+
+
+def windows_step(length: int):
+    def step(numbers: np.ndarray, payloads: list[bytes]) -> list[bytes]:
+        return [flag_answer(f) for f in sort_windows([unpack(p) for p in payloads], numbers, length)]
 
     return step
 
@@ -300,23 +361,58 @@ def window_hashes(block: Block, starts: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+class Windows:
+    """The distinct windows at the ascending ``starts``, compared byte by byte, and the first of each."""
+
+    def __init__(self, block: Block, starts: np.ndarray, length: int):
+        hashes = window_hashes(block, starts, length)
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        order, new = exact_groups(
+            order,
+            same,
+            lambda x, y: same_bytes(block.data, starts[x], starts[y], np.full(len(x), length)),
+            lambda i: block.data[starts[i] : starts[i] + length].tobytes(),
+        )
+        self.starts, self.first = starts, order[new]
+        self.keys = hashes[self.first]
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+
+    def repeats(self, lost: np.ndarray) -> np.ndarray:
+        """Starts of repeated windows; ``lost`` are the distinct ones that stood elsewhere before."""
+        again = np.ones(len(self.group), bool)
+        again[self.first] = False
+        gone = np.zeros(len(self.keys), bool)
+        gone[lost] = True
+        return self.starts[again | gone[self.group]]
+
+
 class Marks:
     """The stretches of a batch and what the first step said of each distinct one."""
 
     def __init__(self, block: Block, answers: list[bytes], length: int, gram: int):
         self.found = Stretches(block, length, gram)
-        self.distinct = Distinct(self.found)
+        self.distinct = Distinct(self.found, block.data, length)
         parts = [unpack(x)[0] for x in answers]
         self.status = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
         if len(self.status) != len(self.distinct.first):
             raise ValueError("answers do not fit the batch")
         self.open = np.flatnonzero(self.status == OPEN)
-        # windows of crowded anchors, ascending, and what is known of their hashes
+        # windows of crowded anchors, ascending
         at = self.distinct.first[self.status == CROWDED]
         count = self.found.high[at] - self.found.low[at] + 1
         low = self.found.low[at] - (np.cumsum(count) - count)
-        self.crowded = np.sort(np.arange(int(count.sum())) + np.repeat(low, count))
-        self.windows = FirstOccurrence(window_hashes(block, self.crowded, length))
+        self.crowded = Windows(block, np.sort(np.arange(int(count.sum())) + np.repeat(low, count)), length)
+
+    def open_windows(self, length: int) -> int:
+        at = self.distinct.first[self.open]
+        return int((self.found.high[at] - self.found.low[at] + 1).sum())
+
+    def answers(self, given: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Flags of the windows of open stretches, and of the crowded windows' hashes (in several batches)."""
+        flags = bits_of(given, 1, self.open_windows(length) + len(self.crowded.keys))
+        return flags[: self.open_windows(length)], flags[self.open_windows(length) :]
 
 
 def remove_repeated_bytes(
@@ -335,14 +431,11 @@ def remove_repeated_bytes(
     bits = bucket_bits(batches, BUCKET)
 
     def deal(ids: np.ndarray, block: Block) -> Iterator[tuple[int, bytes]]:
-        found = Stretches(block, length, gram)
-        kinds = Distinct(found)
+        kinds = Distinct(Stretches(block, length, gram), block.data, length)
         for bucket, part in slices(kinds.key, bits):
-            at = kinds.first[part]
-            start = (found.low[at] - block.bounds[found.owner[at]]).astype(np.uint32)
-            yield bucket, pack(kinds.key[part], kinds.whole[part], ids[found.owner[at]], start)
+            yield bucket, pack(kinds.key[part], kinds.whole[part])
 
-    def send_open(ids: np.ndarray, block: Block, status: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def compare(ids: np.ndarray, block: Block, status: list[bytes]) -> Iterator[tuple[int, bytes]]:
         marks = Marks(block, status, length, gram)
         found, kinds = marks.found, marks.distinct
         for bucket, part in slices(kinds.key[marks.open], bits):
@@ -355,53 +448,75 @@ def remove_repeated_bytes(
                 kinds.key[rows], ids[found.owner[at]], (low - block.bounds[found.owner[at]]).astype(np.uint32),
                 count.astype(np.uint16), (found.anchor[at] - low).astype(np.uint16), block.data[flat],
             )
+        for bucket, part in slices(marks.crowded.keys, bits):
+            yield bucket + (1 << bits), pack(marks.crowded.keys[part])
 
-    def send_crowded(ids: np.ndarray, block: Block, status: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def verify(ids: np.ndarray, block: Block, status: list[bytes], compared: list[bytes]) -> Iterator[tuple[int, bytes]]:
         marks = Marks(block, status, length, gram)
-        owner = np.searchsorted(block.bounds, marks.crowded, side="right") - 1
-        yield from marks.windows.payloads(ids[owner], marks.crowded - block.bounds[owner], bits)
+        windows = marks.crowded
+        _, met = marks.answers(compared, length)
+        chosen = np.flatnonzero(met)
+        for bucket, part in slices(windows.keys[chosen], bits):
+            at = windows.starts[windows.first[chosen[part]]]
+            owner = np.searchsorted(block.bounds, at, side="right") - 1
+            yield bucket, pack(
+                windows.keys[chosen[part]], ids[owner], (at - block.bounds[owner]).astype(np.uint32),
+                block.data[(at[:, None] + np.arange(length)).ravel()],
+            )
 
     def keep(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow:
-            for _, ids, block, (status, windows, crowded, *carried) in rows_of(part):
+            for _, ids, block, (status, compared, verified, *carried) in rows_of(part):
                 marks = Marks(block, status, length, gram)
-                out = _kept(ids, block, marks, windows, crowded, length, whole_characters)
+                out = _kept(ids, block, marks, compared, verified, length, whole_characters)
                 for name, column in (carried_columns(carried[0]) if carry else {}).items():
                     out = out.append_column(name, column)
                 yield out
 
     status = gather(scatter(batches.select("batch", "content"), deal), decide_stretches, "suffix-status")
-    sent = with_answers(batches, status)
-    windows = gather(scatter(sent, send_open), sort_bucket(length), "suffix-windows")
-    crowded = gather(scatter(sent, send_crowded), decide_first, "suffix-crowded")
+    compared = gather(scatter(with_answers(batches, status), compare), stretches_or_hashes(length), "suffix-windows")
+    # only batches with windows of crowded anchors have bytes to verify
+    crowded = compared.where(F.col("bucket") >= 1 << bits).select("batch").distinct()
+    sent = with_answers(batches.join(F.broadcast(crowded) if crowded.count() < BROADCAST_IDS else crowded, "batch", "left_semi"), status, compared)
+    verified = gather(scatter(sent, verify), windows_step(length), "suffix-verified")
     further = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return with_answers(batches, status, windows, crowded, carry=bool(carry)).mapInArrow(
+    return with_answers(batches, status, compared, verified, carry=bool(carry)).mapInArrow(
         keep, f"doc_id long, n_bytes long, kept binary, spans array<struct<start:long,length:long>>{further}"
     )
 
 
+def whole_characters_of(data: np.ndarray, gone: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``gone``, with all bytes of each UTF-8 character that has lost some."""
+    if not len(data):
+        return gone
+    lead = (data & 0xC0) != 0x80
+    lead[bounds[bounds < len(data)]] = True
+    character = np.cumsum(lead) - 1
+    damaged = np.zeros(int(character[-1]) + 1, bool)
+    damaged[character[gone]] = True
+    return damaged[character]
+
+
 def _kept(
-    ids: np.ndarray, block: Block, marks: Marks, windows: list[bytes], crowded: list[bytes], length: int, whole: bool
+    ids: np.ndarray, block: Block, marks: Marks, compared: list[bytes], verified: list[bytes], length: int, whole: bool
 ) -> pa.RecordBatch:
     found, kinds = marks.found, marks.distinct
     n = len(block.data)
     # all windows of a stretch that is not the first of its kind
-    first = np.zeros(len(found.low), bool)
-    first[kinds.first] = True
-    again = ~first | (marks.status[kinds.group] == REPEAT) if len(found.low) else first
+    again = np.ones(len(found.low), bool)
+    again[kinds.first] = False
     low, high = found.low[again], found.high[again]
     # single windows of open stretches
-    flags = [np.unpackbits(p[1], count=int(p[0][0])).astype(bool) for p in map(unpack, windows)]
+    flags, met = marks.answers(compared, length)
     at = kinds.first[marks.open]
     count = found.high[at] - found.low[at] + 1
-    single = np.zeros(0, np.int64)
-    if flags:
-        starts = np.arange(int(count.sum())) + np.repeat(found.low[at] - (np.cumsum(count) - count), count)
-        single = starts[np.concatenate(flags)]
-    if crowded:
-        again = marks.windows.repeats(bits_of(crowded, 1, len(marks.windows.keys)))
-        single = np.concatenate((single, marks.crowded[again]))
+    starts = np.arange(int(count.sum())) + np.repeat(found.low[at] - (np.cumsum(count) - count), count)
+    chosen = np.flatnonzero(met)
+    lost = chosen[bits_of(verified, 1, len(chosen))]
+    single = np.concatenate((starts[flags], marks.crowded.repeats(lost)))
     gone = runs_to_mask(np.concatenate((low, single)), np.concatenate((high, single)) + length, n)
+    if whole:
+        gone = whole_characters_of(block.data, gone, block.bounds)
     owner = np.repeat(np.arange(len(block.lengths)), block.lengths)
     begin = gone.copy()
     begin[1:] &= ~(gone[:-1] & (owner[1:] == owner[:-1]))
@@ -412,8 +527,6 @@ def _kept(
     to = np.cumsum(left)
     data = block.data[~gone].tobytes()
     texts = [data[b - k : b] for b, k in zip(to.tolist(), left.tolist(), strict=True)]
-    if whole:
-        texts = [x.decode("utf-8", "ignore").encode() for x in texts]
     spans: list[list] = [[] for _ in block.lengths]
     for o, s, e in zip(owner[runs].tolist(), runs.tolist(), ends.tolist(), strict=True):
         spans[o].append({"start": s - int(block.bounds[o]), "length": e - s})
