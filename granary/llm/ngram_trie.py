@@ -8,7 +8,11 @@ from pathlib import Path
 import numpy as np
 
 U64 = np.uint64
+ALL_BYTES = U64(0x0101010101010101)
+HIGH_BITS = U64(0x8080808080808080)
 STEP = 2048.0  # codes a unit of log10 probability
+#: Place of the k-th set bit of each byte.
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8).ravel()
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
@@ -20,52 +24,106 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) / -STEP
 
 
+class Bits:
+    """A bit vector in 64-bit words, with the ones and zeros before each word counted for selects."""
+
+    def __init__(self, words: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.words, self.ones, self.zeros = words, ones, zeros
+
+    @classmethod
+    def of(cls, marks: np.ndarray) -> Bits:
+        packed = np.packbits(marks, bitorder="little")
+        words = np.concatenate((packed, np.zeros(-len(packed) % 8, np.uint8))).view(U64)
+        ones = np.zeros(len(words), np.uint32)
+        np.cumsum(np.bitwise_count(words[:-1]), out=ones[1:], dtype=np.uint32)
+        return cls(words, ones, (np.arange(len(words), dtype=np.int64) * 64 - ones).astype(np.uint32))
+
+    def select(self, k: np.ndarray, zero: bool = False) -> np.ndarray:
+        """Position of the k-th set bit (or unset bit), from 0."""
+        before = self.zeros if zero else self.ones
+        word = np.searchsorted(before, k.astype(np.uint32), side="right") - 1
+        bits = ~self.words[word] if zero else self.words[word]
+        k = (k - before[word]).astype(U64)
+        sums = bits - (bits >> U64(1) & U64(0x5555555555555555))
+        sums = (sums & U64(0x3333333333333333)) + (sums >> U64(2) & U64(0x3333333333333333))
+        sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * ALL_BYTES  # ones up to and with each byte
+        less = ((k * ALL_BYTES | HIGH_BITS) - sums & HIGH_BITS) >> U64(7)  # the bytes that end at or before the k-th
+        shift = (less * ALL_BYTES >> U64(56)) << U64(3)
+        k -= (sums << U64(8)) >> shift & U64(255)
+        inside = IN_BYTE[((bits >> shift & U64(255)) << U64(3) | k).astype(np.int64)]
+        return (word << 6) + shift.astype(np.int64) + inside
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed side by side, high bits as a unary bit vector."""
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.width, self.low, self.high = n, width, low, high
-        self.select = np.flatnonzero(np.unpackbits(high, bitorder="little")).astype(np.int64)
+    def __init__(self, n: int, width: int, top: int, low: np.ndarray, high: Bits):
+        self.n, self.width, self.top, self.low, self.high = n, width, top, low, high
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.int64)
         n = len(values)
-        top = int(values[-1]) + 1 if n else 1
-        width = max(0, (top // max(n, 1)).bit_length() - 1)
+        last = int(values[-1]) + 1 if n else 1
+        width = max(0, (last // max(n, 1)).bit_length() - 1)
         bits = np.zeros(n * width, np.uint8)
         for j in range(width):
             bits[j::width] = values >> j & 1
         low = np.packbits(bits, bitorder="little")
         low = np.concatenate((low, np.zeros(16 - len(low) % 8, np.uint8))).view(U64)
-        marks = np.zeros((int(values[-1] >> width) if n else 0) + n + 1, np.uint8)
+        top = int(values[-1] >> width) if n else 0
+        marks = np.zeros(top + n + 1, np.uint8)
         marks[(values >> width) + np.arange(n)] = 1
-        return cls(n, width, low, np.packbits(marks, bitorder="little"))
+        return cls(n, width, top, low, Bits.of(marks))
 
-    def at(self, i: np.ndarray) -> np.ndarray:
-        """Values at the places ``i``."""
-        high = self.select[i] - i << self.width
+    def low_bits(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
-            return high
+            return np.zeros(len(i), np.int64)
         bit = i * self.width
         word, shift = bit >> 6, (bit & 63).astype(U64)
         two = self.low[word] >> shift | (self.low[word + 1] << (U64(63) - shift)) << U64(1)
-        return high | (two & U64((1 << self.width) - 1)).astype(np.int64)
+        return (two & U64((1 << self.width) - 1)).astype(np.int64)
 
-    def successor(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """First place in ``[low, high)`` with a value of at least ``wanted``, else ``high``."""
-        low, high = low.copy(), high.copy()
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """Values at the places ``i``."""
+        return self.high.select(i) - i << self.width | self.low_bits(i)
+
+    def next(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place with a value of at least ``wanted``, else ``n``; and whether it is that value."""
+        if not self.n:
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        part = wanted >> self.width
+        beyond = part > self.top
+        part = np.clip(part, 0, self.top)
+        # unset bit number z stands after the values whose high part is at most z
+        low = np.where(part > 0, self.high.select(np.maximum(part - 1, 0), zero=True) - (part - 1), 0)
+        end = self.high.select(part, zero=True) - part
+        rest = wanted & (1 << self.width) - 1
+        high = end.copy()
         todo = np.flatnonzero(low < high)
         while todo.size:
             mid = low[todo] + high[todo] >> 1
-            less = self.at(mid) < wanted[todo]
+            less = self.low_bits(mid) < rest[todo]
             low[todo] = np.where(less, mid + 1, low[todo])
             high[todo] = np.where(less, high[todo], mid)
             todo = todo[low[todo] < high[todo]]
-        return low
+        inside = np.flatnonzero((low < end) & ~beyond)
+        hit = np.zeros(len(wanted), bool)
+        hit[inside] = self.low_bits(low[inside]) == rest[inside]
+        low[beyond] = self.n
+        return low, hit
+
+    def successor(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """First place in ``[low, high)`` with a value of at least ``wanted``, else ``high``."""
+        return np.clip(self.next(wanted)[0], low, high)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"size": np.array([self.n, self.width]), "low": self.low, "high": self.high}
+        high = {"words": self.high.words, "ones": self.high.ones, "zeros": self.high.zeros}
+        return {"size": np.array([self.n, self.width, self.top]), "low": self.low, **high}
+
+    @classmethod
+    def from_arrays(cls, x: dict[str, np.ndarray]) -> EliasFano:
+        return cls(*x["size"].tolist(), x["low"], Bits(x["words"], x["ones"], x["zeros"]))
 
 
 class Level:
@@ -85,22 +143,35 @@ class Level:
         offset[full] = np.cumsum(last) - last
         return cls(EliasFano.of(pointers), EliasFano.of(values + offset[parents] if len(values) else values))
 
-    def range(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.pointers.at(parent), self.pointers.at(parent + 1)
+    def range(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last place (exclusive) of each parent's children, and what was added to them."""
+        low, high = self.pointers.at(parent), self.pointers.at(parent + 1)
+        base = np.zeros(len(parent), np.int64)
+        later = np.flatnonzero(low)
+        if self.children.n:
+            base[later] = self.children.at(low[later] - 1) + 1
+        return low, high, base
 
-    def find(self, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Place of child ``value`` of ``parent``, or -1: a successor search within the parent's range."""
-        out = np.full(len(parent), -1, np.int64)
-        if not self.children.n:
-            return out
-        low, high = self.range(parent)
-        base = np.where(low > 0, self.children.at(np.maximum(low - 1, 0)) + 1, 0)
-        wanted = base + value
-        place = self.children.successor(low, high, wanted)
-        hit = place < high
-        hit[hit] = self.children.at(place[hit]) == wanted[hit]
-        out[hit] = place[hit]
-        return out
+    def find(self, ranges: tuple[np.ndarray, np.ndarray, np.ndarray], owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Place of child ``value`` of the ``owner``-th range, or -1: a successor search within that range."""
+        low, high, base = ranges
+        place, hit = self.children.next(base[owner] + value)
+        return np.where(hit & (place >= low[owner]) & (place < high[owner]), place, -1)
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of equal keys, and the run of each place."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new) > 1:
+        new[1:] = keys[0][1:] != keys[0][:-1]
+        for key in keys[1:]:
+            new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def discount(once: int, twice: int) -> float:
+    """Absolute discount from how many n-grams occur once and twice."""
+    return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
 
 
 class Trie:
@@ -122,35 +193,56 @@ class Trie:
 
     @classmethod
     def trained(cls, u: np.ndarray, v: np.ndarray, w: np.ndarray, base: np.ndarray) -> Trie:
-        """From occurrences of trigrams; ``base[w]``: log10 probability of w by itself.
+        """From occurrences of trigrams; ``base[w]``: log10 probability of w by itself."""
+        order = np.lexsort((w, u, v))
+        u, v, w = (np.asarray(x, np.int64)[order] for x in (u, v, w))
+        first, _ = runs(v, u, w)
+        n = np.diff(np.append(first, len(u)))
+        u, v, w = u[first], v[first], w[first]
+        return cls.of_counts(u, v, w, n, base, *(discount(*x) for x in counts_of_counts(v, w, n)))
 
-        Interpolated absolute discounting, each order's discount n1 / (n1 + 2 n2) from its own counts.
+    @classmethod
+    def of_counts(
+        cls, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, d2: float, d3: float,
+        totals: dict[str, np.ndarray] | None = None,
+    ) -> Trie:
+        """From distinct trigrams in (v, u, w) order and their counts, by interpolated absolute discounting.
+
+        A count of 0 only names a word and a context. ``totals`` tells, for words and contexts that stand in other
+        tries as well, of their counts and numbers of successors over all tries: ``v, u`` (-1: the word itself),
+        ``n, fan``.
         """
-        words, at = np.unique(v, return_inverse=True)
-        total = np.bincount(at, minlength=len(words)).astype(float)
-        pair, pair_at, pair_n = np.unique(at.astype(np.int64) << 32 | w, return_inverse=True, return_counts=True)
-        context, context_at, context_n = np.unique(at.astype(np.int64) << 32 | u, return_inverse=True, return_counts=True)
+        starts, at = runs(v)
+        words = v[starts]
+        begin, context_at = runs(v, u)
+        context_word, context = at[begin], u[begin]
+        there = np.flatnonzero(n)
+        pair, pair_at = np.unique(at[there] << 32 | w[there], return_inverse=True)
+        pair_n = np.bincount(pair_at, weights=n[there], minlength=len(pair))
         owner, child = pair >> 32, pair & 0xFFFFFFFF
         pointer = np.searchsorted(owner, np.arange(len(words) + 1))
-        rank = pair_at - pointer[at]
-        triple, triple_n = np.unique(context_at.astype(np.int64) << 32 | rank, return_counts=True)
-        t_owner, t_rank = triple >> 32, triple & 0xFFFFFFFF
-
-        def discount(counts: np.ndarray) -> float:
-            once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-            return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
-
-        d2, d3 = discount(pair_n), discount(triple_n)
-        spare2 = d2 * np.diff(pointer) / np.maximum(total, 1)
-        p2 = (pair_n - d2) / total[owner] + spare2[owner] * 10.0 ** base[child] if len(pair) else np.zeros(0)
-        fan = np.bincount(t_owner, minlength=len(context))
-        spare3 = d3 * fan / np.maximum(context_n, 1)
-        of_pair = pointer[context[t_owner] >> 32] + t_rank
-        p3 = (triple_n - d3) / context_n[t_owner] + spare3[t_owner] * p2[of_pair] if len(triple) else np.zeros(0)
+        word_n, word_fan = np.bincount(at, weights=n, minlength=len(words)), np.diff(pointer)
+        context_n = np.bincount(context_at, weights=n, minlength=len(begin))
+        context_fan = np.bincount(context_at[there], minlength=len(begin))
+        if totals is not None and len(totals["v"]) and len(words):
+            place = np.searchsorted(words, totals["v"])
+            here = words[np.minimum(place, len(words) - 1)] == totals["v"]
+            alone = here & (totals["u"] < 0)
+            word_n[place[alone]], word_fan[place[alone]] = totals["n"][alone], totals["fan"][alone]
+            both, keys = here & (totals["u"] >= 0), context_word << 32 | context
+            wanted = place[both] << 32 | totals["u"][both]
+            spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            known = keys[spot] == wanted
+            context_n[spot[known]], context_fan[spot[known]] = totals["n"][both][known], totals["fan"][both][known]
+        spare2 = np.where(word_n > 0, d2 * word_fan / np.maximum(word_n, 1), 1.0)
+        p2 = (pair_n - d2) / word_n[owner] + spare2[owner] * 10.0 ** base[child]
+        spare3 = np.where(context_n > 0, d3 * context_fan / np.maximum(context_n, 1), 1.0)
+        context_at = context_at[there]
+        p3 = (n[there] - d3) / context_n[context_at] + spare3[context_at] * p2[pair_at]
         levels = {
             "pairs": Level.of(owner, child, len(words)),
-            "contexts": Level.of(context >> 32, context & 0xFFFFFFFF, len(words)),
-            "triples": Level.of(t_owner, t_rank, len(context)),
+            "contexts": Level.of(context_word, context, len(words)),
+            "triples": Level.of(context_at, pair_at - pointer[at[there]], len(begin)),
         }
         sequences = {"words": EliasFano.of(words)}
         for name, level in levels.items():
@@ -159,27 +251,31 @@ class Trie:
         return cls(sequences, {k: quantised(x) for k, x in codes.items()})
 
     def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each w after u v; ``base``: that of w by itself."""
+        """log10 probability of each w after u v; ``base``: that of w by itself. Sorted trigrams are found faster."""
         out = base.astype(float).copy()
-        if not self.words.n:
+        if not self.words.n or not len(out):
             return out
-        place = self.words.successor(np.zeros(len(v), np.int64), np.full(len(v), self.words.n), v)
-        seen = np.flatnonzero(place < self.words.n)
-        seen = seen[self.words.at(place[seen]) == v[seen]]
-        at = place[seen]
-        pair = self.pairs.find(at, w[seen])
+        first, owner = runs(v)
+        word, seen_word = self.words.next(v[first])
+        seen = np.flatnonzero(seen_word[owner])
+        word = np.where(seen_word, word, 0)
+        ranges = self.pairs.range(word)
+        pair = self.pairs.find(ranges, owner[seen], w[seen])
         known = pair >= 0
-        two = restored(self.codes["spare2"][at]) + out[seen]
+        two = restored(self.codes["spare2"][word[owner[seen]]]) + out[seen]
         two[known] = restored(self.codes["p2"][pair[known]])
-        context = self.contexts.find(at, u[seen])
-        inside = np.flatnonzero(context >= 0)
+        begin, context_at = runs(v[seen], u[seen])
+        context = self.contexts.find(self.contexts.range(word), owner[seen[begin]], u[seen[begin]])
+        inside = np.flatnonzero(context[context_at] >= 0)
+        found = np.maximum(context, 0)
         two_or_three = two.copy()
-        two_or_three[inside] += restored(self.codes["spare3"][context[inside]])
+        two_or_three[inside] += restored(self.codes["spare3"][found[context_at[inside]]])
         both = inside[known[inside]]
-        low, _ = self.pairs.range(at[both])
-        triple = self.triples.find(context[both], pair[both] - low)
-        full = triple >= 0
-        two_or_three[both[full]] = restored(self.codes["p3"][triple[full]])
+        if self.contexts.children.n:
+            rank = pair[both] - ranges[0][owner[seen[both]]]
+            triple = self.triples.find(self.triples.range(found), context_at[both], rank)
+            full = triple >= 0
+            two_or_three[both[full]] = restored(self.codes["p3"][triple[full]])
         out[seen] = two_or_three
         return out
 
@@ -195,11 +291,18 @@ class Trie:
             path = Path(folder, f"{i}.npy")
             np.save(path, x)
             found[name] = np.load(path, mmap_mode="r") if x.size else x
-        sequences = {
-            name: EliasFano(*found[f"{name}/size"].tolist(), found[f"{name}/low"], found[f"{name}/high"]) for name in cls.NAMES
-        }
+        parts = ("size", "low", "words", "ones", "zeros")
+        sequences = {name: EliasFano.from_arrays({k: found[f"{name}/{k}"] for k in parts}) for name in cls.NAMES}
         return cls(sequences, {k[6:]: x for k, x in found.items() if k.startswith("codes/")})
 
 
+def counts_of_counts(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[tuple[int, int], tuple[int, int]]:
+    """How many pairs (v, w), and how many of the distinct trigrams, occur once and twice."""
+    _, at = np.unique(v << 32 | w, return_inverse=True)
+    pairs = np.bincount(at, weights=n) if len(at) else np.zeros(0)
+    return tuple((int((x == 1).sum()), int((x == 2).sum())) for x in (pairs, n))
+
+
 def temporary_folder() -> tempfile.TemporaryDirectory:
+    """Scratch of one task for the files that it maps, gone when it ends; nothing else reads it."""
     return tempfile.TemporaryDirectory(prefix="trie-")
