@@ -8,6 +8,7 @@ from .language_model import op7_language_model
 from .licences import op9_licence_scan
 from .minhash import op10_near_duplicates
 from .mixing import op3_mixing
+from .oracles import ORACLES
 from .packing import op4_packing
 from .quality import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
