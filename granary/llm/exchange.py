@@ -181,7 +181,7 @@ def flag_answer(*flags: np.ndarray) -> bytes:
 class FirstOccurrence:
     """For windows of a batch: which of them started earlier, in the batch or anywhere else.
 
-    ``hashes`` are 64-bit keys of windows in ascending (document, start) order, ``checks`` 64 further bits.
+    ``hashes`` are 64-bit keys of windows in ascending (document, start) order, ``checks`` further bits.
     """
 
     def __init__(self, hashes: np.ndarray, checks: np.ndarray):
@@ -210,7 +210,7 @@ class FirstOccurrence:
 
 
 def decide_first(numbers: np.ndarray, payloads: list[bytes]) -> list[bytes]:
-    """Bucket step: for each batch's keys (128 bits), whether an earlier window elsewhere has the key."""
+    """Bucket step: for each batch's keys and checks, whether an earlier window elsewhere has the key."""
     parts = [unpack(p) for p in payloads]
     sizes = np.array([len(p[0]) for p in parts])
     keys, checks, docs, starts = (np.concatenate([p[i] for p in parts]) for i in range(4))

@@ -5,8 +5,8 @@ rolling window of ``BLOCK`` words probes the index. Any passage of ``2 * BLOCK``
 reference block of the text where it stood first, so a repeat always leaves a hit. Hits are extended
 to the ``WINDOW``-word windows around them, all of whose probes must repeat, and of the windows with the same words
 all but the first (smallest ``doc_id``, then earliest start) are repeats. Windows are the same if two independent
-64-bit hashes of their words agree: among 10^13 windows a false match has a chance of about 10^-13. Adjoining repeats
-form one maximal exact repeat and are removed.
+hashes of their words agree, 96 bits in all: a false match among 10^13 windows has a chance of about one in a thousand.
+Adjoining repeats form one maximal exact repeat and are removed.
 
 Edge cases: a null or empty text has no words; a text shorter than a window keeps all; a very long text is a batch of
 its own and is held in one task; a null
@@ -45,11 +45,11 @@ def rolling(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def second_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Another hash of the ``width`` words from each of the starts, independent of the first."""
+    """Another hash (32 bits) of the ``width`` words from each of the starts, independent of the first."""
     out = np.zeros(len(starts), U64)
     for i in range(width):
         out = mix(out + words[starts + i] * SECOND)
-    return out
+    return (out >> U64(32)).astype(np.uint32)
 
 
 class Probes:
