@@ -115,7 +115,11 @@ def sought(threshold: float = MIN_SIMILARITY) -> list[str]:
 
 def worth_a_score(text: Column) -> Column:
     """Whether a lower-case text has a cue word or one of the words looked for."""
-    return text.rlike(CUE) | text.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(sought()) + r")(?![\p{L}\p{N}])")
+    by_letter: dict[str, list[str]] = {}
+    for word in sought():
+        by_letter.setdefault(word[0], []).append(word[1:])
+    words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
+    return text.rlike(CUE) | text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
 
 
 def notices(spark: SparkSession) -> DataFrame:
