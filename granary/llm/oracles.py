@@ -34,7 +34,33 @@ SUBSTRINGS = rf"""WITH {repeats(r"regexp_extract_all(coalesce(text, ''), '[^\x20
  k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(part, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM n GROUP BY doc_id)
  SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM s LEFT JOIN k USING (doc_id)"""
 
+
+
+def nearest_entries(book: str) -> str:
+    """For each part of each vector, the nearest entry ``j`` of a codebook table and its distance ``d``."""
+    return f"""SELECT vec_id, p, x, m.d AS d, m.j AS j FROM (SELECT vec_id, p, any_value(x) AS x, min({{'d': d, 'j': j}}) AS m FROM (
+ SELECT vec_id, p, x, j, list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k])))::BIGINT AS d FROM i JOIN {book} USING (p)) GROUP BY vec_id, p)"""
+
+
+def moved_entries(book: str, assigned: str) -> str:
+    return f"""SELECT p, j, coalesce(m, c) AS c FROM {book} LEFT JOIN (SELECT p, j, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY k) AS m FROM (
+ SELECT p, j, k, sum(x[k]) AS s, count(*) AS n FROM {assigned}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS k) GROUP BY p, j, k) GROUP BY p, j) USING (p, j)"""
+
+
+#: Unique ids and lengths of a multiple of 16, as the table has them.
+VECTOR_CODES = f"""WITH v AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings
+ WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ i AS MATERIALIZED (SELECT vec_id, r, p, list_transform(e[p * len(e) // 16 + 1:(p + 1) * len(e) // 16], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM v, (SELECT unnest(range(16)) AS p)),
+ b0 AS MATERIALIZED (SELECT p, r AS j, x AS c FROM i WHERE r < 64),
+ a0 AS MATERIALIZED ({nearest_entries("b0")}), b1 AS MATERIALIZED ({moved_entries("b0", "a0")}),
+ a1 AS MATERIALIZED ({nearest_entries("b1")}), b2 AS MATERIALIZED ({moved_entries("b1", "a1")}),
+ a2 AS MATERIALIZED ({nearest_entries("b2")}),
+ k AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+ h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b2)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN v USING (vec_id), h"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
     "op10_near_duplicates": NEAR_DUPLICATES,
+    "op12_vector_codes": VECTOR_CODES,
 }

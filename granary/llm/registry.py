@@ -13,6 +13,7 @@ from .packing import op4_packing
 from .quality import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
+from .vector_codes import op12_vector_codes
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_licence_scan": op9_licence_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
