@@ -59,8 +59,25 @@ VECTOR_CODES = f"""WITH v AS (SELECT vec_id, label, embedding AS e, row_number()
  h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b2)
  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN v USING (vec_id), h"""
 
+#: Counts of all sequences of one to five words; products are 128-bit.
+PHRASES = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS p FROM t),
+ w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM p),
+ n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))),
+ f AS MATERIALIZED (SELECT lang, m, phrase, count(*)::HUGEINT AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+ c AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+ s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, k, 1000 * c.a * n.n // (x.a * y.a) AS score FROM c JOIN n USING (lang)
+ JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ h AS (SELECT DISTINCT lang, a, array_to_string(w[i:i + z - 1], ' ') AS phrase FROM (SELECT lang, a, w, z, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM f WHERE m > 2))),
+ o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM b ANTI JOIN h USING (lang, phrase, a))
+ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
     "op10_near_duplicates": NEAR_DUPLICATES,
+    "op11_phrases": PHRASES,
     "op12_vector_codes": VECTOR_CODES,
 }

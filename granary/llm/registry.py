@@ -10,6 +10,7 @@ from .minhash import op10_near_duplicates
 from .mixing import op3_mixing
 from .oracles import ORACLES
 from .packing import op4_packing
+from .phrases import op11_phrases
 from .quality import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_licence_scan": op9_licence_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_phrases": op11_phrases,
     "op12_vector_codes": op12_vector_codes,
 }
 
