@@ -11,6 +11,7 @@ from .mixing import op3_mixing
 from .oracles import ORACLES
 from .packing import op4_packing
 from .phrases import op11_phrases
+from .pieces import op13_pieces
 from .quality import op5_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_phrases": op11_phrases,
     "op12_vector_codes": op12_vector_codes,
+    "op13_pieces": op13_pieces,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
