@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,32 +13,6 @@ from granary.functions import text as T
 from granary.functions import vectors as V
 from granary.sources.staging import staged
 
-PIVOTS = 3
-
-
-def near_vectors(vectors: DataFrame, key: str, column: str, least: float) -> DataFrame:
-    """``a < b, similarity`` of vectors of one length whose cosine is at least ``least``.
-
-    Unit vectors with that cosine are at most ``r = sqrt(2 - 2 * least)`` apart, so their distances to any pivot differ
-    by at most r. Each vector lies in a cell of side r by its distances to a few pivots, and only vectors of the same or
-    neighbouring cells meet; every such pair is then compared exactly. Zero vectors are near nothing.
-    """
-    size = V.norm(F.col(column))
-    unit = vectors.where((F.size(column) > 0) & (size > 0)).select(key, F.transform(column, lambda x: x.cast("double") / size).alias("_v"))
-    unit = staged(unit, "unit-vectors")
-    pivots = [r["_v"] for r in unit.orderBy(F.xxhash64(key), key).limit(PIVOTS).collect()]
-    r = max((2 - 2 * least) ** 0.5, 1e-6)
-    # a hair wider than r, so that rounding puts no pair two cells apart
-    cells = [F.floor(F.sqrt(F.greatest(2 - 2 * V.dot(F.col("_v"), V.literal(p)), F.lit(0.0))) / (r * (1 + 1e-9) + 1e-12)).cast("int") for p in pivots]
-    placed = unit.select(key, "_v", F.size("_v").alias("_n"), *[F.coalesce(c, F.lit(0)).alias(f"_c{i}") for i, c in enumerate(cells)])
-    names = [f"_c{i}" for i in range(len(pivots))]
-    around = F.array(*[F.struct(*[(F.col(n) + d).alias(n) for n, d in zip(names, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(names))])
-    left = placed.select(F.col(key).alias("a"), F.col("_v").alias("_x"), "_n", F.explode(around).alias("_at")).select("a", "_x", "_n", "_at.*")
-    right = placed.select(F.col(key).alias("b"), F.col("_v").alias("_y"), "_n", *names)
-    both = left.join(right, ["_n", *names]).where("a < b").select("a", "b", V.dot(F.col("_x"), F.col("_y")).alias("similarity"))
-    return both.where(F.col("similarity") >= least - 1e-12)
-
-
 def average_link(matrix: np.ndarray, least: float, most: int) -> list[list[int]]:
     """Greedy merging of the most similar clusters by average cosine, while it reaches ``least`` and sizes stay in ``most``."""
     size = np.linalg.norm(matrix, axis=1, keepdims=True)

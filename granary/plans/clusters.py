@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import clustering as K
+from granary.operators import neighbours as N
 from granary.operators import records as Rec
 
 from .base import query, table
@@ -13,10 +14,16 @@ from .base import query, table
 @query(
     "vector_pairs",
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.vec_id < b.vec_id
- WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
+ WHERE list_cosine_similarity(a.v, b.v) >= 0.4""",
 )
 def vector_pairs(spark, d):
-    return K.near_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 0.9).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return N.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("vector_groups")
+def vector_groups(spark, d):
+    """Classes of vectors that are near duplicates; a test compares them with all pairs."""
+    return N.near_groups(table(spark, d, "embeddings"), "vec_id", "embedding", 0.9)
 
 
 def small_groups(spark, d):

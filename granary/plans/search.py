@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from granary.functions import text as T
 from granary.functions import vectors as V
 from granary.operators import graphs as Gr
 from granary.operators import metrics as X
+from granary.operators import neighbours as N
 from granary.operators import ranking as R
 from granary.operators.components import connected_components
+from granary.sources.staging import shared_folder
 
 from .base import query, sql_token_count, sql_tokens, table
 
@@ -94,6 +98,35 @@ def vector_topk(spark, d):
     return R.top(s, 20)
 
 
+def asked(spark, d):
+    """Every hundredth vector is a query against all."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
+
+
+def cell_index(spark, d):
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}"
+    return N.CellIndex.build(table(spark, d, "embeddings"), "vec_id", "embedding", folder)
+
+
+@query("vector_ann")
+def vector_ann(spark, d):
+    """Ten neighbours from as many cells as a recall of 0.95 needs; a test measures 0.9 against the exact scan."""
+    index = cell_index(spark, d)
+    return index.search(asked(spark, d), "vec_id", "embedding", 10, index.probes_for(asked(spark, d), "vec_id", "embedding", 10, 0.95))
+
+
+@query(
+    "vector_knn",
+    """SELECT q.vec_id AS query, e.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) - 1 AS rank
+ FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 QUALIFY rank < 10""",
+)
+def vector_knn(spark, d):
+    """The same without loss: cells whose widest angle rules them out are skipped."""
+    found = cell_index(spark, d).search_exact(asked(spark, d), "vec_id", "embedding", 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "hybrid_search",
     f"""WITH {BM25}, {COS}, f AS (SELECT coalesce(b.doc_id, c.doc_id) AS doc_id, round(0.7 * coalesce(b.score, 0) / (SELECT max(score) FROM bm) + 0.3 * coalesce(c.score, 0), 6) AS score
@@ -159,7 +192,7 @@ def token_sim(spark, d):
     return token_sims(spark, d).select("doc_id", F.round("sim", 6).alias("sim"))
 
 
-@query("hybrid_sim", f"WITH {SIM}, {COS} SELECT sim.doc_id, round(CASE WHEN (SELECT sum(score) FROM cos) = 0 THEN sim ELSE 0.7 * sim + 0.3 * coalesce(score, 0) END, 6) AS score FROM sim LEFT JOIN cos USING (doc_id)")
+@query("hybrid_sim", f"WITH {SIM}, {COS} SELECT sim.doc_id, round(round(CASE WHEN (SELECT sum(score) FROM cos) = 0 THEN sim ELSE 0.7 * sim + 0.3 * coalesce(score, 0) END, 9), 6) AS score FROM sim LEFT JOIN cos USING (doc_id)")
 def hybrid_sim(spark, d):
     """Tokens alone where all vector similarities sum to zero."""
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
@@ -167,7 +200,7 @@ def hybrid_sim(spark, d):
     total = v.agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("all"))
     rows = token_sims(spark, d).join(v, "doc_id", "left").crossJoin(F.broadcast(total))
     blend = F.when(F.col("all") == 0, F.col("sim")).otherwise(0.7 * F.col("sim") + 0.3 * F.coalesce("score", F.lit(0.0)))
-    return rows.select("doc_id", F.round(blend, 6).alias("score"))
+    return rows.select("doc_id", F.round(F.round(blend, 9), 6).alias("score"))  # a tie at the sixth digit falls the same way everywhere
 
 
 BAG = f"""list_concat({sql_tokens('text')}, {', '.join([sql_tokens('source')] * 2 + [sql_tokens('lang')] * 5 + [sql_tokens('split_part(text, chr(10), 1)')] * 6)})"""

@@ -40,20 +40,6 @@ def test_average_link(seed):
     assert sorted(sorted(c) for c in K.average_link(vectors, 0.3, 5)) == want
 
 
-@pytest.mark.parametrize("least", [0.5, 0.95, 1.0])
-def test_near_vectors(spark, least):
-    draw = np.random.default_rng(3)
-    v = draw.normal(size=(150, 4))
-    v[20:40] = v[0] * draw.uniform(0.5, 2, size=(20, 1))
-    v[50] = 0
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0, 2.0]), (901, [])], "k long, e array<double>")
-    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    sims = unit @ unit.T
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 50 not in (i, j) and sims[i, j] >= least - 1e-12}
-    got = {(r["a"], r["b"]) for r in K.near_vectors(rows, "k", "e", least).collect()}
-    assert got == want
-
-
 def test_balanced_clusters_keep_their_share(spark):
     draw = np.random.default_rng(5)
     v = np.concatenate([draw.normal(0, 0.1, size=(50, 3)), draw.normal(5, 0.1, size=(10, 3))])
