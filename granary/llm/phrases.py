@@ -42,11 +42,13 @@ from .staging import read_table, shuffle_width, staged
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 NO_LANG = b"und"
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Bits of the filter of frequent words and pairs: 8 MB at any size of the corpus.
 FILTER_BITS = 26
 BUCKET_BYTES = 32 << 20
 RANGE_NODES = 1 << 20
+#: Groups in which a language's phrases are ranked first.
+MOST_SALTS = 256
 #: A path in so many nodes of a shard is a sample; so many samples for each range come to the driver.
 SAMPLE_EVERY, SAMPLES_A_RANGE = 1 << 10, 40
 
@@ -468,8 +470,13 @@ def mine(
 
 
 def ranked(phrases: DataFrame, top: int = TOP) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = phrases.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """Each language's first ``top``; what can't be among them leaves in salted groups before."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(min(MOST_SALTS, shuffle_width(phrases.sparkSession))))
+    near = F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))
+    some = phrases.withColumn("_salt", salt).withColumn("_near", near).where(F.col("_near") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    first = some.withColumn("rank", rank).where(F.col("rank") <= top)
     return first.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
