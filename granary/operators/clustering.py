@@ -63,7 +63,7 @@ def extract_summary(texts: list[str]) -> str:
 
 def summaries(rows: DataFrame, keys: list[str], ord_: str, text: str) -> DataFrame:
     """``keys, summary``: first sentences of the first five members of each cluster."""
-    first = F.slice(F.sort_array(F.collect_list(F.struct(ord_, F.left(text, F.lit(4000)).alias("_t")))), 1, 5)
+    first = F.slice(F.sort_array(F.collect_list(F.struct(ord_, F.col(text).alias("_t")))), 1, 5)
     head = lambda x: F.trim(F.split(x["_t"], r"[.。!?\n]", 2)[0])
     out = rows.groupBy(*keys).agg(first.alias("_m"))
     sentences = F.filter(F.transform("_m", head), lambda x: F.length(x) > 5)

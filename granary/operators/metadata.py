@@ -67,13 +67,27 @@ def filter_ids(meta: DataFrame, conditions: list[tuple], logic: str = "and") ->
     return reduce(lambda a, b: a.union(b), sets).distinct()
 
 
+def _each(op: str, wanted):
+    return lambda value: F.coalesce(value_matches(value, op, wanted), F.lit(False))
+
+
 def record_ids(meta: DataFrame, conditions: list[tuple], logic: str = "and") -> DataFrame:
-    """The record evaluator: one row a document, compared with its first value; ``in`` needs all its values."""
-    first = meta.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    """The record evaluator: one row a document, compared with its key's first value; ``in`` needs all of its values.
+
+    Values are in the order of a column ``ord`` where the table has one, else by value.
+    """
+    order = "ord" if "ord" in meta.columns else "value"
+    values = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").alias("v")))), lambda x: x["v"])
+    lists = meta.groupBy("doc_id", "key").agg(values.alias("_v"))
+    first = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "_v"))).alias("m"))
     parts = []
     for key, op, wanted in conditions:
-        value, op = F.try_element_at("m", F.lit(key)), canonical(op)
-        parts.append(F.coalesce(value_matches(value, op, wanted), F.lit(False)))
+        held, op = F.try_element_at("m", F.lit(key)), canonical(op)
+        if op in ("in", "not in"):
+            found = F.forall(held, _each(op, wanted))
+        else:
+            found = value_matches(held[0], op, wanted)
+        parts.append(F.coalesce(found, F.lit(False)))
     both = reduce((lambda a, b: a & b) if logic == "and" else (lambda a, b: a | b), parts)
     return first.where(both).select("doc_id")
 

@@ -50,7 +50,7 @@ def balanced_clusters(spark, d):
 
 @query(
     "extract_summaries",
-    r"""WITH m AS (SELECT conv_id, turn, left(text, 4000) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    r"""WITH m AS (SELECT conv_id, turn, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
  s AS (SELECT conv_id, i, t, trim(string_split_regex(t, '[.。!?\n]')[1]) AS s FROM m WHERE i <= 5)
  SELECT conv_id, CASE WHEN count(*) FILTER (WHERE length(s) > 5) > 0 THEN string_agg(s, '. ' ORDER BY i) FILTER (WHERE length(s) > 5) || '.' ELSE left(min(t) FILTER (WHERE i = 1), 200) END AS summary FROM s GROUP BY conv_id""",
 )

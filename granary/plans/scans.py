@@ -259,12 +259,12 @@ def meta_keys(spark, d):
 
 @query(
     "meta_summary",
-    f"""WITH {META}, c AS (SELECT key, value, count(*) AS n FROM meta WHERE key <> 'n_chars' GROUP BY ALL)
+    f"""WITH {META}, c AS (SELECT key, value, count(*) AS n FROM meta GROUP BY ALL)
  SELECT key, value, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS value_rank,
  CASE WHEN regexp_matches(value, '^-?[0-9]+$') THEN 'number' ELSE 'string' END AS kind FROM c""",
 )
 def meta_summary(spark, d):
-    return M.summary(meta(spark, d).where("key <> 'n_chars'")).withColumn("kind", M.value_type(F.col("value")))
+    return M.summary(meta(spark, d)).withColumn("kind", M.value_type(F.col("value")))
 
 
 @query(

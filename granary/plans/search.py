@@ -176,7 +176,8 @@ def sql_similarity(bag: str, keys: dict[str, float] = KEYS) -> str:
     """Similarity of a bag of tokens to terms of equal weight: terms count 0.4, adjacent pairs 0.6."""
     pairs = f"list_transform(range(1, len({bag})), lambda i: {bag}[i] || {bag}[i + 1])"
     hits = " + ".join(f"CASE WHEN list_contains({bag}, '{k}') OR list_contains({pairs}, '{k}') THEN {w} ELSE 0 END" for k, w in keys.items())
-    return f"(({hits}) / {sum(keys.values())})::DOUBLE"
+    terms = sum(w == 0.4 for w in keys.values())
+    return f"((1e-9::DOUBLE + ({hits}) / {terms}::DOUBLE) / (1e-9::DOUBLE + {sum(keys.values())} / {terms}::DOUBLE))"
 
 
 SIM = f"sim AS (SELECT doc_id, {sql_similarity('t')} AS sim FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents))"
