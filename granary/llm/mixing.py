@@ -124,10 +124,13 @@ def mix(
         F.col("source").cast("string").alias("source"),
         F.size(word_array(text_of())).cast("long").alias("size"),
         (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_deal"),
     )
-    sized = staged(sized, "mix-sizes")
+    # rows that share an id part by their text, rows without one by their number as well
+    deal = F.when(F.col("doc_id").isNull(), F.xxhash64("_deal", "row_id")).otherwise(F.col("_deal"))
+    sized = staged(sized.withColumn("_deal", deal), "mix-sizes")
     shards = max(1, -(-sized.count() // SHARD_DOCS))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    sized = sized.withColumn("shard", F.pmod("_deal", F.lit(shards))).drop("_deal")
     by_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = with_targets(by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, share)
     quotas = sources.coalesce(1).mapInPandas(_source_quotas, "source string, source_size long, rank int, weight double, cap double, target double, blocks long")

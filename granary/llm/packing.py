@@ -90,9 +90,9 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 class Task:
     """The pieces of one task, and the numbers of its sequences: odd ones, as even ones are for rests of several tasks."""
 
-    def __init__(self, task: int, capacity: int, with_ids: bool):
+    def __init__(self, task: int, capacity: int, with_ids: bool, patience: int):
         self.first, self.sequences, self.rows = task << 32, 0, 0
-        self.capacity, self.with_ids = capacity, with_ids
+        self.capacity, self.with_ids, self.patience = capacity, with_ids, patience
         self.rests: list[tuple] = []
 
     def sequence_id(self, number: int) -> int:
@@ -126,12 +126,16 @@ class Task:
         return self.batch(rows, ids_of)
 
     def place(self, last: bool) -> pa.RecordBatch:
-        """Pack all rests at hand. Those of sequences that are not well filled wait or, in the end, go without a sequence."""
+        """Pack all rests at hand. Those of sequences that are not well filled wait or go without a sequence.
+
+        They go at the end of the task, or where more than ``patience`` of them would wait: rests of other tasks may fit.
+        """
         lengths = np.array([row[2] for row, _ in self.rests], np.int64)
         sequence, offset = pack_lengths(lengths, self.capacity)
         filled = np.bincount(sequence, weights=lengths) >= WELL_FILLED * self.capacity
         number = np.cumsum(filled) - 1 + self.sequences
         self.sequences += int(filled.sum())
+        last = last or len(lengths) - int(filled[sequence].sum()) > self.patience
         rows, ids, waiting = [], [], []
         for rest, s, o in zip(self.rests, sequence.tolist(), offset.tolist(), strict=True):
             if filled[s]:
@@ -161,7 +165,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Task(TaskContext.get().partitionId(), capacity, with_ids)
+        task = Task(TaskContext.get().partitionId(), capacity, with_ids, group)
         enough = group
         for part, texts in encoded(batches, tokenizer, blank_belongs, END_ID):
             yield task.cut(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts)

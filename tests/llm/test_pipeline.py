@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import quality
+from granary.llm import mixing, quality
 
 from .corpus import components, repeated_windows, words_of
 from .test_rows import check_pieces, targets
@@ -86,20 +87,60 @@ def test_suffix_dedup_stage(after):
     assert any(map(any, gone.values()))
 
 
-def test_mix_stage(after):
-    before = {r["doc_id"]: r for r in after[3].collect()}
-    sizes, taken, passes = Counter(), Counter(), defaultdict(list)
-    for r in before.values():
-        sizes[r["source"]] += len(words_of(r["text"]))
+def picked(spark, rows, seed=mixing.SEED) -> dict:
+    """Passes and picked blocks of each (doc_id, source, n_words) row of sources of one shard, by plain selection."""
+    sizes = Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    blocks = [(doc, source, at, min(mixing.BLOCK, n - at * mixing.BLOCK)) for doc, source, n in rows for at in range(-(-n // mixing.BLOCK))]
+    ranks = spark.createDataFrame([(d, a) for d, _, a, _ in blocks], "d long, a long").select(F.xxhash64(F.lit(seed), "d", "a")).collect()
+    ordered = sorted(zip((r[0] for r in ranks), blocks, strict=True), key=lambda x: (x[0], x[1][0], x[1][2]))
+    out = {}
+    for source, target in targets(sizes).items():
+        passes, rest = divmod(round(target), sizes[source]) if sizes[source] else (0, 0)
+        own = {doc: (passes, []) for doc, s, n in rows if s == source}
+        for _, (doc, s, at, n) in ordered:
+            if s == source and rest > 0:
+                own[doc][1].append((at * mixing.BLOCK, min(n, rest)))
+                rest -= min(n, rest)
+        out.update({doc: (p, sorted(b)) for doc, (p, b) in own.items()})
+    return out
+
+
+def expected_copies(spark, rows) -> Counter:
+    """``rows``: (doc_id, text, source)."""
+    plan, out = picked(spark, [(d, s, len(words_of(t))) for d, t, s in rows]), Counter()
+    for doc, text, _ in rows:
+        passes, blocks = plan[doc]
+        parts = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)
+        out[doc, text] += passes
+        if blocks:
+            out[doc, "".join(w for start, n in blocks for w in parts[start : start + n])] += 1
+    return +out
+
+
+def test_mix_stage(spark, after):
+    """Whole passes and the picked blocks of each document, and nothing else."""
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in after[3].collect()]
+    got = Counter((r["doc_id"], r["text"]) for r in after[4].collect())
+    assert got == expected_copies(spark, rows)
+    taken = Counter()
     for r in after[4].collect():
         taken[r["source"]] += len(words_of(r["text"]))
-        passes[r["doc_id"]].append(r["text"])
-    for source, target in targets(sizes).items():
-        assert abs(taken[source] - target) <= 1
-    for doc, found in passes.items():
-        whole = before[doc]["text"]
-        assert sum(len(words_of(t)) for t in found) <= 2 * len(words_of(whole))
-        assert all(words_of(t) == words_of(whole)[: len(words_of(t))] for t in found)
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words_of(text))
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets(sizes).items())
+
+
+def test_mix_of_long_texts_and_clashing_names(spark):
+    """Middles and ends of long texts are taken as often as their beginnings; other columns don't matter."""
+    rows = [(i, "\n".join(f"w{i}x{k} and more" for k in range(1 + 900 * (i % 4))), f"s{i % 3}") for i in range(12)]
+    full = [(d, t, "en", s, len(t), 7, 8, 9, "z") for d, t, s in rows]
+    names = "doc_id long, text string, lang string, source string, n_chars long, size long, taken long, _row long, passes string"
+    got = Counter((r["doc_id"], r["text"]) for r in cp.mix_stage(spark, spark.createDataFrame(full, names), "").collect())
+    assert got == expected_copies(spark, rows)
+    assert any(not rows[d][1].startswith(t) for d, t in got)
 
 
 def test_pack_stage(after):
@@ -164,8 +205,25 @@ def test_near_dedup_links_from_80_percent(spark):
 
 
 def test_mix_keeps_line_breaks(spark):
-    rows = [(i, "\n".join(f" a{i} b\tc{k} d" for k in range(40)) + "\n", "en", f"s{i % 3}") for i in range(9)]
-    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = cp.mix_stage(spark, df, "").collect()
-    assert any(r["text"] != rows[r["doc_id"]][1] for r in got)
-    assert all(rows[r["doc_id"]][1].startswith(r["text"]) for r in got)
+    rows = [(i, "\n".join(f" a{i} b\tc{k} d" for k in range(40)) + "\n", f"s{i % 3}") for i in range(9)]
+    df = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in cp.mix_stage(spark, df, "").collect())
+    assert got == expected_copies(spark, rows)
+    assert any(t != rows[d][1] and "\n" in t for d, t in got)
+
+
+def test_all_stages_take_clashing_names_and_long_texts(spark, prose, after):
+    """Further columns change nothing; a text of a megabyte passes."""
+    more = prose.withColumns({c: F.lit("x") for c in ("kept", "size", "taken", "batch", "bucket", "n_words", "spans", "row_id", "_row")})
+    df = more
+    for (_, stage), want in zip(cp.STAGES[:-1], after[1:-1], strict=True):
+        df = stage(spark, df, "").cache()
+        assert texts(df) == texts(want)
+        df = df.withColumn("size", F.lit(1)).withColumn("kept", F.lit(False))
+    draw = random.Random(3)
+    long = "\n".join(" ".join(f"w{draw.randrange(10**6)}" for _ in range(12)) + "." for _ in range(12_000))
+    rows = [(1, long, "en", "a", len(long)), (2, long + " end.", "en", "b", len(long)), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES:
+        df = stage(spark, df, "").cache()
+    assert {r["doc_id"] for r in df.collect()} == {1}

@@ -461,3 +461,24 @@ def test_pack_returns_the_ids(spark):
         assert len(r["ids"]) == r["length"] and crc(r["ids"]) == r["ids_crc32"]
         found[r["doc_id"]] += r["ids"]
     assert found == {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items()}
+
+
+def test_rests_that_never_fit_do_not_pile_up():
+    """100,000 rests of which no two fit together: few wait, and each is looked at a bounded number of times."""
+    task = packing.Task(0, packing.CAPACITY, False, packing.GROUP)
+    most, placed, enough = 0, 0, packing.GROUP
+    for at in range(0, 100_000, 500):
+        task.cut(list(range(at, at + 500)), [np.zeros(1100, np.uint32)] * 500)
+        if len(task.rests) >= enough:
+            placed += task.place(False).num_rows
+            enough = packing.GROUP + len(task.rests)
+        most = max(most, len(task.rests))
+    placed += task.place(True).num_rows
+    assert placed == 100_000 and most <= 3 * packing.GROUP
+
+
+def test_mix_parts_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 50)
+    rows = [(None if i % 2 else i, f"a b c {i if i % 3 else 0}", "s") for i in range(1000)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert found.count() == 1000 and abs(found.agg({"taken": "sum"}).first()[0] - 1.5 * 4000) <= 1
