@@ -3,14 +3,16 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
 columns of ``documents``. What a stage drops or cuts, the next one never sees. Rows are told apart by row, not by
 ``doc_id``: a null id passes through all stages, and rows that share an id stay separate rows (only ``near_dedup``
-takes them for one document, which goes or stays as a whole).
+takes them for one document, which goes or stays as a whole). A null or empty text has no words and goes in ``quality``;
+a text of any length stays whole until ``mix``; ties between equal texts go to the smallest id; columns besides those of
+``documents`` are dropped, whatever their names; an empty table gives an empty result.
 
 1. ``quality``: documents that the line rules reject go; surviving documents lose their failed lines.
 2. ``near_dedup``: one document of each near-duplicate group (five-word shingles, Jaccard 0.80) stays.
 3. ``suffix_dedup``: bytes covered by a 100-byte string that stood earlier go; a character that loses
    a byte goes whole; a document that loses all its text goes.
 4. ``mix``: sources are weighted; a document appears once for each whole pass of its shard, and once
-   more with the words that its shard's last pass takes from it.
+   more with the blocks of words, and the blanks before them, that the seeded order of its shard's last pass picked.
 5. ``pack``: the mixed texts as pieces of 2048-id sequences.
 """
 
@@ -52,14 +54,14 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mixing.mix(docs, row_id="_row").where("taken > 0").select(F.col("row_id").alias("_row"), "size", "taken")
+    docs = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mixing.mix(docs, row_id="_row").where("taken > 0").select(F.col("row_id").alias("_row"), "passes", "spans")
     both = docs.join(taken, "_row")
     words = F.split("text", WORD_ENDS)  # each with the blanks before it: line breaks stay
-    rest = F.col("taken") % F.col("size")
-    last = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), "")
-    copies = F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int"))
-    copies = F.when(rest > 0, F.concat(copies, F.array(last))).otherwise(copies)
+    blocks = F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["length"].cast("int")))
+    picked = F.array_join(F.flatten(blocks), "")
+    copies = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
+    copies = F.when(F.size("spans") > 0, F.concat(copies, F.array(picked))).otherwise(copies)
     return _columns(both.select("doc_id", F.explode(copies).alias("text"), "lang", "source"))
 
 
