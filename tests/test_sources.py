@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -84,3 +86,14 @@ def test_extension_points(spark):
     parse = Ext.parser(lambda raw, kind: {"ok": raw.decode()}[kind])
     got = rows.select(parse(F.encode("t", "UTF-8"), F.when(F.col("t") == "a", "ok").otherwise("no")).alias("v")).collect()
     assert [r["v"] for r in got] == ["a", None]
+
+
+def test_staged_tables_can_be_released(spark):
+    from granary.sources.staging import SHUFFLE_CLEANUP, release, staged
+
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    table = staged(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    assert table.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP) == before
+    assert Path(table._staged_at.removeprefix("file:")).exists()
+    release(table)
+    assert not Path(table._staged_at.removeprefix("file:")).exists()
