@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .exchange import NO_ID, bucket_bits, gather, rows_of, scatter, slices, text_batches, with_answers
 from .kernels import U64, Block, mix, pack, unpack
 from .ngram_trie import STEP, Trie, counts_of_counts, discount, quantised, restored, runs, temporary_folder
-from .staging import read_table, staged
+from .staging import read_table, release, staged
 
 BATCH = 8 << 20
 #: Tokens of a shard; changes how the work is split, not the scores.
@@ -294,6 +294,7 @@ def scores(docs: DataFrame) -> DataFrame:
     d2, d3 = discount(seen["once2"], seen["twice2"]), discount(seen["once3"], seen["twice3"])
     rows = merged.join(whole_contexts(merged), "shard", "left").select("shard", "trigrams", "totals")
     codes = staged(rows.mapInArrow(_codes(d2, d3), "batch long, bucket long, answer binary"), "lm-codes")
+    release(merged)
 
     def add_up(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow:

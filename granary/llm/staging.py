@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.staging import shared_folder, staged
+from granary.sources.staging import release, shared_folder, staged
 
-__all__ = ["read_table", "shared_folder", "shuffle_width", "staged", "with_ids"]
+__all__ = ["read_table", "release", "shared_folder", "shuffle_width", "staged", "with_ids"]
 
 #: Ids of this many rows (about 16 bytes each) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
