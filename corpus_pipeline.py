@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import minhash, mixing, packing, quality, suffix_dedup
-from granary.llm.staging import read_table, staged
+from granary.llm.staging import read_table, release, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE = 5
@@ -84,7 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs
