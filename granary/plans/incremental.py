@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from granary.operators.mirror import Mirror
+from granary.sources.staging import shared_folder
+from granary.sources.versions import VersionedTables
+from granary.streaming import state as St
 from granary.streaming import sync as S
 from granary.streaming import windows as W
 
@@ -124,10 +130,48 @@ def first_events(spark, d):
     return W.distinct_events(table(spark, d, "events"), "ts", ["user_id", "event_type"], "1 hour").select("user_id", "event_type", "event_id")
 
 
-@query("without_thoughts", "SELECT n_regionkey, 'say it' AS answer, 'hm' AS thought FROM nation GROUP BY n_regionkey")
+@query("without_thoughts", "SELECT conv_id, turn, left(text, 40) || right(text, 40) AS answer, text AS thought FROM conversations WHERE NOT contains(text, 'think>')")
 def without_thoughts(spark, d):
-    """Tokens of a message with a thought that is cut in the middle of its marks."""
-    pieces = ["say", "<thi", "nk>h", "m</th", "ink> it"]
-    rows = table(spark, d, "nation").select("n_regionkey").distinct()
-    tokens = rows.select("n_regionkey", F.posexplode(F.array(*[F.lit(p) for p in pieces])).alias("ord", "token"))
-    return W.without_thoughts(tokens, "n_regionkey", "ord", "token")
+    """Each turn's text as the thought between its own beginning and end, in tokens of seven characters that cut the marks."""
+    rows = table(spark, d, "conversations").where(~F.col("text").contains("think>"))
+    whole = F.concat(F.left("text", F.lit(40)), F.lit("<think>"), F.col("text"), F.lit("</think>"), F.right("text", F.lit(40)))
+    cuts = F.sequence(F.lit(0), F.floor((F.length("_m") - 1) / 7).cast("int"))
+    tokens = rows.select(F.struct("conv_id", "turn").alias("key"), whole.alias("_m")).select("key", "_m", F.explode(cuts).alias("ord"))
+    tokens = tokens.select("key", "ord", F.substr(F.col("_m"), F.col("ord") * 7 + 1, F.lit(7)).alias("token"))
+    return W.without_thoughts(tokens, "key", "ord", "token").select("key.*", "answer", "thought")
+
+
+@query(
+    "cached_lookups",
+    """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN CAST(value AS VARCHAR) END AS value FROM events),
+ l AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN {'v': value, 't': ts} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM e)
+ SELECT event_id, CASE WHEN last.t + INTERVAL 7200 SECOND >= ts THEN CAST(last.v AS DOUBLE) END AS value FROM l WHERE value IS NULL""",
+)
+def cached_lookups(spark, d):
+    """A purchase puts a user's value into the cache for two hours; every other event looks it up."""
+    value = F.when(F.col("event_type") == "purchase", F.col("value").cast("string"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("ord"), value.alias("value"))
+    return St.cached_lookups(e, 7200).select(F.col("ord").alias("event_id"), F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "mirror_sync",
+    """WITH c AS (SELECT source AS entity, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id % 7 <> 0 AND source IS NOT NULL GROUP BY source)
+ SELECT lang AS page, sum(n)::BIGINT AS n, sum(chars)::BIGINT AS chars, count(*) AS entities FROM (SELECT DISTINCT lang, source FROM documents WHERE lang IS NOT NULL) l JOIN c ON c.entity = l.source GROUP BY lang""",
+)
+def mirror_sync(spark, d):
+    """Pages after two syncs of a mirror: some documents came, changed and went between them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "n_chars", "lang", F.md5("text").alias("hash"))
+    old = docs.where("chunk_id % 5 <> 0").withColumns({
+        "hash": F.when(F.col("chunk_id") % 3 == 0, F.lit("old")).otherwise(F.col("hash")), "n_chars": F.when(F.col("chunk_id") % 3 == 0, F.lit(1)).otherwise(F.col("n_chars")),
+    })
+    links = docs.where("lang IS NOT NULL").select(F.col("lang").alias("page"), F.col("source").alias("entity")).distinct()
+    mirror = Mirror(
+        VersionedTables(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/mirror-{uuid.uuid4().hex}"),
+        lambda c: c.where("source IS NOT NULL").select("chunk_id", F.col("source").alias("entity"), "n_chars"),
+        lambda m: m.groupBy("entity").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")),
+        lambda p: p.groupBy("page").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("entities")),
+    )
+    mirror.sync(old, links.where("entity <> 'src1'"))
+    mirror.sync(docs.where("chunk_id % 7 <> 0"), links)
+    return mirror.tables.read("pages")
