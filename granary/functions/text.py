@@ -49,12 +49,20 @@ def tokens(text: Column) -> Column:
     return F.filter(rag_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def token_count(text: Column) -> Column:
-    """Estimated model tokens: CJK characters over 1.5 plus other visible characters over 4, each rounded up."""
+def visible_counts(text: Column) -> tuple[Column, Column]:
+    """Numbers of CJK characters and of other visible ones; they add up over joined texts."""
     cjk = F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
-    latin = F.length(F.regexp_replace(text, rf"[\s\p{{Z}}\x{{85}}!-/:-@\[-`{{-~{CJK}]", ""))
+    return cjk, F.length(F.regexp_replace(text, rf"[\s\p{{Z}}\x{{85}}!-/:-@\[-`{{-~{CJK}]", ""))
+
+
+def tokens_of_counts(cjk: Column, latin: Column, visible: Column) -> Column:
     total = F.ceil(cjk / F.lit(1.5)) + F.ceil(latin / F.lit(4.0))
-    return F.when((total == 0) & (F.length(F.trim(text)) > 0), 1).otherwise(total).cast("long")
+    return F.when((total == 0) & visible, 1).otherwise(total).cast("long")
+
+
+def token_count(text: Column) -> Column:
+    """Estimated model tokens: CJK characters over 1.5 plus other visible characters over 4, each rounded up."""
+    return tokens_of_counts(*visible_counts(text), F.length(F.trim(text)) > 0)
 
 
 def sentences(text: Column) -> Column:

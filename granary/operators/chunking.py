@@ -34,7 +34,7 @@ def pattern_of(delimiters: list[str]) -> str:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\u000b\f\r"))
 
 
 def not_blank(parts: Column) -> Column:
@@ -53,6 +53,8 @@ def kept_sections(text: Column, pattern: str) -> Column:
 
 def _fold(parts: Column, budget: int, joiner: str, tail: Callable[[Column, Column], Column] | None) -> Column:
     """Chunks of parts joined up to ``budget`` tokens; ``tail(chunk, tokens)`` opens the next chunk."""
+    if tail is None:
+        return T.bound(parts, lambda p: _packed_parts(p, budget, joiner))
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
 
     def step(state: Column, part: Column) -> Column:
@@ -73,6 +75,42 @@ def _fold(parts: Column, budget: int, joiner: str, tail: Callable[[Column, Colum
     return F.aggregate(parts, zero, step, finish)
 
 
+def _packed_parts(parts: Column, budget: int, joiner: str) -> Column:
+    """The same without an overlap: counts of characters add up, so each part is counted once and the state holds numbers."""
+
+    def counted(text: Column) -> tuple[Column, Column, Column]:
+        return (*T.visible_counts(text), F.length(F.trim(text)) > 0)
+
+    items = F.transform(parts, lambda p: F.struct(*[x.alias(n) for x, n in zip(counted(p), ("c", "l", "b"), strict=True)]))
+    between = [x.alias(n) for x, n in zip(counted(F.lit(joiner)), ("c", "l", "b"), strict=True)]
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.struct(F.lit(0).alias("c"), F.lit(0).alias("l"), F.lit(False).alias("b")).alias("n"))
+    join = F.struct(*between)
+
+    def tokens(x: Column) -> Column:
+        return T.tokens_of_counts(x["c"], x["l"], x["b"])
+
+    def step(state: Column, x: Column) -> Column:
+        first = state["i"] == 0
+        new = first | (tokens(state["n"]) + tokens(x) > budget)
+        n = state["n"]
+        more = F.struct((n["c"] + join["c"] + x["c"]).alias("c"), (n["l"] + join["l"] + x["l"]).alias("l"), (n["b"] | join["b"] | x["b"]).alias("b"))
+        starts = F.when(new, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"])
+        return F.struct(starts.alias("starts"), (state["i"] + 1).alias("i"), F.when(new, x).otherwise(more).alias("n"))
+
+    def texts(starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(parts))
+            return F.array_join(F.slice(parts, at + 1, end - at), joiner)
+
+        return F.transform(starts, one)
+
+    def whole(chunks: Column) -> Column:
+        blank = (F.size(chunks) > 0) & (stripped(F.element_at(chunks, -1)) == F.lit(""))
+        return F.when(blank, F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))).otherwise(chunks)
+
+    return T.bound(T.bound(F.aggregate(items, zero, step, lambda s: s["starts"]), texts), whole)
+
+
 def trailing_lines(budget: int) -> Callable[[Column, Column], Column]:
     """The last whole lines of a chunk, until they have ``budget`` tokens; nothing of a chunk that has no more itself."""
 

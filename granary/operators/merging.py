@@ -40,29 +40,44 @@ def most_common(df: DataFrame, keys: list[str], value: str, ord_: str) -> DataFr
     return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(value))
 
 
+def hashed_sets(df: DataFrame, key: str, things: str) -> DataFrame:
+    """Staged ``key, id, s, n`` of rows with things: their distinct 64-bit hashes ascending, and the smallest key with the same set.
+
+    Equal sets are found by 128 bits of their hashes, so whole sets are not shuffled for it.
+    """
+    hashes = F.array_sort(F.array_distinct(F.transform(things, lambda g: F.xxhash64(g))))
+    sets = df.where(F.size(things) > 0).select(key, hashes.alias("s"))
+    sets = staged(sets.select(key, "s", F.size("s").alias("n"), F.struct(F.xxhash64("s").alias("x"), F.xxhash64(F.lit(7), "s").alias("y")).alias("_k")), "hashed-sets")
+    least = sets.groupBy("_k").agg(F.min(key).alias("id"))
+    members = staged(sets.select(key, "_k").join(least, "_k").select(key, "id"), "set-members")
+    return sets.join(members, key).select(key, "id", "s", "n")
+
+
 def classes_of(df: DataFrame, key: str, things: str) -> DataFrame:
     """``key, class_id``: rows with equal sets share the smallest key; rows with an empty set are left out."""
-    sets = df.where(F.size(things) > 0).select(key, F.sort_array(things).alias("s"))
-    least = sets.groupBy("s").agg(F.min(key).alias("class_id"))
-    return sets.join(least, "s").select(key, "class_id")
+    return hashed_sets(df, key, things).select(key, F.col("id").alias("class_id"))
 
 
 def near_text_pairs(df: DataFrame, key: str, shingles: str, share: float) -> DataFrame:
-    """Pairs ``a < b, similarity`` of rows whose distinct shingles have Jaccard similarity of at least ``share``.
+    """``near_set_pairs`` of rows with their distinct shingles."""
+    return near_set_pairs(hashed_sets(df, key, shingles), key, share)
+
+
+def near_set_pairs(sets: DataFrame, key: str, share: float) -> DataFrame:
+    """Pairs ``a < b, similarity`` of ``hashed_sets`` whose Jaccard similarity is at least ``share``.
 
-    Prefix filter: such a pair shares one of its rarest ``n - ceil(share * n) + 1`` shingles, so only those are
-    joined, rarest first by document frequency; every candidate is then compared in full, on 64-bit hashes of its
-    shingles. Rows with equal sets are one class: ``a`` and ``b`` are class ids (their smallest keys), see
-    ``classes_of``.
+    Prefix filter: such a pair shares one of its rarest ``n - ceil(share * n) + 1`` hashes. Hashes that one set alone has
+    come first and pair with nothing, so a set with enough of them is done; of the others only the rest of that number
+    is joined, rarest first. Every candidate is then compared in full. Rows with equal sets are one class: ``a`` and
+    ``b`` are class ids (their smallest keys).
     """
-    sets = df.where(F.size(shingles) > 0).select(key, F.sort_array(F.transform(shingles, lambda g: F.xxhash64(g))).alias("s"))
-    classes = staged(sets.groupBy("s").agg(F.min(key).alias("id")).select("id", "s"), "near-classes")
-    each = classes.select("id", F.explode("s").alias("g"))
-    counts = each.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
-    n = F.size("r")
-    rare = ranked.select("id", n.alias("n"), F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))).alias("x"))
-    rare = staged(rare.where("x.df > 1").select("id", "n", "x.g"), "near-rare")
+    classes = staged(sets.where(F.col(key) == F.col("id")).select("id", "s", "n").dropDuplicates(["id"]), "near-classes")
+    each = classes.select("id", "n", F.explode("s").alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(counts, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
+    left = (F.col("n") - F.ceil(F.col("n") * share) + 1 - (F.col("n") - F.size("r"))).cast("int")
+    rare = shared.withColumn("_left", left).where("_left > 0").select("id", "n", F.explode(F.slice("r", F.lit(1), F.col("_left"))).alias("x"))
+    rare = staged(rare.select("id", "n", "x.g"), "near-rare")
     a, b = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * share)
     pairs = a.join(b, "g").where(fits).select("a", "b").distinct()
