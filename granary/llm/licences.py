@@ -20,6 +20,7 @@ like any other; an empty table gives an empty result; further columns are ignore
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -38,7 +39,10 @@ SCRAPS = 6
 MIN_SIMILARITY = 0.6
 MIN_PROBABILITY = 0.5
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
-CUE = r"licen[cs]e|copyright|rights reserved|warrant|redistribut|permission|creative commons|public domain|spdx|cc by|cc0"
+CUES = (
+    "licence", "license", "copyright", "rights reserved", "warrant", "redistribut", "permission", "creative commons", "public domain",
+    "spdx", "cc by", "cc0",
+)
 
 #: Public notices by family.
 NOTICES = (
@@ -113,13 +117,18 @@ def sought(threshold: float = MIN_SIMILARITY) -> list[str]:
     return sorted(found)
 
 
+def cued(text: Column) -> Column:
+    """Whether a lower-case text has a cue word: plain searches, as an alternation is tried anew at every character."""
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in CUES])
+
+
 def worth_a_score(text: Column) -> Column:
     """Whether a lower-case text has a cue word or one of the words looked for."""
     by_letter: dict[str, list[str]] = {}
     for word in sought():
         by_letter.setdefault(word[0], []).append(word[1:])
     words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
-    return text.rlike(CUE) | text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
+    return cued(text) | text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -140,7 +149,7 @@ def training_set(docs: DataFrame) -> DataFrame:
     """``words, label, held``: altered notices, scraps of notices and corpus paragraphs; bounded by the constants above."""
     spark = docs.sparkSession
     lines = sample_texts(docs, NEGATIVE_DOCS)
-    lines = lines.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.lower("line").rlike(CUE))
+    lines = lines.select(F.explode(F.split("text", "\n")).alias("line")).where(~cued(F.lower("line")))
     lines = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVE_LINES)
     other = lines.select(word_list(F.col("line")).alias("words"), F.lit(0.0).alias("label"), F.xxhash64("line").alias("key"))
     number = F.create_map(*[x for i, f in enumerate(FAMILIES) for x in (F.lit(f), F.lit(float(i)))])
@@ -215,7 +224,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     runs = F.filter(F.split("text", r"\n(?:[^\S\n]*\n)+"), lambda x: F.instr(x, "\n") > 0)
     units = F.filter(F.concat(lines, runs), lambda x: worth_a_score(F.lower(x)))
     units = F.when(worth_a_score(F.lower("text")), units).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", F.explode(units).alias("paragraph")).withColumn("cued", F.lower("paragraph").rlike(CUE))
+    return rows.select("doc_id", F.explode(units).alias("paragraph")).withColumn("cued", cued(F.lower("paragraph")))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
