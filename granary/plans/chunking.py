@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import chunking as C
+from granary.operators import outline as Ol
 
 from .base import query, sql_token_count, table
 
@@ -190,3 +192,52 @@ def batch_pack(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
     both = F.arrays_zip(F.col("t.turn").alias("turn"), C.packed(F.col("t.n"), 60).alias("batch"))
     return rows.select("conv_id", F.explode(both).alias("b")).select("conv_id", "b.turn", "b.batch")
+
+
+#: Lines of documents, of which four in nine are headings of one family, and the highest level comes first.
+OUTLINE = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+ n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i, t FROM l WHERE t <> ''),
+ o AS (SELECT doc_id, i, CASE i % 9 WHEN 0 THEN 'PART ONE ' WHEN 3 THEN 'Chapter IV ' WHEN 5 THEN 'Section 3 ' WHEN 7 THEN 'Article 9 ' ELSE 'plain ' END || t AS t,
+ CASE i % 9 WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 7 THEN 3 ELSE 5 END AS level FROM n)"""
+
+
+def outlined(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t")).where("t <> ''")
+    i = (F.row_number().over(Window.partitionBy("doc_id").orderBy("p")) - 1).alias("pos")
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("PART ONE ", "plain ", "plain ", "Chapter IV ", "plain ", "Section 3 ", "plain ", "Article 9 ", "plain ")]), F.col("pos") % 9 + 1)
+    rows = rows.select("doc_id", i, "t")
+    return rows.select(F.col("doc_id").alias("key"), "pos", F.concat(lead, "t").alias("text"), F.lit("").alias("layout"))
+
+
+@query(
+    "outline_sections",
+    f"""WITH {OUTLINE}, c AS (SELECT doc_id, level, count(*) AS n FROM o WHERE level < 5 GROUP BY ALL),
+ m AS (SELECT doc_id, level AS most FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, level) = 1),
+ s AS (SELECT *, sum(CASE WHEN level <= most AND level <> before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section
+ FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM o JOIN m USING (doc_id)))
+ SELECT doc_id, section::BIGINT AS section, string_agg(t, chr(10) ORDER BY i) AS content FROM s GROUP BY ALL""",
+)
+def outline_sections(spark, d):
+    return Ol.section_groups(outlined(spark, d)).select(F.col("key").alias("doc_id"), F.col("section").cast("long").alias("section"), "content")
+
+
+@query(
+    "outline_tree",
+    f"""WITH {OUTLINE}, q AS (SELECT doc_id, i, level, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM o),
+ g AS (SELECT *, max(CASE WHEN level < 2 THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS nd FROM q),
+ b AS (SELECT doc_id, nd, min(level) FILTER (WHERE i = nd) AS level, string_agg(t, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, nd),
+ k AS (SELECT *, lead(level) OVER w AS next, max(CASE WHEN level = 0 THEN nd END) OVER w AS part FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY nd))
+ SELECT k.doc_id, k.nd AS pos, CASE WHEN k.level = 0 THEN k.body ELSE p.body || chr(10) || k.body END AS content
+ FROM k LEFT JOIN b p ON p.doc_id = k.doc_id AND p.nd = k.part WHERE k.next IS NULL OR k.next <= k.level""",
+)
+def outline_tree(spark, d):
+    """Leaves at the second of the levels that a text has; a text with one level of headings has leaves of it alone."""
+    found = Ol.tree_chunks(outlined(spark, d), 2)
+    return found.select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "content")
+
+
+@query("outline_hierarchy")
+def outline_hierarchy(spark, d):
+    """Lines under their headings; a test compares the rule with a plain merge."""
+    found = Ol.hierarchical_groups(outlined(spark, d))
+    return found.select(F.col("key").alias("doc_id"), F.col("number").cast("long").alias("number"), "content")
