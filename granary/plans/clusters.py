@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators import clustering as K
 from granary.operators import neighbours as N
 from granary.operators import records as Rec
+from granary.operators import trees as Tr
 
 from .base import query, table
 
@@ -43,6 +44,27 @@ def summary_tree(spark, d):
     return K.summary_tree(rows, "doc", "vec_id", "text", "embedding", 0.3, 6, 3)
 
 
+@query(
+    "tree_search",
+    """WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id // 20 AS low, vec_id // 100 AS high FROM embeddings),
+ x AS (SELECT vec_id, low, high, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+ l AS MATERIALIZED (SELECT low, min(high) AS high, list(m ORDER BY i) AS v FROM (SELECT low, min(high) AS high, i, avg(x) AS m FROM x GROUP BY low, i) GROUP BY low),
+ h AS MATERIALIZED (SELECT high, list(m ORDER BY i) AS v FROM (SELECT high, i, avg(x) AS m FROM x GROUP BY high, i) GROUP BY high),
+ q AS (SELECT vec_id AS query, v FROM e WHERE vec_id % 100 = 0),
+ a AS (SELECT query, q.v, high FROM q, h QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(h.v, q.v), 9) DESC, 'high:' || high) <= 3),
+ b AS (SELECT query, a.v, low FROM a JOIN l USING (high) QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(l.v, a.v), 9) DESC, 'low:' || low) <= 3),
+ c AS (SELECT query, 'leaf:' || vec_id AS node, round(list_cosine_similarity(e.v, b.v), 9) AS s FROM b JOIN e USING (low)),
+ r AS (SELECT query, node, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, node) - 1 AS rank FROM c)
+ SELECT query, node, round(s, 6) AS score, rank FROM r WHERE rank < 3""",
+)
+def tree_search(spark, d):
+    """Three results for every hundredth vector, by a beam of three through clusters of a hundred and of twenty."""
+    e = table(spark, d, "embeddings").withColumns({"low": F.floor(F.col("vec_id") / 20), "high": F.floor(F.col("vec_id") / 100)})
+    tree = Tr.mean_vectors(e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"), "low", "high"), ["low", "high"])
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.lit(1).alias("tree"), F.col("embedding").alias("vector"))
+    return Tr.beam_search(tree.withColumn("tree", F.lit(1)), asked, 3, 3).withColumn("score", F.round("score", 6))
+
+
 @query("balanced_clusters")
 def balanced_clusters(spark, d):
     return K.balanced_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 5)

@@ -50,17 +50,28 @@ def json_lines(spark, d):
 
 @query(
     "json_flatten",
-    """SELECT o_orderkey, unnest(['id', 'of.status', 'of.parts[0].n', 'of.parts[1].n', 'tags', 'none']) AS path,
- unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, '1', CAST(o_custkey AS VARCHAR), '[a, b]', 'null']) AS value FROM orders""",
+    """SELECT o_orderkey, unnest(['id', 'of.status', 'of.parts[0].n', 'of.parts[1].n', 'tags', 'none', 'a.b.c.d.e.f.g.h[0].i[0].j']) AS path,
+ unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, '1', CAST(o_custkey AS VARCHAR), '[a, b]', 'null', o_orderpriority]) AS value FROM orders""",
 )
 def json_flatten(spark, d):
     raw = F.concat(
         F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "of": {"status": "'), "o_orderstatus", F.lit('", "parts": [{"n": 1}, {"n": '),
-        F.col("o_custkey").cast("string"), F.lit('}]}, "tags": ["a", "b"], "none": null}'),
+        F.col("o_custkey").cast("string"), F.lit('}]}, "tags": ["a", "b"], "none": null, "a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": [{"i": [{"j": "'),
+        "o_orderpriority", F.lit('"}]}]}}}}}}}}'),
     )
     return P.flattened(table(spark, d, "orders").select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw")
 
 
+@query("json_chunks")
+def json_chunks(spark, d):
+    """Customers of each nation with their fields, in objects of about 400 characters; a test compares pieces and whole."""
+    fields = F.struct("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    rows = table(spark, d, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 20).alias("part"))
+    raw = rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(fields)).alias("customers"))).alias("raw"))
+    keyed = raw.select((F.col("c_nationkey") * 1_000_000 + F.col("part")).cast("long").alias("group"), "raw")
+    return P.json_chunks(keyed, "group", "raw", 400)
+
+
 @query(
     "markdown_elements",
     """SELECT p_partkey, unnest(range(0, 6)) AS n, unnest(['header', 'list', 'quote', 'code', 'table', 'text']) AS kind,

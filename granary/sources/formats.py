@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.sources.staging import staged
 
 #: Byte order marks and the encodings they stand for.
 MARKS = (("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE"))
@@ -64,30 +69,98 @@ def json_records(text: Column) -> Column:
     return F.when(is_json_lines(text), each).when(is_json(text), F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-def flattened(df: DataFrame, key: str, text: str, depth: int = 5) -> DataFrame:
-    """``key, path, value`` of all leaves of a JSON column, as ``a.b[0].c``; deeper than ``depth`` stays JSON.
+def flattened(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, path, value`` of all leaves of a JSON column, as ``a.b[0].c``, at any depth.
 
-    Lists of plain values are one leaf ``[x, y]``; an empty list is ``[]``, an empty object gives nothing.
+    Lists of plain values are one leaf ``[x, y]``; an empty list is ``[]``, an empty object gives nothing. A level of
+    nesting is a step over all rows: each is staged, and the walk ends when no object or list is left open.
     """
+    spark = df.sparkSession
     now = df.select(key, F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("v")).where("v IS NOT NULL")
     out = None
-    for level in range(depth + 1):
+    while True:
         kind = F.schema_of_variant("v")
         plain_list = kind.startswith("ARRAY<") & ~F.contains(kind, F.lit("OBJECT"))
         inner = (kind.startswith("OBJECT<") | kind.startswith("ARRAY<")) & ~plain_list
-        rows = now.withColumn("_inner", inner & F.lit(level < depth)).withColumn("_list", plain_list)
+        rows = now.withColumn("_inner", inner).withColumn("_list", plain_list)
         items = F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get("v", "$", "array<string>"), lambda x: F.coalesce(x, F.lit("null"))), ", "), F.lit("]"))
         value = F.when(F.col("_list"), items).otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.lit("null")))
-        leaf = rows.where("NOT _inner").where(F.schema_of_variant("v") != "OBJECT<>").select(key, "path", value.alias("value"))
+        value = F.when(~F.col("_inner"), value)
+        level = rows.where(F.schema_of_variant("v") != "OBJECT<>").select(key, "path", value.alias("value"), F.when(F.col("_inner"), F.to_json("v")).alias("_open"))
+        level = staged(level, "json-level")
+        leaf = level.where("_open IS NULL").select(key, "path", "value")
         out = leaf if out is None else out.unionByName(leaf)
-        if level == depth:
-            break
-        open_ = rows.where("_inner").select(key, "path", "v")
-        spark = df.sparkSession
+        open_ = level.where("_open IS NOT NULL").select(key, "path", F.parse_json("_open").alias("v"))
+        if open_.isEmpty():
+            return out
         parts = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key").alias("_k"), F.col("value").alias("_v")))
         name = F.when(F.col("_k").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("_k"))
         now = parts.select(key, name.otherwise(F.concat_ws(".", "path", "_k")).alias("path"), F.col("_v").alias("v"))
-    return out
+
+
+def json_text(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def lists_as_maps(value):
+    """Lists become objects by index, so that they can be cut like objects."""
+    if isinstance(value, list):
+        value = {str(i): x for i, x in enumerate(value)}
+    return {k: lists_as_maps(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def json_pieces(value, most: int, least: int) -> list[dict]:
+    """Objects of about ``most`` characters that together hold the value, each part at its own path.
+
+    Entries are taken in order. One that fits the open object goes in whole; otherwise an open object of at least
+    ``least`` is closed and the entry's own entries are taken one by one; what can't be cut goes in as it is.
+    """
+    pieces, size = [{}], 2
+
+    def put(path: tuple, part) -> int:
+        at = pieces[-1]
+        for name in path[:-1]:
+            at = at.setdefault(name, {})
+        at[path[-1]] = part
+        return len(json_text(pieces[-1]))
+
+    waiting = [((), value)]
+    while waiting:
+        path, part = waiting.pop()
+        if path and len(json_text({path[-1]: part})) < most - size:
+            size = put(path, part)
+            continue
+        if path and size >= least:
+            pieces.append({})
+            size = 2
+        if isinstance(part, dict):
+            waiting += [((*path, k), x) for k, x in reversed(part.items())]
+        else:
+            size = put(path or ("",), part)
+    return [p for p in pieces if p]
+
+
+def json_chunks(df: DataFrame, key: str, text: str, most: int = 2000, lists: bool = True) -> DataFrame:
+    """``key, position, content``: each JSON text as objects of about ``most`` characters; text that is no JSON gives none."""
+    kind = df.schema[key].dataType.simpleString()
+    least = max(most - 200, 50)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                try:
+                    value = json.loads(raw) if raw is not None else None
+                except ValueError:
+                    continue
+                if value is not None:
+                    pieces = json_pieces(lists_as_maps(value) if lists else value, most, least)
+                    rows += [(i, n, json_text(p)) for n, p in enumerate(pieces)]
+            place, number, content = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [batch.column(0).take(pa.array(place, pa.int64())), pa.array(number, pa.int64()), pa.array(content, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "position", "content"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, position long, content string")
 
 
 def markdown_elements(text: Column) -> Column:

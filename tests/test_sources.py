@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import random
 from pathlib import Path
 
 import pytest
@@ -97,3 +99,52 @@ def test_staged_tables_can_be_released(spark):
     assert Path(table._staged_at.removeprefix("file:")).exists()
     release(table)
     assert not Path(table._staged_at.removeprefix("file:")).exists()
+
+
+def test_flattening_has_no_limit(spark):
+    deep = '{"k": ' * 12 + '[{"z": 1}]' + "}" * 12
+    nested = "[" + '{"a": [{"b": [{"c": [{"d": ' * 3 + "7" + "}]}]}]}" * 3 + "]"
+    rows = {(r["k"], r["path"]): r["value"] for r in P.flattened(spark.createDataFrame([(1, deep), (2, nested), (3, None)], "k int, r string"), "k", "r").collect()}
+    assert rows[1, ".".join(["k"] * 12) + "[0].z"] == "1"
+    assert rows[2, "[0]" + ".a[0].b[0].c[0].d" * 3] == "7"
+    assert len(rows) == 2
+
+
+def merged(pieces):
+    out = {}
+
+    def into(a, b):
+        for k, v in b.items():
+            if isinstance(v, dict) and isinstance(a.get(k), dict):
+                into(a[k], v)
+            else:
+                a[k] = v
+
+    for p in pieces:
+        into(out, json.loads(P.json_text(p)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_json_pieces_hold_the_whole(seed):
+    draw = random.Random(seed)
+
+    def value(depth):
+        kind = draw.random()
+        if depth and kind < 0.5:
+            return {f"k{i}": value(depth - 1) for i in range(draw.randint(1, 5))}
+        if depth and kind < 0.7:
+            return [value(depth - 1) for _ in range(draw.randint(1, 4))]
+        return draw.choice([1, 2.5, None, True, "text", "long " * 30])
+
+    whole = P.lists_as_maps({f"top{i}": value(12) for i in range(4)})
+    pieces = P.json_pieces(whole, 300, 100)
+    assert merged(pieces) == whole
+    assert all(len(P.json_text(p)) >= 100 for p in pieces[:-1])
+    assert all(len(P.json_text(p)) < 800 for p in pieces)
+
+
+def test_json_chunks(spark):
+    rows = [(1, '{"a": [1, 2], "b": {"c": "' + "x" * 60 + '"}}'), (2, "no json"), (3, None), (4, "5"), (5, "{}"), (6, "null")]
+    found = [tuple(r) for r in P.json_chunks(spark.createDataFrame(rows, "k int, r string"), "k", "r", 50).collect()]
+    assert found == [(1, 0, '{"a":{"0":1,"1":2},"b":{"c":"' + "x" * 60 + '"}}'), (4, 0, '{"":5}')]
