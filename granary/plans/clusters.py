@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import clustering as K
+from granary.operators import entities as En
 from granary.operators import neighbours as N
 from granary.operators import records as Rec
 from granary.operators import trees as Tr
@@ -65,6 +66,25 @@ def tree_search(spark, d):
     return Tr.beam_search(tree.withColumn("tree", F.lit(1)), asked, 3, 3).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "entity_reduce",
+    """WITH RECURSIVE e AS (SELECT vec_id AS id, lower(trim('Name ' || vec_id % 300)) AS name, CASE WHEN vec_id % 2 = 0 THEN 'NAME  ' ELSE ' name ' END || vec_id % 300 AS spelling, embedding::DOUBLE[] AS v, label FROM embeddings),
+ k AS MATERIALIZED (SELECT name, min(id) AS first, arg_min(v, id) AS v FROM e GROUP BY name),
+ p AS MATERIALIZED (SELECT x.first AS a, y.first AS b FROM k x JOIN k y ON x.first <> y.first WHERE list_cosine_similarity(x.v, y.v) >= 0.38),
+ r AS (SELECT first AS id, first AS root FROM k UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+ c AS (SELECT id AS first, min(root) AS entity_id FROM r GROUP BY id),
+ m AS (SELECT e.*, c.entity_id, d.text FROM e JOIN k USING (name) JOIN c ON c.first = k.first LEFT JOIN documents d ON d.doc_id = e.id)
+ SELECT entity_id, arg_max(spelling, {'m': coalesce(label, 0), 'i': -id}) AS name, arg_max(text, {'l': length(text), 'i': -id}) FILTER (WHERE text IS NOT NULL) AS description,
+ sum(label)::BIGINT AS mentions, count(*) AS n FROM m GROUP BY entity_id""",
+)
+def entity_reduce(spark, d):
+    """Records with one name or near vectors as one entity, with its most mentioned name and longest text."""
+    spelling = F.concat(F.when(F.col("vec_id") % 2 == 0, "NAME  ").otherwise(" name "), (F.col("vec_id") % 300).cast("string"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), spelling.alias("name"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("mentions"))
+    return En.reduced(e.join(texts, "id", "left"), En.resolved(e, 0.38, exact=True))
+
+
 @query("balanced_clusters")
 def balanced_clusters(spark, d):
     return K.balanced_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 5)
