@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions import vectors as V
+from granary.operators import graph_retrieval as GR
 from granary.operators import graphs as Gr
 from granary.operators import metrics as X
 from granary.operators import neighbours as N
@@ -508,16 +509,49 @@ def kg_hits(spark, d):
     return table(spark, d, "part").select("p_partkey", (hits / 2).alias("score")).where("score > 0")
 
 
-@query("kg_retrieval", f"""WITH {EDGES}, {UND}, deg AS (SELECT src AS node, count(*) AS n FROM und GROUP BY src), s AS (SELECT node, 1.0 * n / (SELECT max(n) FROM deg) AS sim FROM deg),
- h AS (SELECT node, sim AS score FROM s UNION ALL SELECT und.dst, s.sim / 3 FROM s JOIN und ON und.src = s.node) SELECT node, round(sum(score), 6) AS score FROM h GROUP BY node""")
+KG = """e AS MATERIALIZED (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL),
+ seeds AS (SELECT s_suppkey AS node, (contains(s_name, '1')::INT + contains(s_name, '7')::INT) / 2 AS sim FROM supplier WHERE s_suppkey % 9 = 0 AND (contains(s_name, '1') OR contains(s_name, '7'))),
+ typed AS (SELECT p_partkey + 1000000 AS node FROM part WHERE p_size < 10),
+ u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e),
+ one AS (SELECT s.node, s.sim, u.dst AS b, NULL::BIGINT AS c, u.weight AS w FROM seeds s JOIN u ON u.src = s.node),
+ two AS (SELECT o.node, o.sim, o.b, u.dst AS c, o.w + u.weight AS w FROM one o JOIN u ON u.src = o.b AND u.dst <> o.node),
+ paths AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, c IS NULL, b, c) <= 64),
+ near AS (SELECT src, dst, sum(s) AS near FROM (SELECT least(node, b) AS src, greatest(node, b) AS dst, sim / 2 AS s FROM paths UNION ALL SELECT least(b, c), greatest(b, c), sim / 3 FROM paths WHERE c IS NOT NULL) GROUP BY ALL)"""
+
+
+@query(
+    "kg_retrieval",
+    f"""WITH {KG}, liked AS (SELECT src, dst, 0.5 AS sim FROM e WHERE (src + dst) % 50 = 0)
+ SELECT src, dst, round(weight * CASE WHEN l.sim IS NOT NULL THEN l.sim * (1 + coalesce(near, 0) + (dst IN (SELECT node FROM typed))::INT) ELSE near * (1 + (dst IN (SELECT node FROM typed))::INT) END, 6) AS score
+ FROM near FULL JOIN liked l USING (src, dst) JOIN e USING (src, dst)""",
+)
 def kg_retrieval(spark, d):
-    """Similarity of an entity by degree, and a third of it for its neighbours."""
-    links = Gr.undirected(edges(spark, d))
-    deg = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-    most = deg.agg(F.max("n").alias("most"))
-    s = deg.crossJoin(F.broadcast(most)).select("node", (F.col("n") / F.col("most")).alias("score"))
-    near = s.join(links, s["node"] == links["src"]).select(F.col("dst").alias("node"), (F.col("score") / 3).alias("score"))
-    return s.unionByName(near).groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"))
+    """Relations over all edges: like the question, or on the heaviest paths from entities that are."""
+    seeds, typed, e = kg_inputs(spark, d)
+    liked = e.where((F.col("src") + F.col("dst")) % 50 == 0).select("src", "dst", F.lit(0.5).alias("sim"))
+    return GR.relation_scores(e, seeds, typed, liked).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@query(
+    "kg_entities",
+    f"""WITH {KG}, p AS (SELECT s_suppkey AS node, s_nationkey % 5 = 0 AS typed FROM supplier), r AS (SELECT src AS node, sum(weight) / (SELECT sum(weight) FROM e) AS rank FROM e GROUP BY src)
+ SELECT node, round(1000 * sim * CASE WHEN typed THEN 2 ELSE 1 END * rank, 6) AS score FROM seeds JOIN p USING (node) JOIN r USING (node)""",
+)
+def kg_entities(spark, d):
+    """Entities like the question: similarity, doubled for a type, times their share of all weight."""
+    seeds, _, e = kg_inputs(spark, d)
+    typed = table(spark, d, "supplier").where("s_nationkey % 5 = 0").select(F.col("s_suppkey").alias("node"))
+    everything = e.agg(F.sum("weight").alias("_all"))
+    ranks = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("_w")).crossJoin(F.broadcast(everything)).select("node", (F.col("_w") / F.col("_all")).alias("rank"))
+    return GR.entity_scores(seeds, typed, ranks).select("node", F.round(F.col("score") * 1000, 6).alias("score"))
+
+
+def kg_inputs(spark, d):
+    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    hits = F.col("s_name").contains("1").cast("int") + F.col("s_name").contains("7").cast("int")
+    seeds = table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("node"), (hits / 2).alias("sim")).where("sim > 0")
+    typed = table(spark, d, "part").where("p_size < 10").select((F.col("p_partkey") + 1000000).alias("node"))
+    return seeds, typed, e
 
 
 @query("subgraph", f"WITH {EDGES} SELECT src, dst FROM edges WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
