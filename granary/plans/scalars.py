@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.functions import segments as Sg
 from granary.functions import text as T
 
 from .base import query, sql_token_count, sql_tokens, table
@@ -162,3 +163,18 @@ def term_weights(spark, d):
 def token_counts_of_lines(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.sum(T.token_count(F.col("line"))).alias("tokens"))
+
+
+@query(
+    "query_segments",
+    rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(left(text, 60)), '\s+'), lambda x: x <> '') AS w FROM documents WHERE regexp_full_match(lower(left(text, 60)), '[a-z\s]+')),
+ k AS (SELECT doc_id, len({sql_tokens("left(text, 200)")}) AS n, len(list_filter({sql_tokens("left(text, 200)")}, lambda x: NOT regexp_full_match(x, '[0-9]+'))) AS words FROM documents)
+ SELECT doc_id, n, words, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') END AS phrase FROM k LEFT JOIN w USING (doc_id)""",
+)
+def query_segments(spark, d):
+    """A text's beginning as a question: its kept tokens, those without numbers, and its phrase where it is all Latin."""
+    head = T.rag_tokens(F.left("text", F.lit(200)))
+    start = F.lower(F.left("text", F.lit(60)))
+    phrases = F.when(start.rlike(r"^[a-z\s]+$"), Sg.latin_phrases(start))
+    n, words = F.size(Sg.pretokens(head)).cast("long"), F.size(Sg.pretokens(head, numbers=False)).cast("long")
+    return table(spark, d, "documents").select("doc_id", n.alias("n"), words.alias("words"), F.get(phrases, F.lit(0)).alias("phrase"))
