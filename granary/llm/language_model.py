@@ -37,7 +37,7 @@ from .kernels import U64, Block, mix, pack, unpack
 from .ngram_trie import STEP, Trie, counts_of_counts, discount, quantised, restored, runs, temporary_folder
 from .staging import read_table, release, staged
 
-BATCH = 8 << 20
+BATCH = 5 << 20
 #: Tokens of a shard; changes how the work is split, not the scores.
 SHARD_TOKENS = 1_500_000
 FOLDS, HELD_OUT = 5, 1
