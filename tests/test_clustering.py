@@ -100,3 +100,14 @@ def test_summaries(spark):
     got = {r["c"]: r["summary"] for r in K.summaries(df, ["c"], "o", "t").collect()}
     assert got == {1: "A longer sentence.", 2: "abc"}
     assert K.extract_summary(["Hi. Long first", "A longer sentence. x"]) == "A longer sentence."
+
+
+@pytest.mark.parametrize("key", ["n", "id", "s"])
+def test_similar_names_under_any_key(spark, key):
+    """Names with the same bigrams are different texts: each keeps its own links."""
+    names = ["abab", "baba", "ABAB", "ababx", "zz"]
+    df = spark.createDataFrame([(x,) for x in names], f"{key} string")
+    grams = {x: {x.lower()[i : i + 2] for i in range(len(x) - 1)} for x in names}
+    likeness = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in names for b in names if a < b}
+    got = [(r["a"], r["b"], round(r["similarity"], 9)) for r in K.similar_names(df, key, key, 0.5).collect()]
+    assert sorted(got) == sorted((*p, round(s, 9)) for p, s in likeness.items() if s >= 0.5)
