@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
 
+#: Blanks and signs of ASCII, one by one: Java looks such a class up in a table, ranges are tried in turn.
+INVISIBLE = "[" + "".join(f"\\x{c:02X}" for c in [*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)]) + "]+"
+
 #: Words that search ignores.
 STOP_WORDS = (
     "the", "and", "for", "with", "this", "that", "are", "was", "were", "been", "have", "has", "had", "not", "but",
@@ -26,6 +29,10 @@ def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def runs(text: Column) -> Column:
     """Maximal runs of letters and digits, lower-cased; CJK runs stand apart."""
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
@@ -49,20 +56,35 @@ def tokens(text: Column) -> Column:
     return F.filter(rag_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def visible_counts(text: Column) -> tuple[Column, Column]:
-    """Numbers of CJK characters and of other visible ones; they add up over joined texts."""
-    cjk = F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
-    return cjk, F.length(F.regexp_replace(text, rf"[\s\p{{Z}}\x{{85}}!-/:-@\[-`{{-~{CJK}]", ""))
+def visible_counts(text: Column) -> Column:
+    """``struct<c, l, b>``: numbers of CJK characters and of other visible ones, and whether any is no blank.
+
+    They add up over joined texts. Blanks and signs of ASCII go first, by a class of single characters; the wider classes
+    see only what isn't ASCII.
+    """
+
+    def of(text: Column) -> Column:
+        def kinds(rest: Column, shown: Column) -> Column:
+            other = F.length(F.regexp_replace(rest, rf"[\p{{Z}}\x{{85}}{CJK}]+", ""))
+            return F.struct(F.length(F.regexp_replace(rest, f"[^{CJK}]+", "")).alias("c"), (F.length(shown) - F.length(rest) + other).alias("l"))
+
+        def counted(shown: Column) -> Column:
+            plain = F.struct(F.lit(0).alias("c"), F.length(shown).alias("l"))
+            return F.when(is_ascii(shown), plain).otherwise(bound(F.regexp_replace(shown, r"[\x00-\x7F]+", ""), lambda rest: kinds(rest, shown)))
+
+        whole = bound(F.regexp_replace(text, INVISIBLE, ""), counted)
+        return bound(whole, lambda n: F.struct(n["c"].alias("c"), n["l"].alias("l"), (F.length(F.trim(text)) > 0).alias("b")))
 
+    return bound(text, of)
 
-def tokens_of_counts(cjk: Column, latin: Column, visible: Column) -> Column:
-    total = F.ceil(cjk / F.lit(1.5)) + F.ceil(latin / F.lit(4.0))
-    return F.when((total == 0) & visible, 1).otherwise(total).cast("long")
+
+def tokens_of_counts(n: Column) -> Column:
+    return F.greatest(F.ceil(n["c"] / F.lit(1.5)) + F.ceil(n["l"] / F.lit(4.0)), n["b"].cast("long"))
 
 
 def token_count(text: Column) -> Column:
     """Estimated model tokens: CJK characters over 1.5 plus other visible characters over 4, each rounded up."""
-    return tokens_of_counts(*visible_counts(text), F.length(F.trim(text)) > 0)
+    return bound(visible_counts(text), tokens_of_counts)
 
 
 def sentences(text: Column) -> Column:
@@ -171,7 +193,7 @@ def is_english_query(text: Column) -> Column:
 
 def is_english(text: Column) -> Column:
     """At least seven in ten characters are ASCII letters or blanks."""
-    return F.length(F.regexp_replace(text, "[^A-Za-z ]", "")) >= F.length(text) * F.lit(0.7)
+    return F.length(F.regexp_replace(text, "[^A-Za-z ]+", "")) >= F.length(text) * F.lit(0.7)
 
 
 def is_table(text: Column) -> Column:
@@ -241,19 +263,33 @@ def stem(word: Column) -> Column:
 
 
 def truncated(text: Column, budget: int) -> Column:
-    """The longest prefix of at most ``budget`` tokens, by binary search over its length."""
+    """The longest prefix of at most ``budget`` tokens: a range of lengths by doubling, then binary search in it.
+
+    Only prefixes of up to twice the needed length are counted, however long the text is.
+    """
+
+    def within(n: Column) -> Column:
+        return bound(F.left(text, n), lambda start: token_count(start) <= budget)
+
+    def double(state: Column, _: Column) -> Column:
+        def next_range(fits: Column) -> Column:
+            high = F.least(state["high"].cast("long") * 2, F.length(text).cast("long")).cast("int")
+            wider = F.struct(state["high"].alias("low"), high.alias("high"), (high > state["high"]).alias("open"))
+            return F.when(fits, wider).otherwise(F.struct(state["low"].alias("low"), state["high"].alias("high"), F.lit(False).alias("open")))
+
+        return F.when(state["open"], bound(within(state["high"]), next_range)).otherwise(state)
 
     def halve(state: Column, _: Column) -> Column:
+        def fitted(mid: Column) -> Column:
+            return F.when(within(mid), F.struct(mid.alias("low"), state["high"].alias("high"))).otherwise(F.struct(state["low"].alias("low"), (mid - 1).alias("high")))
+
         mid = F.floor((state["low"] + state["high"] + 1) / 2).cast("int")
-        fits = token_count(F.left(text, mid)) <= budget
-        wide = state["low"] < state["high"]
-        return F.struct(
-            F.when(wide & fits, mid).otherwise(state["low"]).alias("low"), F.when(wide & ~fits, mid - 1).otherwise(state["high"]).alias("high")
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.length(text).alias("high"))
-    cut = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda s: F.left(text, s["low"]))
-    return F.when(token_count(text) <= budget, text).when(F.lit(budget > 0), cut).otherwise("")
+        return F.when(state["low"] < state["high"], bound(mid, fitted)).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("low"), F.least(F.lit(4 * max(budget, 1)), F.length(text)).alias("high"), F.lit(True).alias("open"))
+    ranged = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, double, lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high")))
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(32)), ranged, halve, lambda s: F.left(text, s["low"]))
+    return F.when(F.length(text) <= budget, text).when(F.lit(budget > 0), cut).otherwise(F.when(token_count(text) <= budget, text).otherwise(""))
 
 
 def plain_sentences(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,49 +53,54 @@ def kept_sections(text: Column, pattern: str) -> Column:
     return F.split(text, f"(?<={pattern})")
 
 
+def nothing() -> Column:
+    """The counts of an empty text."""
+    return F.struct(F.lit(0).alias("c"), F.lit(0).alias("l"), F.lit(False).alias("b"))
+
+
+def added(*items: Column) -> Column:
+    return F.struct(sum(x["c"] for x in items).alias("c"), sum(x["l"] for x in items).alias("l"), reduce(or_, [x["b"] for x in items]).alias("b"))
+
+
+def with_counts(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(p.alias("text"), T.visible_counts(p).alias("n")))
+
+
 def _fold(parts: Column, budget: int, joiner: str, tail: Callable[[Column, Column], Column] | None) -> Column:
     """Chunks of parts joined up to ``budget`` tokens; ``tail(chunk, tokens)`` opens the next chunk."""
     if tail is None:
         return T.bound(parts, lambda p: _packed_parts(p, budget, joiner))
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), nothing().alias("n"))
 
-    def step(state: Column, part: Column) -> Column:
-        over = (state["now"] != F.lit("")) & (state["n"] + T.token_count(part) > budget)
-        start = tail(state["now"], state["n"]) if tail else F.lit("")
+    def step(state: Column, x: Column) -> Column:
+        def opened(start: Column) -> Column:
+            return F.struct(F.concat(state["done"], F.array(state["now"])).alias("done"), start.alias("now"), T.visible_counts(start).alias("n"))
 
-        def with_start(now: Column) -> Column:
-            whole = F.when(now == F.lit(""), part).otherwise(F.concat(now, F.lit(joiner), part))
-            done = F.when(over, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"])
-            return T.bound(whole, lambda w: F.struct(done.alias("done"), w.alias("now"), T.token_count(w).alias("n")))
+        def grown(s: Column) -> Column:
+            first = s["now"] == F.lit("")
+            now = F.when(first, x["text"]).otherwise(F.concat(s["now"], F.lit(joiner), x["text"]))
+            return F.struct(s["done"].alias("done"), now.alias("now"), F.when(first, x["n"]).otherwise(added(s["n"], T.visible_counts(F.lit(joiner)), x["n"])).alias("n"))
 
-        return T.bound(F.when(over, start).otherwise(state["now"]), with_start)
+        over = (state["now"] != F.lit("")) & (T.tokens_of_counts(state["n"]) + T.tokens_of_counts(x["n"]) > budget)
+        return T.bound(F.when(over, T.bound(tail(state["now"], T.tokens_of_counts(state["n"])), opened)).otherwise(state), grown)
 
     def finish(state: Column) -> Column:
         last = F.when(stripped(state["now"]) != F.lit(""), F.array(state["now"])).otherwise(F.array().cast("array<string>"))
         return F.concat(state["done"], last)
 
-    return F.aggregate(parts, zero, step, finish)
+    return F.aggregate(with_counts(parts), zero, step, finish)
 
 
 def _packed_parts(parts: Column, budget: int, joiner: str) -> Column:
     """The same without an overlap: counts of characters add up, so each part is counted once and the state holds numbers."""
 
-    def counted(text: Column) -> tuple[Column, Column, Column]:
-        return (*T.visible_counts(text), F.length(F.trim(text)) > 0)
-
-    items = F.transform(parts, lambda p: F.struct(*[x.alias(n) for x, n in zip(counted(p), ("c", "l", "b"), strict=True)]))
-    between = [x.alias(n) for x, n in zip(counted(F.lit(joiner)), ("c", "l", "b"), strict=True)]
-    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.struct(F.lit(0).alias("c"), F.lit(0).alias("l"), F.lit(False).alias("b")).alias("n"))
-    join = F.struct(*between)
-
-    def tokens(x: Column) -> Column:
-        return T.tokens_of_counts(x["c"], x["l"], x["b"])
+    items = F.transform(parts, T.visible_counts)
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), nothing().alias("n"))
 
     def step(state: Column, x: Column) -> Column:
         first = state["i"] == 0
-        new = first | (tokens(state["n"]) + tokens(x) > budget)
-        n = state["n"]
-        more = F.struct((n["c"] + join["c"] + x["c"]).alias("c"), (n["l"] + join["l"] + x["l"]).alias("l"), (n["b"] | join["b"] | x["b"]).alias("b"))
+        new = first | (T.tokens_of_counts(state["n"]) + T.tokens_of_counts(x) > budget)
+        more = added(state["n"], T.visible_counts(F.lit(joiner)), x)
         starts = F.when(new, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"])
         return F.struct(starts.alias("starts"), (state["i"] + 1).alias("i"), F.when(new, x).otherwise(more).alias("n"))
 
@@ -146,7 +153,7 @@ def share_of(overlap: float) -> int:
 
 def by_size(text: Column, budget: int = 128, delimiter: str = DEFAULT_DELIMITER, overlap: float = 0.0) -> Column:
     """Like ``naive``, joined by line ends; sections above the budget are cut at sentences; the overlap counts characters."""
-    cut = lambda s: F.when(T.token_count(s) > budget, F.filter(kept_sections(s, SENTENCE_END), lambda x: x != F.lit(""))).otherwise(F.array(s))
+    cut = lambda s: F.when((F.length(s) > budget) & (T.token_count(s) > budget), F.filter(kept_sections(s, SENTENCE_END), lambda x: x != F.lit(""))).otherwise(F.array(s))
     again = budget * share_of(overlap) // 100
     return _fold(F.flatten(F.transform(sections(text, delimiter), cut)), budget, "\n", trailing_chars(again) if again else None)
 
@@ -178,6 +185,24 @@ def with_children(chunks: Column, delimiters: list[str]) -> Column:
     return F.flatten(F.transform(chunks, of))
 
 
+def counted_children(chunk: Column, delimiters: list[str]) -> Column:
+    """``struct<content, mom, n>``: the different children of a chunk and how often it has them, without shuffling ``mom``."""
+
+    def of(kids: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(kids) - 1), lambda i: (i == 0) | (F.get(kids, i)["content"] != F.get(kids, i - 1)["content"]))
+
+        def counted(starts: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                kid, end = F.get(kids, i), F.coalesce(F.get(starts, k + 1), F.size(kids))
+                return F.struct(kid["content"].alias("content"), kid["mom"].alias("mom"), (end - i).cast("long").alias("n"))
+
+            return F.transform(starts, one)
+
+        return F.when(F.size(kids) > 0, T.bound(starts, counted))
+
+    return T.bound(F.array_sort(with_children(F.array(chunk), delimiters)), of)
+
+
 def depth_of(line: Column, levels: list[str]) -> Column:
     """Place of the first pattern that a line holds, else null."""
     out = F.lit(None).cast("int")
@@ -229,20 +254,28 @@ def by_title(text: Column, levels: list[str], target: int = 1, with_heading: boo
 
 def by_title_group(text: Column, levels: list[str]) -> Column:
     """Neighbouring sections joined until they have 32 tokens (another heading follows) or 1024."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit("").alias("of"))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit("").alias("of"), nothing().alias("n"))
 
     def step(state: Column, s: Column) -> Column:
-        n = T.token_count(state["now"])
-        full = (state["now"] != F.lit("")) & (((n >= GROUP_LEAST) & (s["heading"] != state["of"])) | (n >= GROUP_MOST))
-        done = F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"])
-        now = F.when(full | (state["now"] == F.lit("")), rendered(s)).otherwise(F.concat(state["now"], F.lit("\n"), rendered(s)))
-        grown = F.struct(done.alias("done"), now.alias("now"), s["heading"].alias("of"))
-        return F.when(stripped(rendered(s)) == F.lit(""), state).otherwise(grown)
+        def full(n: Column) -> Column:
+            return (state["now"] != F.lit("")) & (((n >= GROUP_LEAST) & (s["heading"] != state["of"])) | (n >= GROUP_MOST))
+
+        def grown(full: Column) -> Column:
+            new = full | (state["now"] == F.lit(""))
+            done = F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"])
+            now = F.when(new, s["text"]).otherwise(F.concat(state["now"], F.lit("\n"), s["text"]))
+            n = F.when(new, s["n"]).otherwise(added(state["n"], T.visible_counts(F.lit("\n")), s["n"]))
+            return F.struct(done.alias("done"), now.alias("now"), s["heading"].alias("of"), n.alias("n"))
+
+        return T.bound(T.bound(T.tokens_of_counts(state["n"]), full), grown)
 
     def finish(state: Column) -> Column:
         return not_blank(F.concat(state["done"], F.array(state["now"])))
 
-    return F.aggregate(headed(text, levels), zero, step, finish)
+    texts = F.transform(headed(text, levels), lambda s: F.struct(s["heading"].alias("heading"), rendered(s).alias("text")))
+    texts = F.filter(texts, lambda s: stripped(s["text"]) != F.lit(""))
+    items = F.transform(texts, lambda s: F.struct(s["heading"].alias("heading"), s["text"].alias("text"), T.visible_counts(s["text"]).alias("n")))
+    return F.aggregate(items, zero, step, finish)
 
 
 def root_as_heading(chunks: Column) -> Column:
@@ -282,22 +315,24 @@ def markdown_blocks(text: Column) -> Column:
 
 def merged_small(parts: Column, least: int) -> Column:
     """Parts joined by blank lines until they have ``least`` tokens; a short rest joins the last one."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), nothing().alias("n"))
+
+    def step(state: Column, x: Column) -> Column:
+        def closed(s: Column) -> Column:
+            full = F.struct(F.concat(state["done"], F.array(s["now"])).alias("done"), F.lit("").alias("now"), nothing().alias("n"))
+            return F.when(T.tokens_of_counts(s["n"]) >= least, full).otherwise(F.struct(state["done"].alias("done"), s["now"].alias("now"), s["n"].alias("n")))
 
-    def step(state: Column, part: Column) -> Column:
-        now = F.when(state["now"] == F.lit(""), part).otherwise(F.concat(state["now"], F.lit("\n\n"), part))
-        enough = T.token_count(now) >= least
-        return F.struct(
-            F.when(enough, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"),
-            F.when(enough, F.lit("")).otherwise(now).alias("now"),
-        )
+        first = state["now"] == F.lit("")
+        now = F.when(first, x["text"]).otherwise(F.concat(state["now"], F.lit("\n\n"), x["text"]))
+        n = F.when(first, x["n"]).otherwise(added(state["n"], T.visible_counts(F.lit("\n\n")), x["n"]))
+        return T.bound(F.struct(now.alias("now"), n.alias("n")), closed)
 
     def finish(state: Column) -> Column:
         done, n = state["done"], F.size(state["done"])
         last = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(done, -1), F.lit("\n\n"), state["now"])))
         return F.when(state["now"] == F.lit(""), done).when(n == 0, F.array(state["now"])).otherwise(last)
 
-    return F.aggregate(parts, zero, step, finish)
+    return F.aggregate(with_counts(parts), zero, step, finish)
 
 
 def question_rows(text: Column) -> Column:

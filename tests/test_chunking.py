@@ -77,3 +77,13 @@ def test_very_long_text(spark):
     text = "word " * 40_000
     row = spark.createDataFrame([(text.replace("word word", "word.\nword"),)], "t string").select(F.size(C.naive(F.col("t"), 64)).alias("n")).first()
     assert row["n"] > 500
+
+
+def test_counted_children(spark):
+    """Each child once with its number; a chunk in one part stands for itself."""
+    rows = spark.createDataFrame([(0, "b.a.b."), (1, "c"), (2, "d."), (3, ". . "), (4, "x. y. y. ")], "i int, t string")
+    found = rows.select("i", F.explode(C.counted_children(F.col("t"), ["."])).alias("k")).select("i", "k.*")
+    got = sorted((r["i"], r["content"], r["mom"], r["n"]) for r in found.collect())
+    plain = rows.select("i", F.explode(C.with_children(F.array("t"), ["."])).alias("k")).select("i", "k.*").groupBy("i", "content", "mom").count()
+    assert got == sorted(tuple(r) for r in plain.collect())
+    assert (0, "b.", "b.a.b.", 2) in got
