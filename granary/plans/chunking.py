@@ -72,9 +72,10 @@ def chunk_delimiter(spark, d):
 )
 def chunk_children(spark, d):
     """Lines, and the sentences in them with the line as ``mom``."""
-    kids = C.with_children(C.by_delimiters(F.col("text"), ["\n"]), ["."])
-    rows = table(spark, d, "documents").select("doc_id", F.explode(kids).alias("k")).select("doc_id", "k.mom", "k.content")
-    return rows.groupBy("doc_id", "mom", "content").agg(F.count("*").alias("n"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(C.by_delimiters(F.col("text"), ["\n"])).alias("line"))
+    lines = lines.groupBy("doc_id", "line").agg(F.count("*").alias("times"))
+    kids = lines.select("doc_id", "times", F.explode(C.counted_children(F.col("line"), ["."])).alias("k"))
+    return kids.select("doc_id", "k.mom", "k.content", (F.col("k.n") * F.col("times")).alias("n"))
 
 
 @query("chunk_one", f"SELECT doc_id, 0 AS position, {sql_strip('text')} AS content, {PLAIN_TOKENS(sql_strip('text'))} AS token_count FROM documents WHERE {sql_strip('text')} <> ''")
