@@ -10,6 +10,9 @@ CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{A
 #: Blanks and signs of ASCII, one by one: Java looks such a class up in a table, ranges are tried in turn.
 INVISIBLE = "[" + "".join(f"\\x{c:02X}" for c in [*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)]) + "]+"
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ASCII_RUN = f"[0123456789{LETTERS}]++"
+
 #: Words that search ignores.
 STOP_WORDS = (
     "the", "and", "for", "with", "this", "that", "are", "was", "were", "been", "have", "has", "had", "not", "but",
@@ -34,8 +37,8 @@ def is_ascii(text: Column) -> Column:
 
 
 def runs(text: Column) -> Column:
-    """Maximal runs of letters and digits, lower-cased; CJK runs stand apart."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+    """Maximal runs of letters and digits, lower-cased; CJK runs stand apart. ASCII runs that ASCII ends are tried first."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"{ASCII_RUN}(?![^\x00-\x7F])|[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
 
 
 def cjk_parts(run: Column) -> Column:
@@ -193,7 +196,7 @@ def is_english_query(text: Column) -> Column:
 
 def is_english(text: Column) -> Column:
     """At least seven in ten characters are ASCII letters or blanks."""
-    return F.length(F.regexp_replace(text, "[^A-Za-z ]+", "")) >= F.length(text) * F.lit(0.7)
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{LETTERS}{LETTERS.upper()} ]+", "")) >= F.length(text) * F.lit(0.7)
 
 
 def is_table(text: Column) -> Column:

@@ -121,3 +121,12 @@ def test_approximate_distinct_is_near(spark, sf_dir):
 
     rows = QUERIES["approx_distinct"](spark, sf_dir).collect()
     assert rows and all(v is not None for r in rows for v in r)
+
+
+def test_runs_at_the_edge_of_ascii(spark):
+    """Runs of ASCII that end at, or go on in, other characters; letters and blanks of a mostly English text."""
+    texts = {"abc 12x": ["abc", "12x"], "café x1": ["café", "x1"], "ab—cd": ["ab", "cd"], "a中文b1": ["a", "中文", "b1"], "éa b。C": ["éa", "b", "c"], "K9é٣": ["k9é٣"]}
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.runs(F.col("t")).alias("r"), T.is_english(F.col("t")).alias("e"))
+    found = {r["i"]: (r["r"], r["e"]) for r in rows.collect()}
+    want = [(w, sum(c == " " or c.isascii() and c.isalpha() for c in t) >= 0.7 * len(t)) for t, w in texts.items()]
+    assert found == dict(enumerate(want))
