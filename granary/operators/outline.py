@@ -191,12 +191,12 @@ def hierarchical_groups(lines: DataFrame, depth: int = 5) -> DataFrame:
     for g in range(min(depth, MOST_LEVELS)):
         own = rows.where(F.col("_g") == g)
         if used is not None:
-            own = own.join(used, ["key", "pos"], "left_anti")
+            own = own.join(used.hint("merge"), ["key", "pos"], "left_anti")
         own = staged(own.select("key", "pos", "_g", "_path"), "outline-taken")
         more = own.select("key", F.explode("_path").alias("pos")).distinct()
         found, used = (own, more) if found is None else (found.unionByName(own), used.unionByName(more).distinct())
     texts = rows.select("key", F.col("pos").alias("_at"), "text")
-    parts = found.select("key", "_g", "pos", F.size("_path").alias("_n"), F.posexplode(F.reverse("_path")).alias("_nth", "_at")).join(texts, ["key", "_at"])
+    parts = found.select("key", "_g", "pos", F.size("_path").alias("_n"), F.posexplode(F.reverse("_path")).alias("_nth", "_at")).join(texts.hint("merge"), ["key", "_at"])
     chunks = joined(parts, ["key", "_g", "pos", "_n"], ["_nth"], "text", "_text")
     chars = F.length(F.regexp_replace("_text", "@@[0-9]+.*?##", ""))
     item = F.struct("_g", "pos", F.when(F.col("_n") == 1, chars).alias("chars"), "_text")
