@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from granary.sources.staging import staged
 
 SAMPLE, MOST_CELLS, BLOCK = 20_000, 1024, 2048
+#: Of ``near_pairs``: a block travels to at most ``GROUPS`` groups of blocks, until a group would pass ``GROUP_ROWS`` vectors.
+GROUPS, GROUP_ROWS = 24, 65_536
 #: Queries whose true neighbours tell how many cells a wanted recall needs.
 TUNING_QUERIES = 64
 ROUNDING = 1e-9
@@ -56,11 +58,12 @@ def angle(cosine: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Centroids, the widest angle of a cell's vectors, and the number of its blocks (numbered from ``first``)."""
+    """Centroids, the widest angle of a cell's vectors, the number of its blocks (numbered from ``first``) and of its vectors."""
 
     centre: np.ndarray
     radius: np.ndarray
     blocks: np.ndarray
+    size: np.ndarray | None = None
 
     @property
     def first(self) -> np.ndarray:
@@ -102,10 +105,10 @@ def placed(vectors: DataFrame, key: str, column: str, centre: np.ndarray) -> tup
 
     found = vectors.select(key, column).mapInArrow(run, f"`{key}` {kind}, _v array<double>, _cell int, _away double")
     found = staged(found, "vector-cells")
-    radius, blocks = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
+    radius, size = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
     for r in found.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_away").alias("away")).collect():  # no more than cells
-        radius[r["_cell"]], blocks[r["_cell"]] = r["away"], -(-r["n"] // BLOCK)
-    return found, Cells(centre, radius, blocks)
+        radius[r["_cell"]], size[r["_cell"]] = r["away"], r["n"]
+    return found, Cells(centre, radius, -(-size // BLOCK), size)
 
 
 def blocked(rows: DataFrame, key: str, cells: Cells) -> DataFrame:
@@ -259,10 +262,48 @@ class CellIndex:
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
+def groups_of(cells: Cells, order: np.ndarray) -> np.ndarray:
+    """A group for each cell: neighbours in ``order``, of about as many vectors each."""
+    every = int(cells.size.sum())
+    groups = max(min(GROUPS, -(-every // BLOCK)), -(-every // GROUP_ROWS), 1)
+    before = np.cumsum(cells.size[order]) - cells.size[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = before * groups // max(every, 1)
+    return out
+
+
+def meeting_cells(cells: Cells, least: float) -> np.ndarray:
+    """``[cell, cell]``: whether two vectors of these cells can have a cosine of ``least``."""
+    gap = angle(cells.centre @ cells.centre.T) - cells.radius[:, None] - cells.radius[None]
+    used = cells.blocks > 0
+    return (gap <= np.arccos(min(1.0, max(-1.0, least))) + ROUNDING) & used[:, None] & used[None]
+
+
+def dealt_blocks(rows: DataFrame, key: str, cells: Cells, meets: np.ndarray, group: np.ndarray) -> DataFrame:
+    """``low, high, cell, block, keys, vectors``: each block once for each group that holds a cell it meets."""
+    kind = rows.schema[key].dataType.simpleString()
+    near = np.zeros((len(group), int(group.max()) + 1), bool)
+    for g in range(near.shape[1]):
+        near[:, g] = meets[:, group == g].any(axis=1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                cell = batch.column(0)[i].as_py()
+                other = np.flatnonzero(near[cell])
+                same = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(other), np.int64))) for c in range(4)]
+                low, high = np.minimum(other, group[cell]), np.maximum(other, group[cell])
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32()), *same], ["low", "high", "cell", "block", "keys", "vectors"])
+
+    return blocked(rows, key, cells).mapInArrow(deal, f"low int, high int, cell int, block int, keys array<{kind}>, vectors binary")
+
+
 def near_pairs(vectors: DataFrame, key: str, column: str, least: float) -> DataFrame:
     """``a < b, similarity``: every pair of a cosine of at least ``least``; equal vectors meet once (see ``equal_vectors``).
 
     Blocks meet only where the angle between their cells' centroids, less both cells' radii, can still give ``least``.
+    They travel in groups of neighbouring cells, and two groups are one task: a block is copied once for a group that it
+    meets, not for each block in it, so what is shuffled grows with the vectors up to ``GROUPS * GROUP_ROWS`` of them.
     Two blocks that meet are compared in two steps: the first part of rotated vectors (their heaviest directions) and
     the norms of the rest bound the cosine from above, and only pairs that the bound lets through are computed in full.
     """
@@ -273,34 +314,29 @@ def near_pairs(vectors: DataFrame, key: str, column: str, least: float) -> DataF
         return vectors.sparkSession.createDataFrame([], out)
     rows, cells = placed(vectors, key, column, centre)
     rotation, prefix = heavy_directions(rows, centre.shape[1])
-    gap = angle(cells.centre @ cells.centre.T) - cells.radius[:, None] - cells.radius[None]
-    meets = (gap <= np.arccos(min(1.0, max(-1.0, least))) + ROUNDING) & (cells.blocks > 0)[:, None] & (cells.blocks > 0)[None]
-    owner = np.repeat(np.arange(len(cells.blocks)), cells.blocks)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                block = batch.column(1)[i].as_py()
-                partners = np.flatnonzero(meets[batch.column(0)[i].as_py()][owner])
-                for j in range(0, len(partners), 64):
-                    other = partners[j : j + 64]
-                    same = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(len(other), np.int64))) for c in (1, 2, 3)]
-                    low, high = np.minimum(other, block), np.maximum(other, block)
-                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32()), *same], ["low", "high", "block", "keys", "vectors"])
+    meets = meeting_cells(cells, least)
+    group = groups_of(cells, np.argsort(cells.centre @ rotation[:, 0], kind="stable"))
 
     def compare(table: pa.Table) -> pa.Table:
-        sides = {table["block"][i].as_py(): opened(table["keys"][i], table["vectors"][i].as_py()) for i in range(len(table))}
-        (xk, x), (yk, y) = sides[table["low"][0].as_py()], sides[table["high"][0].as_py()]
-        i, j = surviving(x, y, rotation, prefix, least)
-        if table["low"][0].as_py() == table["high"][0].as_py():
-            i, j = i[i < j], j[i < j]
-        cosine = (x[i] * y[j]).sum(axis=1)
-        good = cosine >= least - ROUNDING
-        a, b = xk.take(pa.array(i[good])), yk.take(pa.array(j[good]))
-        return pa.table({"a": a, "b": b, "similarity": pa.array(cosine[good])})
-
-    dealt = blocked(rows, key, cells).mapInArrow(deal, f"low int, high int, block int, keys array<{kind}>, vectors binary")
-    found = dealt.groupBy("low", "high").applyInArrow(compare, out)
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        cell, block = table["cell"].to_numpy(), table["block"].to_numpy()
+        sides = [opened(table["keys"][i], table["vectors"][i].as_py()) for i in range(len(table))]
+        turned = [rotated(v, rotation, prefix) for _, v in sides]
+        found = [(sides[0][0].slice(0, 0), sides[0][0].slice(0, 0), np.zeros(0))]
+        for x in np.flatnonzero(group[cell] == low).tolist():
+            for y in np.flatnonzero((group[cell] == high) & meets[cell[x]][cell]).tolist():
+                if low == high and block[x] > block[y]:
+                    continue
+                i, j = bounded(turned[x], turned[y], least)
+                if block[x] == block[y]:
+                    i, j = i[i < j], j[i < j]
+                cosine = (sides[x][1][i] * sides[y][1][j]).sum(axis=1)
+                good = cosine >= least - ROUNDING
+                found.append((sides[x][0].take(pa.array(i[good])), sides[y][0].take(pa.array(j[good])), cosine[good]))
+        a, b, cosine = zip(*found, strict=True)
+        return pa.table({"a": pa.chunked_array(a), "b": pa.chunked_array(b), "similarity": np.concatenate(cosine)})
+
+    found = dealt_blocks(rows, key, cells, meets, group).groupBy("low", "high").applyInArrow(compare, out)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
@@ -312,11 +348,20 @@ def heavy_directions(rows: DataFrame, length: int) -> tuple[np.ndarray, int]:
     return directions[:, ::-1].copy(), max(1, 3 * length // 4)
 
 
+def rotated(x: np.ndarray, rotation: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first directions of rotated vectors, and the norms of the rest."""
+    p = x @ rotation
+    return np.ascontiguousarray(p[:, :prefix]), np.sqrt((p[:, prefix:] ** 2).sum(axis=1))
+
+
+def bounded(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``rotated`` vectors whose cosine can reach ``least``."""
+    return np.nonzero(x[0] @ y[0].T + np.outer(x[1], y[1]) >= least - ROUNDING)
+
+
 def surviving(x: np.ndarray, y: np.ndarray, rotation: np.ndarray, prefix: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose cosine can reach ``least`` by their first directions and the norms of the rest."""
-    p, q = x @ rotation, y @ rotation
-    rest = [np.sqrt(np.maximum((v[:, prefix:] ** 2).sum(axis=1), 0)) for v in (p, q)]
-    return np.nonzero(p[:, :prefix] @ q[:, :prefix].T + np.outer(*rest) >= least - ROUNDING)
+    return bounded(rotated(x, rotation, prefix), rotated(y, rotation, prefix), least)
 
 
 def equal_vectors(vectors: DataFrame, key: str, column: str) -> DataFrame:

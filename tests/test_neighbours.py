@@ -71,6 +71,20 @@ def test_near_pairs(spark, monkeypatch, least, block):
     assert all(abs(r["similarity"] - score[r["a"], r["b"]]) < 1e-9 for r in found)
 
 
+def test_blocks_travel_to_groups(spark, monkeypatch):
+    """However many blocks meet, a block is copied ``GROUPS`` times at most, and each two blocks meet in one place."""
+    monkeypatch.setattr(N, "BLOCK", 2)
+    vectors = frame(spark, clustered(9, 1, 600, spread=3.0))
+    rows, cells = N.placed(vectors, "id", "v", N.trained(vectors, "id", "v", 60))
+    meets = np.ones((len(cells.blocks),) * 2, bool)
+    group = N.groups_of(cells, np.arange(len(cells.blocks)))
+    dealt = N.dealt_blocks(rows, "id", cells, meets, group).collect()
+    blocks = {r["block"] for r in dealt}
+    assert len(blocks) > 4 * N.GROUPS and len(dealt) <= N.GROUPS * len(blocks)
+    at = {b: {(r["low"], r["high"]) for r in dealt if r["block"] == b} for b in sorted(blocks)[::7]}
+    assert all(at[a] & at[b] for a in at for b in at)
+
+
 def test_few_pairs_are_compared_in_full():
     """Unlike vectors of 64 dimensions at a threshold that few pairs reach: the bound leaves under a tenth of them."""
     draw = np.random.default_rng(4)
