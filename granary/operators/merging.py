@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.sources.staging import staged
@@ -40,6 +40,42 @@ def most_common(df: DataFrame, keys: list[str], value: str, ord_: str) -> DataFr
     return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(value))
 
 
+#: Rows that one row of a pair of names is repeated to at most, before they are dealt to other tasks.
+COPIES = 100_000
+
+
+def shortened(text: Column, edits: int) -> Column:
+    """The text and all that is left of it after leaving out up to ``edits`` characters."""
+
+    def without_one(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+        return F.when(F.length(w) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    levels = [F.array(text)]
+    for _ in range(edits):
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], without_one))))
+    return F.concat(*levels)
+
+
+def edit_pairs(df: DataFrame, kind: str, name: str, edits: int) -> DataFrame:
+    """``a < b`` of every two rows of one kind whose names differ by one to ``edits`` edits.
+
+    Such names have a text in common after leaving out up to ``edits`` characters of each, so only names that do are
+    compared. Different names are compared once; a pair is then repeated as often as rows have both names. A name of
+    n characters has up to ``n ** edits`` such texts: this is for short names.
+    """
+    names = staged(df.where(F.col(kind).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(kind).alias("kind"), F.col(name).alias("a")).agg(F.count("*").alias("na")), "edit-names")
+    spread = names.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "kind", "a")  # few bytes, but much work
+    each = spread.withColumn("_v", F.explode(F.transform(shortened(F.col("a"), edits), lambda v: F.xxhash64(v))))
+    other = each.withColumnsRenamed({"a": "b", "na": "nb"})
+    near = each.join(other.hint("merge"), ["kind", "_v"]).where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", edits) >= 0))
+    pairs = staged(near.select("kind", "a", "b", (F.col("na") * F.col("nb")).alias("n")).distinct(), "edit-pairs")
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / COPIES) - 1)).alias("_part")
+    some = pairs.where(F.col("n") > 1).select("a", "b", "n", parts).repartition("a", "b", "_part")
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col("n") - F.col("_part") * COPIES))
+    return pairs.where(F.col("n") == 1).select("a", "b").unionByName(some.select("a", "b", F.explode(copies)).select("a", "b"))
+
+
 def hashed_sets(df: DataFrame, key: str, things: str) -> DataFrame:
     """Staged ``key, id, s, n`` of rows with things: their distinct 64-bit hashes ascending, and the smallest key with the same set.
 

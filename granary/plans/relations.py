@@ -50,9 +50,7 @@ def join_anti(spark, d):
 )
 def entity_pairs(spark, d):
     """Names of one type that differ by at most two edits; the pairs of a type are the result."""
-    s = table(spark, d, "supplier").select("s_nationkey", "s_name")
-    a, b = s.withColumnRenamed("s_name", "a"), s.withColumnRenamed("s_name", "b")
-    return a.join(b, "s_nationkey").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b")
+    return G.edit_pairs(table(spark, d, "supplier"), "s_nationkey", "s_name", 2)
 
 
 @query(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import entities as E
+from granary.operators import merging as G
 
 
 @pytest.mark.parametrize("exact", [True, False])
@@ -41,3 +43,32 @@ def test_resolution(spark, exact):
         texts = [r for r in own if r[3] is not None]
         text = max(texts, key=lambda r: (len(r[3]), -r[0]))[3] if texts else None
         assert got[entity] == (name, text, sum(r[4] for r in own), len(own))
+
+
+def edits_between(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_pairs(spark, monkeypatch):
+    """Every pair of names within two edits as often as rows have both, whatever a pair's copies are split into."""
+    monkeypatch.setattr(G, "COPIES", 3)
+    draw = np.random.default_rng(3)
+    names = ["".join(draw.choice(list("abé1"), draw.integers(0, 7))) for _ in range(150)] + [None, "", "ab", "ab", "ab", "ba", "ba"]
+    rows = [(None if i % 40 == 0 else i % 3, n) for i, n in enumerate(names)]
+    want = [(a, b) for x, a in rows for y, b in rows if x is not None and x == y and None not in (a, b) and a < b and edits_between(a, b) <= 2]
+    got = G.edit_pairs(spark.createDataFrame(rows, "kind int, name string"), "kind", "name", 2)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(want)
+
+
+def test_edit_pairs_compares_few(spark):
+    """Unlike names of one kind are not all compared: names and the texts left of them grow with the rows, pairs do not."""
+    names = spark.range(3000).select(F.lit(1).alias("kind"), F.md5(F.col("id").cast("string")).substr(1, 12).alias("name"))
+    plan = G.edit_pairs(names, "kind", "name", 2)
+    assert plan.count() == 0
+    shared = names.select(F.explode(G.shortened(F.col("name"), 2)).alias("v")).groupBy("v").count()
+    assert shared.agg(F.max("count")).first()[0] < 10
