@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 from granary.sources.staging import staged
 
 
+def spread(edges: DataFrame, *keys: str) -> DataFrame:
+    """Edges by their keys in all of the session's shuffle partitions, before they are grouped by the same keys.
+
+    Edges are so few bytes that adaptive execution would join millions of them into a task by size, and the groups of a
+    task are entries of its hash tables.
+    """
+    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of each edge, self-loops and repeats removed."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.where("src <> dst").distinct()
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return spread(pairs, "src", "dst").distinct().select(F.inline(ends))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, steps: int = 100, tolerance:
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     total = edges.groupBy("src").agg(F.sum("weight").alias("_sum"))
-    shares = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(total, "src")
+    shares = spread(edges, "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(total, "src")
     shares = staged(shares.where("_sum > 0").select("src", "dst", (F.col("w") / F.col("_sum")).alias("share")), "rank-shares")
     dangling = n - shares.select("src").distinct().count()
     base = alpha * dangling / n + (1 - alpha) / n

@@ -384,8 +384,13 @@ def column_types(spark, d):
 EDGES = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst, 1.0 AS weight FROM lineitem)"
 
 
+def edge_rows(spark, d):
+    """The edges with repeats, for operators that remove these themselves."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.lit(1.0).alias("weight"))
+
+
 def edges(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    return Gr.spread(edge_rows(spark, d), "src", "dst").distinct()
 
 
 UND = "und AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst)"
@@ -404,7 +409,7 @@ def graph_edges(spark, d):
 
 @query("graph_degree", f"WITH {EDGES}, {UND} SELECT src AS node, count(*) AS degree FROM und GROUP BY src")
 def graph_degree(spark, d):
-    return Gr.degrees(edges(spark, d))
+    return Gr.degrees(edge_rows(spark, d))
 
 
 @query("graph_merge", "SELECT l_suppkey AS src, l_partkey AS dst, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS weight FROM lineitem GROUP BY ALL")
@@ -417,12 +422,12 @@ def graph_merge(spark, d):
  SELECT node, min(distance) AS distance FROM r GROUP BY node""")
 def graph_khop(spark, d):
     seeds = spark.createDataFrame([(1,)], "node long")
-    return Gr.within_hops(edges(spark, d), seeds, 2)
+    return Gr.within_hops(edge_rows(spark, d), seeds, 2)
 
 
 @query("graph_paths", f"WITH {EDGES}, {UND} SELECT x.src AS n0, x.dst AS n1, y.dst AS n2 FROM und x JOIN und y ON x.dst = y.src WHERE x.src IN (1, 2) AND x.src <> y.dst")
 def graph_paths(spark, d):
-    return Gr.simple_paths(edges(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 2)
+    return Gr.simple_paths(edge_rows(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 2)
 
 
 def sql_rounds(first: str, step: str, rounds: int) -> str:
@@ -547,7 +552,7 @@ def kg_entities(spark, d):
 
 
 def kg_inputs(spark, d):
-    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    e = Gr.spread(edge_rows(spark, d).select("src", "dst"), "src", "dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hits = F.col("s_name").contains("1").cast("int") + F.col("s_name").contains("7").cast("int")
     seeds = table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("node"), (hits / 2).alias("sim")).where("sim > 0")
     typed = table(spark, d, "part").where("p_size < 10").select((F.col("p_partkey") + 1000000).alias("node"))

@@ -6,8 +6,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import graph_retrieval as G
+from granary.operators.graphs import undirected
 
 
 @pytest.mark.parametrize("hops,most", [(1, 64), (2, 64), (2, 5), (3, 20)])
@@ -45,3 +47,13 @@ def test_scores(spark, hops, most):
     ranks = frame([(n, 0.1 * i) for i, n in enumerate("abcdefgh")], "node string, rank double")
     scores = {(x["query"], x["node"]): x["score"] for x in G.entity_scores(s, t, ranks).collect()}
     assert scores == {("q1", "a"): 0.0, ("q1", "c"): pytest.approx(0.25 * 0.2), ("q2", "h"): pytest.approx(0.7)}
+
+
+def test_edges_are_grouped_in_all_partitions(spark):
+    """Few bytes of many edges are not joined into few tasks, whose hash tables would hold them; each edge comes once."""
+    edges = spark.range(4000).selectExpr("id % 50 AS src", "id % 1000 AS dst", "1.0D AS weight")
+    links = undirected(edges)
+    assert links.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(a, b) for i in range(1000) for a, b in ((i % 50, i), (i, i % 50)) if a != b}
+    got = [(r["src"], r["dst"]) for r in links.collect()]
+    assert len(got) == len(want) and set(got) == want
