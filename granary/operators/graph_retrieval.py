@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.graphs import spread
 from granary.sources.staging import staged
 
 HOPS, MOST_PATHS = 2, 64
@@ -18,7 +19,7 @@ HOPS, MOST_PATHS = 2, 64
 
 def pairs(edges: DataFrame) -> DataFrame:
     rows = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
-    return rows.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return spread(rows, "src", "dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
 def weighted_paths(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, most: int = MOST_PATHS) -> DataFrame:
@@ -26,7 +27,11 @@ def weighted_paths(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, most: i
 
     Heaviest by total weight, then the longer, then by its nodes: the bound is by weight, so it never depends on chance.
     """
-    links = staged(pairs(edges), "graph-pairs")
+    return paths_over(staged(pairs(edges), "graph-pairs"), seeds, hops, most)
+
+
+def paths_over(links: DataFrame, seeds: DataFrame, hops: int, most: int) -> DataFrame:
+    """``weighted_paths`` over ``pairs`` of edges."""
     both = links.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), "weight")
     both = both.unionByName(links.select(F.col("dst").alias("_from"), F.col("src").alias("_to"), "weight"))
     now = seeds.select("query", "node", F.array("node").alias("path"), F.array().cast("array<double>").alias("weights"))
@@ -61,7 +66,8 @@ def relation_scores(
     typed ends. Both are multiplied by the edge's weight.
     """
     seeds, typed, relations = with_query(seeds), with_query(typed).select("query", F.col("node").alias("_n")).distinct(), with_query(relations)
-    paths = weighted_paths(edges, seeds, hops, most).join(seeds.select("query", "node", "sim"), ["query", "node"])
+    links = staged(pairs(edges), "graph-pairs")
+    paths = paths_over(links, seeds, hops, most).join(seeds.select("query", "node", "sim"), ["query", "node"])
     steps = F.sequence(F.lit(0), F.size("path") - 2)
     ends = F.transform(steps, lambda i: F.struct(i.alias("i"), F.get("path", i).alias("a"), F.get("path", i + 1).alias("b")))
     each = paths.select("query", "sim", F.explode(ends).alias("e"))
@@ -69,7 +75,7 @@ def relation_scores(
     near = near.agg(F.sum(F.col("sim") / (F.col("e.i") + 2)).alias("_near"))
     like = relations.select("query", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "sim")
     like = like.groupBy("query", "src", "dst").agg(F.max("sim").alias("sim"))
-    rows = like.join(near, ["query", "src", "dst"], "full_outer").join(pairs(edges), ["src", "dst"])
+    rows = like.join(near, ["query", "src", "dst"], "full_outer").join(links, ["src", "dst"])
     for end in ("src", "dst"):
         rows = rows.join(typed.withColumnRenamed("_n", end).withColumn(f"_{end}", F.lit(1.0)), ["query", end], "left")
     ends = F.coalesce("_src", F.lit(0.0)) + F.coalesce("_dst", F.lit(0.0))
