@@ -390,7 +390,7 @@ def edge_rows(spark, d):
 
 
 def edges(spark, d):
-    return Gr.spread(edge_rows(spark, d), "src", "dst").distinct()
+    return edge_rows(spark, d).distinct()
 
 
 UND = "und AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst)"
@@ -552,7 +552,7 @@ def kg_entities(spark, d):
 
 
 def kg_inputs(spark, d):
-    e = Gr.spread(edge_rows(spark, d).select("src", "dst"), "src", "dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    e = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
     hits = F.col("s_name").contains("1").cast("int") + F.col("s_name").contains("7").cast("int")
     seeds = table(spark, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("node"), (hits / 2).alias("sim")).where("sim > 0")
     typed = table(spark, d, "part").where("p_size < 10").select((F.col("p_partkey") + 1000000).alias("node"))
