@@ -28,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.text import bound
+
 from .quality import text_of
 from .staging import read_table, staged
 
@@ -92,15 +94,17 @@ def word_list(text: Column) -> Column:
 
 def pairs_of(words: Column) -> Column:
     """Adjacent words."""
-    return F.when(
-        F.size(words) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2))),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return bound(words, of)
 
 
 def grams(words: Column) -> Column:
     """Word uni- and bigrams."""
-    return F.concat(words, pairs_of(words))
+    return bound(words, lambda w: F.concat(w, pairs_of(w)))
 
 
 def sought(threshold: float = MIN_SIMILARITY) -> list[str]:
@@ -123,12 +127,13 @@ def cued(text: Column) -> Column:
 
 
 def worth_a_score(text: Column) -> Column:
-    """Whether a lower-case text has a cue word or one of the words looked for."""
+    """Whether a lower-case text has a cue word or one of the words looked for, which is tried only where a word begins."""
     by_letter: dict[str, list[str]] = {}
     for word in sought():
         by_letter.setdefault(word[0], []).append(word[1:])
     words = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
-    return cued(text) | text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
+    word = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+    return bound(text, lambda t: cued(t) | t.rlike(word))
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -169,8 +174,12 @@ def training_set(docs: DataFrame) -> DataFrame:
 
 def softened(raw: Column, temperature: float) -> Column:
     """Class probabilities from raw scores."""
-    powers = F.transform(raw, lambda x: F.exp((x - F.array_max(raw)) / F.lit(float(temperature))))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+
+    def of(most: Column) -> Column:
+        powers = F.transform(raw, lambda x: F.exp((x - most) / F.lit(float(temperature))))
+        return bound(powers, lambda p: bound(F.aggregate(p, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(p, lambda x: x / total)))
+
+    return bound(F.array_max(raw), of)
 
 
 def chance(temperature: float) -> Column:
@@ -187,7 +196,7 @@ class LicenceModel:
     @staticmethod
     def features(df: DataFrame) -> DataFrame:
         table = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features")
-        return table.transform(df.withColumn("_grams", grams(F.col("words")))).drop("_grams")
+        return table.transform(df.withColumn("_grams", grams(F.col("words"))))
 
     @classmethod
     def fit(cls, docs: DataFrame) -> LicenceModel:
@@ -205,7 +214,7 @@ class LicenceModel:
         return cls(model, best)
 
     def classify(self, paragraphs: DataFrame) -> DataFrame:
-        """Adds ``predicted`` and ``probability`` (calibrated) to rows with ``words``."""
+        """Adds ``predicted``, ``probability`` (calibrated) and ``_grams`` to rows with ``words``."""
         out = self.model.transform(self.features(paragraphs)).withColumn("_raw", vector_to_array("rawPrediction"))
         out = out.withColumn("_p", softened(F.col("_raw"), self.temperature))
         place = F.array_position("_p", F.array_max("_p")).cast("int")
@@ -223,8 +232,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     runs = F.filter(F.split("text", r"\n(?:[^\S\n]*\n)+"), lambda x: F.instr(x, "\n") > 0)
     units = F.filter(F.concat(lines, runs), lambda x: worth_a_score(F.lower(x)))
-    units = F.when(worth_a_score(F.lower("text")), units).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", F.explode(units).alias("paragraph")).withColumn("cued", cued(F.lower("paragraph")))
+    rows = rows.where(worth_a_score(F.lower("text")))
+    return rows.select("doc_id", F.explode(units).alias("paragraph")).withColumn("cued", bound(F.lower("paragraph"), cued))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
@@ -236,9 +245,10 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     scored = model.classify(paragraphs(docs).withColumn("words", word_list(F.col("paragraph"))))
     n = notices(docs.sparkSession).select(F.col("family").alias("predicted"), "notice_pairs")
     by_family = n.groupBy("predicted").agg(F.collect_list("notice_pairs").alias("_notices"))
+    by_family = by_family.withColumn("_any", F.array_distinct(F.flatten("_notices")))
     both = scored.join(F.broadcast(by_family), "predicted", "left")
-    own = F.array_distinct(pairs_of(F.col("words")))
-    share = F.transform("_notices", lambda t: F.size(F.array_intersect(t, own)) / F.size(t))
+    # of a paragraph's words and pairs only the pairs that some notice of the family has matter; single words hold no blank
+    share = bound(F.array_intersect("_grams", "_any"), lambda own: F.transform("_notices", lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
     both = both.withColumn("similarity", F.coalesce(F.array_max(share), F.lit(0.0)))
     stands = (F.col("similarity") >= MIN_SIMILARITY) & (F.col("probability") >= MIN_PROBABILITY)
     both = both.withColumn("licence", F.when(stands, F.col("predicted")).when(F.col("cued"), "unknown").otherwise("none"))

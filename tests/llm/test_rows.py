@@ -435,6 +435,14 @@ def test_op9_looks_at_every_paragraph_that_a_notice_confirms(spark, docs):
     assert len(confirmed) > 100 and confirmed <= found
 
 
+def test_op9_makes_no_value_twice(spark):
+    """Inside a lambda function Spark computes an expression anew wherever it is written."""
+    assert str(licences.worth_a_score(F.lower("t"))).lower().count("lower(t") == 1
+    assert str(licences.softened(F.col("raw"), 1.0)).count("array_max") == 1
+    rows = spark.createDataFrame([("a b a b",), ("a",), ("",)], "t string").select(licences.grams(licences.word_list(F.col("t"))))
+    assert [r[0] for r in rows.collect()] == [["a", "b", "a", "b", "a b", "b a", "a b"], ["a"], []]
+
+
 def test_op9_edge_cases(spark, rows, docs, no_docs, twice, model, table_of):
     assert op9_licence_scan(spark, table_of(docs)).count() == len(rows)
     assert by_document(no_docs, scan(no_docs)).collect() == []
