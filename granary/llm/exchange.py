@@ -22,6 +22,8 @@ from .staging import shuffle_width, staged
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
+#: Of zstd for the texts, which are written once but lie on disk staged and shuffled: a seventh smaller than at level 1.
+LEVEL = 4
 NO_ID = np.int64(-(1 << 63))
 
 Step = Callable[[np.ndarray, Block, list[bytes]], Iterator[tuple[int, bytes]]]
@@ -41,7 +43,7 @@ def text_batches(docs: DataFrame, limit: int = BATCH_BYTES, carry: tuple[str, ..
             ids = np.array([x[0] for x in held], np.int64)
             sizes = np.array([len(x[1]) for x in held], np.int64)
             data = b"".join(x[1] for x in held)
-            raw = len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+            raw = len(data).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(data, asbytes=True)
             head = pack(ids, sizes)
             content = len(head).to_bytes(8, "little") + head + raw
             row = {"batch": [task << 32 | number], "n_bytes": [size], "content": [content]}

@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from granary.llm import binary_ids, language_model, licences, mixing, ngram_trie, packing, quality, tokens
+from granary.llm import binary_ids, exchange, language_model, licences, mixing, ngram_trie, packing, quality, tokens
 from granary.llm.binary_ids import op6_binary_ids
 from granary.llm.language_model import op7_language_model
 from granary.llm.licences import LicenceModel, by_document, op9_licence_scan, scan
@@ -352,6 +353,15 @@ def test_op7_no_rows_and_repeated_rows(no_docs, twice):
     assert language_model.scores(twice).count() == twice.count()
 
 
+def test_op7_texts_lie_on_disk_smaller_than_by_the_fastest_level(spark):
+    rows = list(enumerate(t or "" for _, t in corpus(3, 400)))
+    content = exchange.text_batches(frame(spark, rows).coalesce(1)).first()["content"]
+    ids, block = exchange.opened(content)
+    assert ids.tolist() == [d for d, _ in rows]
+    assert bytes(block.data) == "".join(t for _, t in rows).encode()
+    assert len(content) < 0.97 * len(pa.Codec("zstd", 1).compress(bytes(block.data), asbytes=True))
+
+
 # ── 9: licences ──────────────────────────────────────────────────────────────
 
 
