@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import bound
 from granary.sources.staging import staged
 
 #: Five families of headings, highest level first; a text follows the family with the most matching lines.
@@ -78,9 +79,14 @@ def no_title(text: Column) -> Column:
 
 def family_of(lines: DataFrame) -> DataFrame:
     """``key, family``: the first family with the most lines that match it, -1 for none."""
-    line = trimmed(F.col("text"))
-    bullet = ~line.rlike(NO_BULLET)
-    hits = [F.count_if(bullet & line.rlike("|".join(f"^(?:{p})" for p in f))).alias(f"_{i}") for i, f in enumerate(FAMILIES)]
+
+    def matches(line: Column) -> Column:
+        """For each family whether a line matches it."""
+        fits = F.array(*[line.rlike("|".join(f"^(?:{p})" for p in f)) for f in FAMILIES])
+        return F.when(~line.rlike(NO_BULLET), fits)
+
+    lines = lines.select("key", bound(trimmed(F.col("text")), matches).alias("_m"))
+    hits = [F.count_if(F.get("_m", F.lit(i))).alias(f"_{i}") for i in range(len(FAMILIES))]
     most = F.greatest(*[f"_{i}" for i in range(len(FAMILIES))])
     family = F.lit(-1)
     for i in reversed(range(len(FAMILIES))):
@@ -95,14 +101,20 @@ def levelled(lines: DataFrame, bullets_only: bool = False) -> DataFrame:
     """
     rows = lines.join(family_of(lines), "key")
     size = F.element_at(F.array(F.lit(0), *[F.lit(len(f)) for f in FAMILIES]), F.col("family") + 2)
-    line = trimmed(F.regexp_replace("text", "　", " "))
     title = (F.col("layout").contains("title") | F.col("layout").contains("head")) & ~no_title(head(F.col("text")))
     level = F.when((F.col("family") >= 0) & title, F.col("size")).otherwise(F.col("size") + 1)
     allowed = ~F.col("text").rlike(NO_BULLET) if bullets_only else F.lit(True)
-    for f in reversed(range(len(FAMILIES))):
-        for i in reversed(range(len(FAMILIES[f]))):
-            level = F.when((F.col("family") == f) & allowed & line.rlike(f"^(?:{FAMILIES[f][i]})"), i).otherwise(level)
-    return rows.withColumn("size", size).withColumn("level", level)
+
+    def found(line: Column) -> Column:
+        """The first level of the family that a line matches."""
+        out = None
+        for f, patterns in enumerate(FAMILIES):
+            own = F.coalesce(*[F.when(line.rlike(f"^(?:{p})"), i) for i, p in enumerate(patterns)])
+            out = F.when(F.col("family") == f, own) if out is None else out.when(F.col("family") == f, own)
+        return out
+
+    own = F.when((F.col("family") >= 0) & allowed, bound(trimmed(F.regexp_replace("text", "　", " ")), found))
+    return rows.withColumn("size", size).withColumn("level", F.coalesce(own, level))
 
 
 def joined(rows: DataFrame, keys: list[str], order: list[str], text: str, name: str) -> DataFrame:

@@ -191,3 +191,10 @@ def test_no_lines(lines):
 def test_lines_of(spark):
     docs = spark.createDataFrame([(1, "a\r\n\nb"), (2, None), (3, "")], "id long, t string")
     assert [(r["key"], r["pos"], r["text"]) for r in O.lines_of(docs, "id", "t").orderBy("pos").collect()] == [(1, 0, "a"), (1, 2, "b")]
+
+
+def test_a_line_is_trimmed_once_for_all_patterns(spark):
+    """Inside conditions Spark makes an expression anew wherever it is written."""
+    lines = spark.createDataFrame([(1, 0, "PART ONE a", "")], "key long, pos int, text string, layout string")
+    plan = O.levelled(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 3
