@@ -145,11 +145,12 @@ def similar_names(names: DataFrame, key: str, column: str, least: float) -> Data
 
     Different names with the same bigrams are a class; its members pair with each other and with those of similar classes.
     """
-    from granary.operators.merging import hashed_sets, near_set_pairs
+    from granary.operators.merging import classes_of, hashed_sets, near_set_pairs
 
-    sets = hashed_sets(names.select(F.col(key).alias("_key"), T.char_bigrams(F.lower(column)).alias("_g")), "_key", "_g")
-    x, y = sets.select(F.col("id").alias("a"), F.col("_key").alias("_x")), sets.select(F.col("id").alias("b"), F.col("_key").alias("_y"))
-    across = near_set_pairs(sets, "_key", least).join(x, "a").join(y, "b")
+    sets, copies = hashed_sets(names.select(F.col(key).alias("_key"), T.char_bigrams(F.lower(column)).alias("_g")), "_key", "_g")
+    of = classes_of(sets, copies, "_key")
+    x, y = of.select(F.col("id").alias("a"), F.col("_key").alias("_x")), of.select(F.col("id").alias("b"), F.col("_key").alias("_y"))
+    across = near_set_pairs(sets, copies, "_key", least).join(x, "a").join(y, "b")
     within = x.join(y, F.col("a") == F.col("b")).where("_x < _y").select("_x", "_y", F.lit(1.0).alias("similarity"))
     pairs = across.select("_x", "_y", "similarity").unionByName(within)
     return pairs.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "similarity")
@@ -158,11 +159,12 @@ def similar_names(names: DataFrame, key: str, column: str, least: float) -> Data
 def name_groups(names: DataFrame, key: str, column: str, least: float = 0.7) -> DataFrame:
     """``key, group_id``: names linked by similar pairs; names with equal bigrams are one from the start."""
     from granary.operators.components import connected_components
-    from granary.operators.merging import classes_of, near_text_pairs
+    from granary.operators.merging import classes_of, hashed_sets, near_set_pairs
 
     rows = names.select(F.col(key).alias("_key"), T.char_bigrams(F.lower(column)).alias("_g"))
-    members = staged(classes_of(rows, "_key", "_g").select(F.col("_key").alias(key), F.col("class_id").alias("_class")), "name-classes")
-    of = connected_components(near_text_pairs(rows, "_key", "_g", least), "a", "b").select(F.col("id").alias("_class"), F.col("component").alias("_c"))
+    sets, copies = hashed_sets(rows, "_key", "_g")
+    members = staged(classes_of(sets, copies, "_key").select(F.col("_key").alias(key), F.col("id").alias("_class")), "name-classes")
+    of = connected_components(near_set_pairs(sets, copies, "_key", least), "a", "b").select(F.col("id").alias("_class"), F.col("component").alias("_c"))
     joined = members.join(of, "_class", "left")
     out = joined.select(key, F.coalesce("_c", "_class").alias("group_id"))
     rest = names.join(members, key, "left_anti").select(key, F.col(key).alias("group_id"))

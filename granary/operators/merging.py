@@ -76,39 +76,75 @@ def edit_pairs(df: DataFrame, kind: str, name: str, edits: int) -> DataFrame:
     return pairs.where(F.col("n") == 1).select("a", "b").unionByName(some.select("a", "b", F.explode(copies)).select("a", "b"))
 
 
-def hashed_sets(df: DataFrame, key: str, things: str) -> DataFrame:
-    """Staged ``key, id, s, n`` of rows with things: their distinct 64-bit hashes ascending, and the smallest key with the same set.
+#: Hashes a task groups or sorts; slices of all hashes, ascending, by which sets that pair with none are found.
+HASHES_A_TASK = 1_000_000
+SLICES = (0.3, 0.6)
 
-    Equal sets are found by 128 bits of their hashes, so whole sets are not shuffled for it.
+
+def hashed_sets(df: DataFrame, key: str, things: str) -> tuple[DataFrame, DataFrame]:
+    """Staged ``key, s, n`` of rows with things (their distinct 64-bit hashes ascending), and staged ``key, id`` of copies.
+
+    A copy has the same set as a smaller key, ``id`` is the smallest of them. Equal sets are found by 128 bits of their
+    hashes, so whole sets are not shuffled for it.
     """
     hashes = F.array_sort(F.array_distinct(F.transform(things, lambda g: F.xxhash64(g))))
     sets = df.where(F.size(things) > 0).select(key, hashes.alias("s"))
     sets = staged(sets.select(key, "s", F.size("s").alias("n"), F.struct(F.xxhash64("s").alias("x"), F.xxhash64(F.lit(7), "s").alias("y")).alias("_k")), "hashed-sets")
     least = sets.groupBy("_k").agg(F.min(key).alias("id"))
-    members = staged(sets.select(key, "_k").join(least, "_k").select(key, "id"), "set-members")
-    return sets.join(members, key).select(key, "id", "s", "n")
+    copies = staged(sets.select(key, "_k").join(least, "_k").where(F.col(key) != F.col("id")).select(key, "id"), "set-copies")
+    return sets.select(key, "s", "n"), copies
 
 
-def classes_of(df: DataFrame, key: str, things: str) -> DataFrame:
-    """``key, class_id``: rows with equal sets share the smallest key; rows with an empty set are left out."""
-    return hashed_sets(df, key, things).select(key, F.col("id").alias("class_id"))
+def classes_of(sets: DataFrame, copies: DataFrame, key: str) -> DataFrame:
+    """``key, id`` of all rows of ``hashed_sets``: rows with equal sets share the smallest key."""
+    return sets.select(key).join(copies, key, "left").select(key, F.coalesce("id", key).alias("id"))
 
 
 def near_text_pairs(df: DataFrame, key: str, shingles: str, share: float) -> DataFrame:
     """``near_set_pairs`` of rows with their distinct shingles."""
-    return near_set_pairs(hashed_sets(df, key, shingles), key, share)
+    return near_set_pairs(*hashed_sets(df, key, shingles), key, share)
+
 
+def grouping_tasks(sets: DataFrame, part: float) -> int:
+    """Tasks that group this part of the sets' hashes, so that tasks grow in number and not in size."""
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, int((sets.agg(F.sum("n")).first()[0] or 0) * part / HASHES_A_TASK) + 1)
 
-def near_set_pairs(sets: DataFrame, key: str, share: float) -> DataFrame:
+
+def sets_that_may_pair(sets: DataFrame, copies: DataFrame, key: str, share: float) -> DataFrame:
+    """Staged ``id`` of the sets, copies aside, that may be alike to another by ``share``.
+
+    A set of n hashes lacks at most ``n - ceil(share * n)`` of them in one like it. So it pairs with none if more of its
+    hashes are in no other set, and a slice of all hashes often shows that many: only slices are shuffled, the second
+    one of the sets that the first has left.
+    """
+    cuts = [round((2 * p - 1) * (1 << 63)) for p in (0.0, *SLICES)]
+    spare = (F.col("n") - F.ceil(F.col("n") * share)).cast("long")
+    left = None
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        rows = sets.select(F.col(key).alias("id"), spare.alias("spare"), "n", F.filter("s", lambda g: (g >= low) & (g < high)).alias("s"))
+        rows = rows.join(copies.select(F.col(key).alias("id")), "id", "left_anti") if left is None else rows.select("id", "s").join(left, "id")
+        tasks = grouping_tasks(sets if left is None else left, (high - low) / (1 << 64))
+        each = rows.select("id", F.explode("s").alias("g")).repartition(tasks, "g")
+        alone = each.groupBy("g").agg(F.min("id").alias("id"), F.max("id").alias("_most")).where(F.col("id") == F.col("_most"))
+        alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+        now = rows.select("id", "n", "spare").join(alone, "id", "left").select("id", "n", (F.col("spare") - F.coalesce("alone", F.lit(0))).alias("spare"))
+        left = staged(now.where("spare >= 0").groupBy("id").agg(F.max("n").alias("n"), F.max("spare").alias("spare")), "sets-left")
+    return left
+
+
+def near_set_pairs(sets: DataFrame, copies: DataFrame, key: str, share: float) -> DataFrame:
     """Pairs ``a < b, similarity`` of ``hashed_sets`` whose Jaccard similarity is at least ``share``.
 
     Prefix filter: such a pair shares one of its rarest ``n - ceil(share * n) + 1`` hashes. Hashes that one set alone has
-    come first and pair with nothing, so a set with enough of them is done; of the others only the rest of that number
-    is joined, rarest first. Every candidate is then compared in full. Rows with equal sets are one class: ``a`` and
-    ``b`` are class ids (their smallest keys).
+    come first and pair with nothing, so a set with enough of them is done; most are by slices of their hashes. Of the
+    others only the rest of that number is joined, rarest first. Every candidate is then compared in full. Rows with equal
+    sets are one class: ``a`` and ``b`` are class ids (their smallest keys).
     """
-    classes = staged(sets.where(F.col(key) == F.col("id")).select("id", "s", "n").dropDuplicates(["id"]), "near-classes")
-    each = classes.select("id", "n", F.explode("s").alias("g"))
+    left = sets_that_may_pair(sets, copies, key, share)
+    classes = sets.withColumnRenamed(key, "id").join(left.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    classes = staged(classes.select("id", "s", "n"), "near-classes")
+    each = classes.select("id", "n", F.explode("s").alias("g")).repartition(grouping_tasks(left, 1.0), "g")
     counts = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(counts, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
     left = (F.col("n") - F.ceil(F.col("n") * share) + 1 - (F.col("n") - F.size("r"))).cast("int")

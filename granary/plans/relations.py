@@ -68,10 +68,9 @@ def near_dup_pairs(spark, d):
     """Pairs of classes of equal texts, and the further members of each class."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     docs = table(spark, d, "documents").select("doc_id", T.shingles(words, 5).alias("s"))
-    sets = G.hashed_sets(docs, "doc_id", "s")
-    pairs = G.near_set_pairs(sets, "doc_id", 0.8).select(F.lit("pair").alias("kind"), "a", "b", "similarity")
-    of = sets.where("id <> doc_id")
-    return pairs.unionByName(of.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
+    sets, copies = G.hashed_sets(docs, "doc_id", "s")
+    pairs = G.near_set_pairs(sets, copies, "doc_id", 0.8).select(F.lit("pair").alias("kind"), "a", "b", "similarity")
+    return pairs.unionByName(copies.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 @query(
