@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,15 +70,102 @@ def json_records(text: Column) -> Column:
     return F.when(is_json_lines(text), each).when(is_json(text), F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+#: Beyond these, and for numbers with a fraction, doubled keys, lists of lists and the like, Spark's own parser decides.
+MOST_BYTES, MOST_DEPTH, MOST_NUMBER = 1 << 20, 500, 10**18
+LEAVES_AT_ONCE = 50_000
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _unsure(*_):
+    raise ValueError("left to Spark's parser")
+
+
+def _once(pairs: list) -> dict:
+    found = dict(pairs)
+    return found if len(found) == len(pairs) else _unsure()
+
+
+def _plain(x) -> str:
+    if isinstance(x, str):
+        return x
+    if x is None or isinstance(x, bool):
+        return {None: "null", True: "true", False: "false"}[x]
+    return str(x) if abs(x) < MOST_NUMBER else _unsure()
+
+
+LOADS = json.JSONDecoder(object_pairs_hook=_once, parse_float=_unsure, parse_constant=_unsure).decode
+
+
+def plain_leaves(raw: bytes) -> list[tuple[str, str]]:
+    """Paths and values of the leaves of a JSON text whose reading is beyond doubt; else a ``ValueError``."""
+    text = raw.decode()
+    if len(raw) > MOST_BYTES or SURROGATE.search(text):
+        _unsure()
+    out, now = [], [("", LOADS(text))]
+    for _ in range(MOST_DEPTH):
+        inner = []
+        for path, x in now:
+            if isinstance(x, dict):
+                inner += [(f"{path}.{k}" if path else k, y) for k, y in x.items()]
+            elif not isinstance(x, list):
+                out.append((path, _plain(x)))
+            elif x and all(isinstance(y, dict) for y in x):
+                inner += [(f"{path}[{n}]", y) for n, y in enumerate(x)]
+            elif any(isinstance(y, (dict, list)) for y in x):
+                _unsure()
+            else:
+                out.append((path, f"[{', '.join(map(_plain, x))}]"))
+        if not inner:
+            return out
+        now = inner
+    _unsure()
+
+
+def read_plainly(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Staged ``key, path, value`` of the leaves of texts that ``plain_leaves`` reads, and ``key, _rest`` of the others."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def found_in(raw: bytes) -> list[tuple]:
+        try:
+            return [(path, value, None) for path, value in plain_leaves(raw)]
+        except (ValueError, RecursionError):
+            return [(None, None, raw)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, rows = [], []
+
+            def done(keys=batch.column(0)) -> pa.RecordBatch:
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)]
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(place, pa.int64())), *columns], [key, "path", "value", "_rest"])
+
+            for i, raw in enumerate(batch.column(1)):
+                found = found_in(raw.as_py())
+                place += [i] * len(found)
+                rows += found
+                if len(rows) >= LEAVES_AT_ONCE:
+                    yield done()
+                    place, rows = [], []
+            if rows:
+                yield done()
+
+    rows = df.where(F.col(text).isNotNull()).select(key, F.col(text).cast("binary").alias("_raw"))
+    return staged(rows.mapInArrow(run, f"`{key}` {kind}, path string, value string, _rest binary"), "json-leaves")
+
+
 def flattened(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, path, value`` of all leaves of a JSON column, as ``a.b[0].c``, at any depth.
 
-    Lists of plain values are one leaf ``[x, y]``; an empty list is ``[]``, an empty object gives nothing. A level of
-    nesting is a step over all rows: each is staged, and the walk ends when no object or list is left open.
+    Lists of plain values are one leaf ``[x, y]``; an empty list is ``[]``, an empty object gives nothing. Most texts are
+    read in one pass. For the others a level of nesting is a step over all rows: each is staged, and the walk ends when no
+    object or list is left open.
     """
     spark = df.sparkSession
-    now = df.select(key, F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("v")).where("v IS NOT NULL")
-    out = None
+    read = read_plainly(df, key, text)
+    out, rest = read.where("_rest IS NULL").select(key, "path", "value"), read.where("_rest IS NOT NULL")
+    if rest.isEmpty():
+        return out
+    now = rest.select(key, F.lit("").alias("path"), F.try_parse_json(F.col("_rest").cast("string")).alias("v")).where("v IS NOT NULL")
     while True:
         kind = F.schema_of_variant("v")
         plain_list = kind.startswith("ARRAY<") & ~F.contains(kind, F.lit("OBJECT"))
@@ -89,7 +177,7 @@ def flattened(df: DataFrame, key: str, text: str) -> DataFrame:
         level = rows.where(F.schema_of_variant("v") != "OBJECT<>").select(key, "path", value.alias("value"), F.when(F.col("_inner"), F.to_json("v")).alias("_open"))
         level = staged(level, "json-level")
         leaf = level.where("_open IS NULL").select(key, "path", "value")
-        out = leaf if out is None else out.unionByName(leaf)
+        out = out.unionByName(leaf)
         open_ = level.where("_open IS NOT NULL").select(key, "path", F.parse_json("_open").alias("v"))
         if open_.isEmpty():
             return out

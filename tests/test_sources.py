@@ -148,3 +148,21 @@ def test_json_chunks(spark):
     rows = [(1, '{"a": [1, 2], "b": {"c": "' + "x" * 60 + '"}}'), (2, "no json"), (3, None), (4, "5"), (5, "{}"), (6, "null")]
     found = [tuple(r) for r in P.json_chunks(spark.createDataFrame(rows, "k int, r string"), "k", "r", 50).collect()]
     assert found == [(1, 0, '{"a":{"0":1,"1":2},"b":{"c":"' + "x" * 60 + '"}}'), (4, 0, '{"":5}')]
+
+
+ODD_JSON = [
+    '{"a": 1, "a": 2}', '{"a": 1.50, "b": 1e3}', '{"a": 12345678901234567890123}', '[[1, 2], [3]]', '[{"a": 1}, null]', '[1, "x", {"b": 2}]', "NaN", "[]", "{}",
+    '{"": {"": 1}}', '"\\ud800"', '"\\u00e9"', "\ufeff5", "5 6", "01", "-0", ' {"a" : [true, null, "x, y"] } ', '{"a": [{}, {"b": []}]}', "true", '"a\nb"', '{"a": "\x01"}', "[NaN]",
+    "[" * 600 + "]" * 600, '{"k": ' * 40 + "1" + "}" * 40, "", " ", '{"a.b": {"c[0]": 1}}', "[1, 1.0]", '[true, "x"]', "[null]",
+]
+
+
+def test_texts_read_plainly_are_as_by_sparks_parser(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate([*ODD_JSON, *(f'{{"id": {i}, "x": [{{"y": "{i}"}}]}}' for i in range(50)), None])), "k int, r string")
+    read = P.read_plainly(df, "k", "r")
+    assert read.where("k >= " + str(len(ODD_JSON))).where("_rest IS NOT NULL").count() == 0  # no step a level for these
+    assert 10 < read.where("_rest IS NOT NULL").count() < 20
+    here = sorted(map(tuple, P.flattened(df, "k", "r").collect()))
+    assert {(k, p, v) for k, p, v in here if k >= len(ODD_JSON)} == {(len(ODD_JSON) + i, p, str(i)) for i in range(50) for p in ("id", "x[0].y")}
+    monkeypatch.setattr(P, "read_plainly", lambda df, key, text: df.where(f"{text} IS NOT NULL").selectExpr(key, "'' AS path", "'' AS value", f"CAST({text} AS BINARY) AS _rest"))
+    assert sorted(map(tuple, P.flattened(df, "k", "r").collect())) == here
