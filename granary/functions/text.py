@@ -50,8 +50,9 @@ def cjk_parts(run: Column) -> Column:
 
 
 def rag_tokens(text: Column) -> Column:
-    """Search tokens with stop words kept."""
-    return F.flatten(F.transform(runs(text), lambda r: F.when(r.rlike(f"^[{CJK}]"), cjk_parts(r)).otherwise(F.array(r))))
+    """Search tokens with stop words kept. Runs of a text are only looked at one by one if it holds CJK."""
+    cut = F.flatten(F.transform(runs(text), lambda r: F.when(r.rlike(f"^[{CJK}]"), cjk_parts(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(f"[{CJK}]"), cut).otherwise(runs(text))
 
 
 def tokens(text: Column) -> Column:

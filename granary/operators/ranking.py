@@ -28,27 +28,42 @@ def token_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def term_counts(docs: DataFrame, key: str, fields: list[str], terms: list[str]) -> DataFrame:
-    """Staged ``key`` and, for each field f, its number of tokens and its counts of the terms: one pass over the texts."""
-    rows = docs.select(key, *[T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_t{i}") for i, f in enumerate(fields)])
+def staged_tokens(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Staged ``key`` and the tokens of each field: for several questions to the same documents."""
+    return staged(field_tokens(docs, key, fields), "field-tokens")
+
+
+def field_tokens(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    return docs.select(key, *[T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_t{i}") for i, f in enumerate(fields)])
+
+
+def term_counts(rows: DataFrame, key: str, fields: int, terms: list[str]) -> DataFrame:
+    """Staged ``key`` and, for each field of ``field_tokens``, its number of tokens and its counts of the terms.
+
+    One pass over the texts: a term is only counted among the tokens that are a term.
+    """
+    found = [F.filter(f"_t{i}", lambda t: t.isin(*terms)).alias(f"_in{i}") for i in range(fields)]
+    rows = rows.select(key, *[F.size(f"_t{i}").alias(f"_dl{i}") for i in range(fields)], F.array(F.struct(*found)).alias("_in"))
+    rows = rows.select(key, *[f"_dl{i}" for i in range(fields)], F.explode("_in").alias("_in"))  # made once, not for each term
     columns = []
-    for i in range(len(fields)):
-        columns.append(F.size(f"_t{i}").alias(f"_dl{i}"))
-        columns += [F.size(F.filter(f"_t{i}", _is(w))).alias(f"_tf{i}_{j}") for j, w in enumerate(terms)]
+    for i in range(fields):
+        columns.append(F.col(f"_dl{i}"))
+        columns += [F.size(F.filter(F.col("_in")[f"_in{i}"], _is(w))).alias(f"_tf{i}_{j}") for j, w in enumerate(terms)]
     return staged(rows.select(key, *columns), "term-counts")
 
 
-def weighted_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
+def weighted_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], tokens: DataFrame | None = None) -> DataFrame:
     """``key, score`` of documents that hold a term in some field: the weighted sum of the fields' scores.
 
     Term frequency is divided by document length before saturation, the length is the token count, the
     statistics are those of the candidates given, and a repeated term counts as often. Texts are read once; statistics
-    and scores come from a few counts a document.
+    and scores come from a few counts a document. ``tokens``: the documents' ``staged_tokens``, instead of their texts.
     """
     distinct = sorted(set(terms))
     if not distinct:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
-    rows = term_counts(docs, key, list(fields), distinct)
+    tokens = field_tokens(docs, key, list(fields)) if tokens is None else tokens
+    rows = term_counts(tokens, key, len(fields), distinct)
     every = [(i, j) for i in range(len(fields)) for j in range(len(distinct))]
     stats = rows.agg(
         F.count("*").alias("_n"),
@@ -76,9 +91,9 @@ def _is(word: str):
     return lambda t: t == F.lit(word)
 
 
-def field_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str]) -> DataFrame:
+def field_bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], tokens: DataFrame | None = None) -> DataFrame:
     """Weighted sum of the fields' scores, divided by its maximum over the candidates."""
-    total = staged(weighted_bm25(docs, key, fields, terms), "field-scores")
+    total = staged(weighted_bm25(docs, key, fields, terms, tokens), "field-scores")
     most = total.agg(F.max("score").alias("_most"))
     share = F.when(F.col("_most") > 0, F.col("score") / F.col("_most")).otherwise(F.col("score"))
     return total.crossJoin(F.broadcast(most)).select(key, share.alias("score"))
